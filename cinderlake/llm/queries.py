@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlake.llm import bpe, simhash
+from cinderlake.llm import bpe, language, quality, simhash, suffixes
 
 #: Folder of the public tokenizer files; found through their package where this is None.
 TOKENIZER_DIR: str | None = None
@@ -23,16 +23,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from the rows outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs))
+    return found.select(F.col("id").alias("doc_id"), language.held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of documents with smaller ids."""
+    found = suffixes.dedup(table(spark, sf_dir, "documents"), depth=50)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the BPE ids and of the decoded text of every document."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learned from labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    good = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    return found.select(F.col("id").alias("doc_id"), quality.held_out(F.col("id")).alias("held_out"), "score", good)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_codec, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_suffix_array_dedup, op5_bpe_codec, op6_quality_classifier, op9_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
