@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlake.llm import bpe, language, quality, simhash, suffixes
+from cinderlake.llm import bpe, chat, decontaminate, language, lattice, licenses, quality, simhash, suffixes, urls
 
 #: Folder of the public tokenizer files; found through their package where this is None.
 TOKENIZER_DIR: str | None = None
@@ -23,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in every document, with the Dice coefficient of the best unit."""
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item, the similarity and the first word of the best window."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "similarity", "start_word")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from the rows outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
@@ -49,11 +60,34 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), quality.held_out(F.col("id")).alias("held_out"), "score", good)
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations, rendered."""
+    return chat.render(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    found = lattice.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_suffix_array_dedup, op5_bpe_codec, op6_quality_classifier, op9_simhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of the URL of every page."""
+    return urls.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_benchmark_decontamination, op3_language_id, op4_suffix_array_dedup, op5_bpe_codec, op6_quality_classifier,
+        op7_chat_formatting, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_url_filter,
+    )
+}
+#: The others are held against brute force, the tokenizer library or held-out rows in ``tests/llm``.
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op2_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat.SQL}

@@ -33,7 +33,7 @@ from cinderlake.shipping import ship
 
 DEPTH, GRAM = 50, 24
 #: Bytes of text in a group of documents, of these bytes hashed at once, and groups from which on a digit is dealt out by window.
-GROUP_BYTES, SLICE_BYTES, HOT_GROUPS = 12_000_000, 2_000_000, 64
+GROUP_BYTES, SLICE_BYTES, HOT_GROUPS = 5_000_000, 150_000, 64
 
 LOW32 = np.uint64(0xFFFFFFFF)
 
