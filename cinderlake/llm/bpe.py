@@ -167,20 +167,23 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return two.mapInArrow(run, "id long, n_tokens long, ids string, decoded string").withColumnRenamed("id", id_col)
 
 
-def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As :func:`encode_texts`, with SHA-256 digests in place of the ids and the decoded text."""
+def encode_digests(docs: DataFrame, path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_tokens, SHA-256 of the ids and of the decoded text; the ids on demand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in batches:
-            n, ids, decoded = [], [], []
+            n, ids, decoded, every = [], [], [], []
             for text in batch.column(1):
                 count, joined, back = bpe.encode(text.as_py() or "")
                 n.append(count)
                 ids.append(hashlib.sha256(joined.encode("ascii")).hexdigest())
                 decoded.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                every += [joined] * with_ids
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            yield pa.record_batch(columns + [pa.array(every, pa.string())] * with_ids, names=names + ["ids"] * with_ids)
 
     ship(docs.sparkSession)
     two = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return two.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return two.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * with_ids).withColumnRenamed("id", id_col)
