@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from cinderlake.plans import incident_queries
+
+_modules = (incident_queries,)
+QUERIES: dict = {name: q for m in _modules for name, q in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: q for m in _modules for name, q in m.ORACLES.items()}
+FLAGSHIP = QUERIES["picture_order"]
