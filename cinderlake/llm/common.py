@@ -1,86 +1,11 @@
-"""What the operators share: the cluster's shared folder, size-checked broadcasts, and components of a graph."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from cinderlake.operators.graph import components
+from cinderlake.storage import BROADCAST_ROWS, Stored, broadcast_if_small, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows up to which a side may be broadcast; beyond it the same join is left to a shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="cinderlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Stored:
-    """A table written to the shared folder; ``drop()`` removes its files once nothing reads them."""
-
-    def __init__(self, df: DataFrame, what: str) -> None:
-        spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/cinderlake-{what}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self.df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: lineage is cut and lost executors cost nothing."""
-    return Stored(df, what).df
-
-
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint when ``df`` is counted to have at most ``most`` rows; else ``df`` itself, for a shuffled join.
-
-    The count stops after ``most + 1`` rows.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a long, b long)``: one row ``(node, component)`` for each node of an edge.
-
-    ``component`` is the smallest node that can be reached. Alternating large-star and small-star rounds; each
-    round is written to the shared folder, so that a lost executor costs one round at most. All groupings are
-    sums or minima that combine before the shuffle. No edges: an empty table.
-    """
-    links = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    ).distinct()
-    now = Stored(links, "links")
-    sign = None
-    for _ in range(most_rounds):
-        both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: each neighbour above a node is tied to the least of the node's neighbourhood
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # small star: each node's smaller neighbours, and the node, are tied to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = Stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        was, now = now, after
-        was.drop()
-        seen = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == sign:
-            break
-        sign = tuple(seen)
-    else:
-        raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
-    stars = now.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+__all__ = ["BROADCAST_ROWS", "Stored", "broadcast_if_small", "components", "shared_dir", "slices"]
 
 
 def slices(texts, most_chars: int):
