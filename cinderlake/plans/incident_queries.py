@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderlake.functions import formulas as f
 from cinderlake.operators import cluster
 from cinderlake.plans.oracles import sql
 from cinderlake.plans.picture import clustered, incidents, plausibility
+from cinderlake.plans.registry import Registry
 from cinderlake.sources import adapters
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def register(function):
-        QUERIES[name] = function
-        if oracle:
-            ORACLES[name] = sql(oracle)
-        return function
-
-    return register
+query = Registry()
 
 
 @query("neighbour_edges", "SELECT a, b FROM edge")
@@ -45,7 +35,7 @@ def st_dbscan_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.st_dbscan(adapters.detections(spark, sf_dir), min_samples=4)
 
 
-ORACLES["st_dbscan_min_samples_4"] = sql("SELECT a FROM twoway, det").rsplit("\n", 1)[0] + f""", {CORES}
+query.oracles["st_dbscan_min_samples_4"] = sql("SELECT a FROM twoway, det").rsplit("\n", 1)[0] + f""", {CORES}
 SELECT id, coalesce(any_value(clabel.cluster), min(n.cluster), -1) AS cluster FROM det LEFT JOIN clabel USING (id) LEFT JOIN twoway t ON t.a = det.id LEFT JOIN clabel n ON n.id = t.b GROUP BY det.id"""
 
 
@@ -86,8 +76,6 @@ def incident_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def picture_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: incidents ranked by severity and area. The place is a number over a few rows per incident."""
     found = incidents(spark, sf_dir)
-    from pyspark.sql import Window
-
     order = Window.orderBy(F.expr(f.severity_rank("severity")).desc(), F.col("area_ha").desc(), F.col("cluster"))
     return cluster.picture_order(found.select(F.row_number().over(order).cast("long").alias("place"), "cluster", "severity", "area_ha", "status"))
 

@@ -115,7 +115,7 @@ def sql(body: str) -> str:
 
     def need(text: str, seen: tuple[str, ...]) -> None:
         for name in _by_name:
-            if name not in seen and name not in order and re.search(rf"\b(?:FROM|JOIN|,)\s+{name}\b", text):
+            if name not in seen and name not in order and re.search(rf"(?:\bFROM|\bJOIN|,)\s+{name}\b", text):
                 need(_by_name[name][1], (*seen, name))
                 if name not in order:
                     order.append(name)
