@@ -14,6 +14,7 @@ the item is one window. Equal rows give one result; an id with several texts giv
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -86,6 +87,25 @@ def shingle_texts(w: Column, width: int = WIDTH) -> Column:
     return F.slice(each, 1, F.greatest(F.size(w) - (width - 1), F.lit(0)))
 
 
+def candidates(rows: DataFrame, items: DataFrame, sizes: list[int], least: float) -> DataFrame:
+    """The ``rows`` that can hold an item: those with an item's shingle at one of every ``step`` places.
+
+    A window that passes misses at most ``n - ceil(least * n)`` of its n shingles, so if more places than that are
+    looked at in any n, one of them has a shingle of the item. ``step`` is the largest that ensures this for all item
+    sizes. In documents shorter than the longest item, whose windows are shorter, every place is looked at.
+    """
+    fits = lambda step: all(n // step > n - math.ceil(least * n - 1e-9) for n in sizes)
+    step = max((k for k in range(1, 17) if fits(k)), default=1)
+    longest = max(sizes, default=0) + WIDTH - 1
+    split = rows.select("ref", words(F.col("body")).alias("words"))
+    places = F.sequence(F.lit(0), F.size("words") - WIDTH, F.when(F.size("words") < longest, 1).otherwise(step))
+    some = F.transform(places, lambda i: F.xxhash64(*(F.get(F.col("words"), i + k) for k in range(WIDTH))))
+    asked = split.where(F.size("words") >= WIDTH).select("ref", F.explode(some).alias("hash"))
+    known = broadcast_if_small(items.select(F.explode("hashes").alias("hash")).distinct())
+    hits = Stored(asked.join(known, "hash", "left_semi").select("ref").distinct(), "hits").df
+    return rows.join(broadcast_if_small(hits), "ref", "left_semi")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(ref, id, item_id, similarity, start_word)``: the best window of each document for each item it holds.
 
@@ -97,7 +117,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col:
 
     ref = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
     rows = docs.select(ref.alias("ref"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("body"))
-    split = rows.select("ref", "id", words(F.col("body")).alias("words"))
+    sizes = [r["n"] for r in items.select("n").distinct().collect()]
+    held = Stored(candidates(rows, items, sizes, least), "candidates").df
+    split = held.select("ref", "id", words(F.col("body")).alias("words"))
     known = broadcast_if_small(items.select("item_id", "n", F.explode(F.array_distinct("hashes")).alias("hash")))
     found = split.select("ref", F.size("words").alias("size"), F.posexplode(shingle_hashes(F.col("words"))).alias("pos", "hash")).join(known, "hash")
 
@@ -114,8 +136,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col:
     starts = places.select("ref", "n", "span", F.explode(slid).alias("start")).distinct()
     starts = Stored(starts.groupBy("ref").agg(F.collect_set(F.struct("n", "span", "start")).alias("windows")), "windows").df
 
-    held = split.join(broadcast_if_small(starts), "ref").dropDuplicates(["ref"])
-    cut = held.select("ref", "id", "words", F.explode("windows").alias("w")).select(
+    cut = split.join(broadcast_if_small(starts), "ref").select("ref", "id", "words", F.explode("windows").alias("w")).select(
         "ref", "id", "w.n", "w.start", F.slice("words", F.col("w.start") + 1, F.col("w.span") + (WIDTH - 1)).alias("words")
     )
     marked = with_fingerprint(cut.withColumn("hashes", shingle_hashes(F.col("words"))))
@@ -130,9 +151,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col:
     pairs = near.where(F.col("block") == first)
     texts = pairs.withColumn("a", shingle_texts(F.col("words"))).withColumn("b", shingle_texts(F.col("item_words")))
     similarity = 2.0 * shared_weight(F.col("a"), F.col("b")) / (F.size("a") + F.size("b"))
-    passed = texts.select("ref", "id", "item_id", F.round(similarity, 6).alias("similarity"), "start").where(F.col("similarity") >= least)
-    best = passed.groupBy("ref", "id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus"))).alias("best"))
-    return best.select("ref", "id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.minus")).cast("long").alias("start_word"))
+    # The bound on the similarity is put behind the grouping: before it, Spark would work the similarity out twice.
+    best = texts.select("ref", "id", "item_id", F.round(similarity, 6).alias("similarity"), "start").groupBy("ref", "id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus"))).alias("best"))
+    found = best.select("ref", "id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.minus")).cast("long").alias("start_word"))
+    return found.where(F.col("similarity") >= least)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
