@@ -80,7 +80,12 @@ def agreement(prints: DataFrame, steps: int = 40) -> DataFrame:
     resolution follows the fire. Cells are folded within a row per incident and horizon: the ellipses travel, not the
     cells.
     """
-    shape = F.struct("head_ros", "back_ros", "lb", "direction")
+    length = (F.col("head_ros") + F.col("back_ros")) * F.col("minutes") / 1000.0
+    turn = F.radians("direction")
+    shape = F.struct(
+        F.sin(turn).alias("sin"), F.cos(turn).alias("cos"), (length / 2 - F.col("back_ros") * F.col("minutes") / 1000.0).alias("shift"),
+        F.nullif(length / 2, F.lit(0.0)).alias("long"), F.nullif(length / F.greatest("lb", F.lit(1.0)) / 2, F.lit(0.0)).alias("wide"),
+    )
     grouped = prints.groupBy("cluster", "minutes").agg(F.collect_list(shape).alias("shapes"), F.max(F.col("head_ros") * F.col("minutes") / 1000.0).alias("reach"))
     at = grouped.withColumn("cell", F.greatest(F.col("reach"), F.lit(0.01)) * 2.0 / steps)
     cells = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps * steps - 1))))
@@ -88,13 +93,13 @@ def agreement(prints: DataFrame, steps: int = 40) -> DataFrame:
     north = (F.floor(F.col("i") / steps) + 0.5) * F.col("cell") - F.col("cell") * steps / 2
 
     def covers(s):
-        length = (s["head_ros"] + s["back_ros"]) * F.col("minutes") / 1000.0
-        shift = length / 2 - s["back_ros"] * F.col("minutes") / 1000.0
-        u = F.col("e") * F.sin(F.radians(s["direction"])) + F.col("n") * F.cos(F.radians(s["direction"]))
-        v = F.col("e") * F.cos(F.radians(s["direction"])) - F.col("n") * F.sin(F.radians(s["direction"]))
-        return (length > 0) & (F.pow((u - shift) / (length / 2), 2) + F.pow(v / (length / F.greatest(s["lb"], F.lit(1.0)) / 2), 2) <= 1)
+        u = (F.col("e") * s["sin"] + F.col("n") * s["cos"] - s["shift"]) / s["long"]
+        v = (F.col("e") * s["cos"] - F.col("n") * s["sin"]) / s["wide"]
+        return u * u + v * v <= 1
 
-    hit = cells.withColumn("e", east).withColumn("n", north).select("cluster", "minutes", "cell", F.exists("shapes", covers).alias("any"), F.forall("shapes", covers).alias("every"))
+    hits = F.aggregate("shapes", F.lit(0), lambda k, s: k + F.when(covers(s), 1).otherwise(0))
+    hit = cells.withColumn("e", east).withColumn("n", north).withColumn("hits", hits)
+    hit = hit.select("cluster", "minutes", "cell", (F.col("hits") > 0).alias("any"), (F.col("hits") == F.size("shapes")).alias("every"))
     counted = hit.groupBy("cluster", "minutes", "cell").agg(F.count_if("any").alias("n_any"), F.count_if("every").alias("n_all"))
     return counted.select("cluster", "minutes", F.col("n_any").alias("envelope_cells"), F.col("n_all").alias("core_cells"), (F.col("n_any") * F.col("cell") * F.col("cell") * 100).alias("envelope_ha"), (F.col("n_all") * F.col("cell") * F.col("cell") * 100).alias("core_ha"))
 

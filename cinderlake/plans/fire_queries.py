@@ -313,11 +313,11 @@ def envelope_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 THREATS = f"""SELECT cluster, place_no, name, count(*) AS hit_count, 9::BIGINT AS scenario_count, min(m) AS earliest, list_sort(list(m))[count(*) // 2 + 1] AS median, string_agg(scenario, ',' ORDER BY m, scenario_no) AS scenarios_hit, {f.rnd('count(*) / 9e0', 3)} AS likelihood
   FROM (SELECT *, {f.minutes_to_reach('rate', 'km')} AS m FROM (SELECT *, {f.rate_toward('head_ros', 'lb', 'off')} AS rate FROM (
-    SELECT s.cluster, scenario, scenario_no, head_ros, lb, place_no, name, km, {f.angle_between('bearing', 'direction')} AS off FROM ({SCEN}) s JOIN near USING (cluster) WHERE km <= 30))) WHERE m <= 1440 GROUP BY cluster, place_no, name"""
+    SELECT s.cluster, scenario, scenario_no, head_ros, lb, place_no, name, km, {f.angle_between('bearing', 'direction')} AS off FROM ({SCEN}) s JOIN near USING (cluster) WHERE km <= 80))) WHERE m <= 2880 GROUP BY cluster, place_no, name"""
 
 
 @query("threats", THREATS)
 def threats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrivals within a day, so that slow fronts count too."""
-    near = geo.places_within(incidents(spark, sf_dir), dims.places(spark), dims.EXPOSURE_RADIUS_KM)
-    return spread.threats(ensemble(spark, sf_dir), near, 1440)
+    """Places within 80 km and arrivals within two days, so that slow fronts count too."""
+    near = geo.places_within(incidents(spark, sf_dir), dims.places(spark), 80.0)
+    return spread.threats(ensemble(spark, sf_dir), near, 2880)
