@@ -4,14 +4,15 @@ Suffixes are ordered only through ``depth`` bytes, most significant digit first,
 document is dropped after each pass, so the groups left after the last digit are exactly the repeated windows.
 
 The first digit must deal suffixes out to machines without shipping every suffix. It is a short byte string *inside*
-the window that the window's content picks: of its ``GRAM``-byte substrings the one of least hash, leftmost first.
-Equal windows pick equal digits at equal offsets, and neighbouring windows mostly share a digit, so the pass moves
-4 bytes for each digit that was picked (one for about 13 suffixes), not one row for each suffix. It runs in three
-steps: (1) groups of documents send their digits and learn which of them another document has too; (2) for these
-digits alone they send the bytes around them, and the windows of a digit are sorted by the further digits, 8 bytes
-each; (3) the spans found are cut out. Equal surroundings within a group of documents travel once, with the smallest
-id. A digit that very many groups have is dealt out again by window content, one window a row, so that no task gets
-all occurrences of a common passage.
+the window that the window's content picks: of its substrings of a third of the depth the one of least hash, leftmost
+first. Equal windows pick equal digits at equal offsets, and neighbouring windows mostly share a digit (one for about
+17). A window also holds the bytes of that length just left or just right of its digit, by its offset, so digit and
+neighbour together are the string that is looked up: the pass moves 4 bytes for each side of a digit, not one row for
+each suffix. It runs in three steps: (1) groups of documents send these strings' hashes and learn which of them
+another document has too; (2) for these alone they send the bytes around them, and the windows are sorted by further
+digits, 8 bytes each; (3) the spans found are cut out. Equal surroundings within a group of documents travel once,
+with the smallest id. A string that very many groups have is dealt out again by window content, one window a row, so
+that no task gets all occurrences of a common passage.
 
 A byte goes if it lies in a window of ``depth`` bytes that also starts in a document with a smaller id, judged on
 the input. Null texts are empty; a null id neither loses bytes nor makes others lose them; rows that repeat an id are
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from cinderlake.shipping import ship
 
-DEPTH, GRAM = 50, 24
+DEPTH = 50
 #: Bytes of text in a group of documents, of these bytes hashed at once, and groups from which on a digit is dealt out by window.
 GROUP_BYTES, SLICE_BYTES, HOT_GROUPS = 5_000_000, 150_000, 64
 
@@ -70,12 +71,16 @@ def least_in_windows(v: np.ndarray, w: int) -> np.ndarray:
 
 
 class Picks:
-    """The digits that the windows of some texts pick: place, hash, text, and first and last window of each."""
+    """The digits that the windows of some texts pick: place, hash, text, and first and last window of each.
+
+    ``left`` and ``right`` hash a digit with the bytes beside it, where windows of that side exist.
+    """
 
     def __init__(self, flat: np.ndarray, ends: np.ndarray, depth: int, gram: int) -> None:
         none = np.zeros(0, np.int64)
         self.at = self.first = self.last = self.owner = none
-        self.hash = np.zeros(0, np.uint64)
+        self.hash = self.left = self.right = np.zeros(0, np.uint64)
+        self.has_left = self.has_right = np.zeros(0, bool)
         if len(flat) < depth:
             return
         h = gram_hashes(flat, gram)
@@ -92,6 +97,13 @@ class Picks:
         self.last = windows[np.r_[new[1:] - 1, len(windows) - 1]]
         self.owner = owner[self.first]
         self.hash = h[self.at]
+        self.has_left, self.has_right = self.at - self.first >= gram, self.at - self.last < gram
+        self.left = mixed(h[np.maximum(self.at - gram, 0)] * np.uint64(0xC2B2AE3D27D4EB4F) + self.hash)
+        self.right = mixed(self.hash * np.uint64(0x165667B19E3779F9) + h[np.minimum(self.at + gram, len(h) - 1)] + np.uint64(1))
+
+    def sides(self, buckets: int) -> np.ndarray:
+        """Signatures of the left sides that exist, then of the right ones."""
+        return signatures(np.concatenate([self.left[self.has_left], self.right[self.has_right]]), buckets)
 
 
 def signatures(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -115,6 +127,7 @@ class Texts:
         ids = column("id")
         self.known = np.array(ids.is_valid(), bool)
         self.id = np.array(ids.fill_null(0), np.int64)
+        self.local = np.unique(self.ref, return_inverse=True)[1] if n else np.zeros(0, np.int64)  # the same in each step
 
     def slices(self):
         """(first text, byte offset, bytes, ends of the texts in them) of consecutive texts."""
@@ -141,9 +154,10 @@ def send_digits(table: pa.Table, depth: int, gram: int, buckets: int) -> pa.Tabl
     sign, ids = [], []
     for first, _, flat, ends in texts.slices():
         p = Picks(flat, ends, depth, gram)
-        known = texts.known[first + p.owner]
-        sign.append(signatures(p.hash[known], buckets))
-        ids.append(texts.id[first + p.owner[known]])
+        owner = first + np.concatenate([p.owner[p.has_left], p.owner[p.has_right]])
+        known = texts.known[owner]
+        sign.append(p.sides(buckets)[known])
+        ids.append(texts.id[owner[known]])
     sign, ids = np.concatenate(sign), np.concatenate(ids)
     order = np.lexsort((ids, sign))
     sign, ids = sign[order], ids[order]
@@ -173,17 +187,50 @@ def shared_digits(table: pa.Table, hot_groups: int) -> pa.Table:
     return pa.table({"key": table.column("key"), "bucket": table.column("bucket"), "n": pa.array([len(c) for c in codes], pa.int64()), "shared": pa.array(shared, pa.binary()), "hot": pa.array(common, pa.binary())})
 
 
-RECORDS = pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("codes", pa.binary()), ("ids", pa.binary()), ("refs", pa.binary()), ("places", pa.binary()), ("spans", pa.binary()), ("bytes", pa.binary())])
+RECORDS = pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("contents", pa.binary()), ("bytes", pa.binary()), ("m", pa.int64()), ("places", pa.binary())])
+#: Bytes of the numbers of a content (smallest id, least and largest offset) and of a place (content, text, place in it).
+CONTENT, PLACE = (8, 4, 4), (4, 4, 4)
+
+
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
 
+def planes(columns) -> bytes:
+    """Integers byte by byte, all lowest bytes first, so that the many zeros lie together."""
+    return squeeze(b"".join(np.ascontiguousarray(c.astype(f"<i{w}").view(np.uint8).reshape(-1, w).T).tobytes() for c, w in columns))
 
-def records(bucket: np.ndarray, key: int, code, ids, refs, place, span, around) -> list[dict]:
+
+def from_planes(raw: bytes, n: int, widths) -> list[np.ndarray]:
+    flat, at, out = np.frombuffer(expand(raw), np.uint8), 0, []
+    for w in widths:
+        out.append(np.ascontiguousarray(flat[at : at + n * w].reshape(w, n).T).view(f"<i{w}").ravel().astype(np.int64))
+        at += n * w
+    return out
+
+
+def records(bucket: np.ndarray, key: int, contents: list[np.ndarray], around: np.ndarray, of: np.ndarray, places: list[np.ndarray]) -> list[dict]:
+    """Rows by bucket: its contents, and the places of each; ``of`` is the content of a place."""
     order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else [0]
-    return [
-        {"bucket": int(bucket[a]), "key": key, "codes": code[o].astype("<u8").tobytes(), "ids": ids[o].astype("<i8").tobytes(), "refs": refs[o].astype("<i8").tobytes(), "places": place[o].astype("<i8").tobytes(), "spans": span[o].astype("<i4").tobytes(), "bytes": around[o].tobytes()}
-        for a, b in zip(cuts, cuts[1:], strict=False) for o in [order[a:b]]
-    ]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    line = np.argsort(rank[of], kind="stable")
+    sorted_of = rank[of][line]
+    cuts = np.flatnonzero(np.r_[True, bucket[order[1:]] != bucket[order[:-1]], True]) if len(bucket) else [0]
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        o = order[a:b]
+        x, y = np.searchsorted(sorted_of, [a, b])
+        mine = line[x:y]
+        out.append({
+            "bucket": int(bucket[o[0]]), "key": key, "n": int(b - a), "contents": planes(zip([c[o] for c in contents], CONTENT, strict=True)), "bytes": squeeze(around[o].tobytes()),
+            "m": int(y - x), "places": planes(zip([sorted_of[x:y] - a, *(p[mine] for p in places)], PLACE, strict=True)),
+        })
+    return out
 
 
 def row_hashes(rows: np.ndarray) -> np.ndarray:
@@ -195,18 +242,19 @@ def row_hashes(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-def once(sign: np.ndarray, span: np.ndarray, around: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal records those with the smallest id, which are sent, and the others, whose windows are repeats for certain."""
-    order = np.lexsort((ids, row_hashes(around), span[:, 0], span[:, 1], sign))
-    same = (sign[order[1:]] == sign[order[:-1]]) & (span[order[1:]] == span[order[:-1]]).all(axis=1) & (around[order[1:]] == around[order[:-1]]).all(axis=1)
-    first = np.flatnonzero(np.r_[True, ~same])
-    least = np.repeat(ids[order[first]], np.diff(np.r_[first, len(order)]))
-    later = ids[order] > least
-    return order[~later], order[later]
+def same_contents(low: np.ndarray, high: np.ndarray, around: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of each different content, the content of each row, and the smallest id of each content."""
+    order = np.lexsort((ids, low, high, row_hashes(around)))
+    same = (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]]) & (around[order[1:]] == around[order[:-1]]).all(axis=1)
+    new = np.r_[True, ~same]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    first = order[new]
+    return first, of, ids[first]
 
 
 def send_windows(docs: pa.Table, answers: pa.Table, depth: int, gram: int, buckets: int, parts: int) -> pa.Table:
-    """Step 2: for each digit that two documents have, the bytes that its windows cover."""
+    """Step 2: for each digit that two documents have with the same neighbour, the bytes that its windows cover."""
     texts = Texts(docs)
     if not answers.num_rows or not len(texts.ref):
         return RECORDS.empty_table()
@@ -214,116 +262,154 @@ def send_windows(docs: pa.Table, answers: pa.Table, depth: int, gram: int, bucke
     by_bucket = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "n", "shared", "hot")), strict=True))
     shared = np.concatenate([unpack(s, n) for _, n, s, _ in by_bucket])
     hot = np.concatenate([unpack(h, n) for _, n, _, h in by_bucket])
-    found = []
+    found, sides = [], []
     for first, offset, flat, ends in texts.slices():
         p = Picks(flat, ends, depth, gram)
-        known = np.flatnonzero(texts.known[first + p.owner])
-        found.append((first + p.owner[known], p.at[known] + offset, p.first[known] + offset, p.last[known] + offset, signatures(p.hash[known], buckets)))
-    owner, at, low, high, sign = (np.concatenate(x) for x in zip(*found, strict=True))
-    _, inverse = np.unique(sign, return_inverse=True)
-    keep = np.flatnonzero(shared[inverse])
-    if not len(keep):
+        known = texts.known[first + p.owner]
+        p.has_left &= known
+        p.has_right &= known
+        sides.append(p.sides(buckets))
+        found.append((first + p.owner, p.at + offset, p.at - p.last, p.at - p.first, p.hash, p.has_left, p.has_right))
+    sign, split = np.concatenate(sides), [int(f[5].sum()) for f in found]
+    index = np.unique(sign, return_inverse=True)[1]
+    state = shared[index] + 2 * (shared[index] & hot[index])  # 0: nobody else's, 1: shared, 3: shared by very many
+    left_state, right_state, at = [], [], 0
+    for f, lefts in zip(found, split, strict=True):
+        for out, has, n in ((left_state, f[5], lefts), (right_state, f[6], int(f[6].sum()))):
+            x = np.zeros(len(has), np.int64)
+            x[has] = state[at : at + n]
+            out.append(x)
+            at += n
+    left_state, right_state = np.concatenate(left_state), np.concatenate(right_state)
+    owner, at, low, high, digit = (np.concatenate([f[i] for f in found]) for i in range(5))
+    # A digit's windows by offset: left of it from ``gram`` on, right of it below; one row for both where none is hot.
+    rows = []
+    for want in (1, 3):
+        on_left, on_right = left_state == want, right_state == want
+        keep = np.flatnonzero(on_left | on_right)
+        rows.append((keep, np.where(on_right[keep], low[keep], np.maximum(low[keep], gram)), np.where(on_left[keep], high[keep], np.minimum(high[keep], gram - 1))))
+    row, low, high = (np.concatenate(x) for x in zip(*rows, strict=True))
+    if not len(row):
         return RECORDS.empty_table()
-    owner, at, low, high, sign, hot = owner[keep], at[keep], low[keep], high[keep], sign[keep], hot[inverse[keep]]
-    # A hot digit is sent window by window.
-    many = np.where(hot, high - low + 1, 1)
-    row = np.repeat(np.arange(len(at)), many)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    owner, at, sign, hot = owner[row], at[row], sign[row], hot[row]
-    low = low[row] + np.where(hot, step, 0)
-    high = np.where(hot, low, high[row])
-    side = depth - gram
-    width = 2 * depth - gram
+    is_hot = np.arange(len(row)) >= len(rows[0][0])
+    owner, at, digit = owner[row], at[row], digit[row]
+    side, width = depth - gram, 2 * depth - gram
     padded = np.concatenate([np.zeros(side, np.uint8), texts.flat, np.zeros(width, np.uint8)])
     around = np.lib.stride_tricks.sliding_window_view(padded, width)[at]  # starts ``side`` bytes before the digit
-    begin = at - side
+    around *= covered(low, high, side, width, depth)
+    ids, local, place = texts.id[owner], texts.local[owner], at - texts.bounds[owner]
+    first, of, least = same_contents(low, high, around, ids)
+    late = ids > least[of]
+    mine, its = np.flatnonzero(~late), np.flatnonzero(late)
+    # What a smaller id of this group has too is answered here: a bucket of its own only carries the spans back.
+    out = records(np.full(len(its), -1 - key), key, [ids[its], low[its], high[its]], around[its, :0], np.arange(len(its)), [local[its], place[its]])
+    cool = np.flatnonzero(~is_hot[first])
+    back = np.full(len(first), -1)
+    back[cool] = np.arange(len(cool))
+    here = mine[back[of[mine]] >= 0]
+    # Picked digits have small hashes: they are mixed again to spread.
+    bucket = (mixed(digit[first[cool]] + np.uint64(1)) % np.uint64(buckets * parts)).astype(np.int64)
+    out += records(bucket, key, [least[cool], low[first[cool]], high[first[cool]]], around[first[cool]], back[of[here]], [local[here], place[here]])
+    if len(cool) < len(first):
+        hot_rows = mine[back[of[mine]] < 0]
+        out += window_records(hot_rows, of, first, least, low, high, around, ids, local, place, key, buckets * parts, depth, gram)
+    return pa.Table.from_pylist(out, RECORDS)
+
+
+def covered(low: np.ndarray, high: np.ndarray, side: int, width: int, depth: int) -> np.ndarray:
     columns = np.arange(width)
-    covered = (columns >= (low - begin)[:, None]) & (columns < (high + depth - begin)[:, None])
-    around = np.where(covered, around, 0).astype(np.uint8)
-    span = np.stack([at - high, at - low], axis=1).astype(np.int64)  # least and largest offset of the digit in a window
-    ids, refs = texts.id[owner], texts.ref[owner]
-    sent, later = once(sign, span, around, ids)
-    start = at - texts.bounds[owner]
-    bucket = (sign >> np.uint64(32)).astype(np.int64) * parts + (sign & np.uint64(parts - 1)).astype(np.int64)
-    if hot.any():
-        bucket[hot] = (row_hashes(around[hot]) % np.uint64(buckets * parts)).astype(np.int64)
-    rows = records(bucket[sent], key, sign[sent], ids[sent], refs[sent], start[sent], span[sent], around[sent])
-    if len(later):  # answered here: its own bucket only carries the spans back
-        o = later
-        rows += records(np.full(len(o), -1 - key), key, sign[o], ids[o], refs[o], start[o], span[o], around[o, :0])
-    return pa.Table.from_pylist(rows, RECORDS) if rows else RECORDS.empty_table()
-
-
-SPANS = pa.schema([("key", pa.int64()), ("refs", pa.binary()), ("starts", pa.binary()), ("stops", pa.binary())])
+    return (columns >= (side - high)[:, None]) & (columns < (side - low + depth)[:, None])
+
+
+def window_records(rows, of, first, least, low, high, around, ids, local, place, key: int, buckets: int, depth: int, gram: int) -> list[dict]:
+    """Contents that very many groups have, window by window, in buckets by the bytes of the window."""
+    contents = np.unique(of[rows])
+    many = high[first[contents]] - low[first[contents]] + 1
+    each = np.repeat(contents, many)
+    offset = low[first[each]] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+    bytes_of = around[first[each]] * covered(offset, offset, depth - gram, around.shape[1], depth)
+    head, window, small = same_contents(offset, offset, bytes_of, least[each])
+    begin = np.zeros(len(first) + 1, np.int64)
+    begin[contents] = np.cumsum(many) - many
+    count = np.zeros(len(first) + 1, np.int64)
+    count[contents] = many
+    times = count[of[rows]]
+    r = np.repeat(rows, times)
+    e = np.repeat(begin[of[rows]], times) + np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
+    late = ids[r] > small[window[e]]
+    out = records(np.full(int(late.sum()), -1 - key), key, [ids[r[late]], offset[e[late]], offset[e[late]]], around[r[late], :0], np.arange(int(late.sum())), [local[r[late]], place[r[late]]])
+    keep = ~late
+    bucket = (row_hashes(bytes_of[head]) % np.uint64(buckets)).astype(np.int64)
+    return out + records(bucket, key, [small, offset[head], offset[head]], bytes_of[head], window[e[keep]], [local[r[keep]], place[r[keep]]])
+
+
+SPANS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("spans", pa.binary())])
 
 
 def repeated(table: pa.Table, depth: int, gram: int) -> pa.Table:
     """Step 2, sorting side: the windows of a bucket by further digits of 8 bytes, most significant first."""
-    array = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-    refs, place, span = array("refs", "<i8"), array("places", "<i8"), array("spans", "<i4").reshape(-1, 2).astype(np.int64)
-    sizes = [len(x) // 8 for x in table.column("refs").to_pylist()]
-    key = np.repeat(np.array(table.column("key").to_pylist(), np.int64), sizes)
+    counts = [(table.column(c).to_pylist(), table.column(k).to_pylist(), w) for c, k, w in (("contents", "n", CONTENT), ("places", "m", PLACE))]
+    (ids, low, high), (of, local, place) = ([np.concatenate(x) for x in zip(*(from_planes(r, n, w) for r, n in zip(raw, ns, strict=True)), strict=True)] for raw, ns, w in counts)
+    n, m = counts[0][1], counts[1][1]
+    of = of + np.repeat(np.cumsum(n) - n, m)
+    key = np.repeat(np.array(table.column("key").to_pylist(), np.int64), m)
     if table.column("bucket")[0].as_py() < 0:
-        return spans(key, refs, place - span[:, 1], place - span[:, 0] + depth)
-    code, ids = array("codes", "<u8"), array("ids", "<i8")
+        return spans(key, local, place - high[of], place - low[of] + depth)
     width, side = 2 * depth - gram, depth - gram
-    around = array("bytes", np.uint8)
-    many = span[:, 1] - span[:, 0] + 1
+    around = np.frombuffer(b"".join([*map(expand, table.column("bytes").to_pylist()), bytes(8)]), np.uint8)
+    words = np.lib.stride_tricks.sliding_window_view(around, 8)
+    many = high - low + 1
     row = np.repeat(np.arange(len(ids)), many)
-    offset = span[row, 0] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    offset = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     start = row * width + side - offset
-    padded = np.lib.stride_tricks.sliding_window_view(np.concatenate([around, np.zeros(8, np.uint8)]), 8)
-    live = np.arange(len(row))
-    group = np.zeros(len(row), np.int64)
-    least = np.zeros(0, np.int64)
-    for d in range(-1, math.ceil(depth / 8)):
-        if d < 0:  # the digit that dealt the windows out, with its offset
-            digits = (code[row], offset)
-        else:
-            cell = padded[start[live] + 8 * d].copy()
-            cell[:, max(0, min(8, depth - 8 * d)) :] = 0
-            digits = (cell.view(">u8").ravel(), group)
-        order = np.lexsort(digits)
-        edge = np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in digits], axis=0)] if len(order) else np.zeros(0, bool)
+    live, group, least = np.arange(len(row)), offset, np.zeros(0, np.int64)
+    for d in range(-1, math.ceil(depth / 8)):  # first the digit that dealt the windows out, with its offset
+        cell = words[row * width + side if d < 0 else start[live] + 8 * d].copy()
+        cell[:, max(0, min(8, gram if d < 0 else depth - 8 * d)) :] = 0
+        digit = cell.view(">u8").ravel()
+        order = np.lexsort((digit, group))
+        digit, group = digit[order], group[order]
+        edge = np.r_[True, (digit[1:] != digit[:-1]) | (group[1:] != group[:-1])]
         heads = np.flatnonzero(edge)
-        if not len(heads):
-            return SPANS.empty_table()
         who = ids[row[live[order]]]
         least, most = np.minimum.reduceat(who, heads), np.maximum.reduceat(who, heads)
         name = np.cumsum(edge) - 1
         stay = (least < most)[name]
         live, group, least = live[order][stay], name[stay], least[name][stay]
+        if not len(live):
+            return SPANS.empty_table()
     again = live[ids[row[live]] > least]
-    again.sort()
-    r, o = row[again], offset[again]
-    return spans(key[r], refs[r], place[r] - o, place[r] - o + depth)
+    # The windows of a content overlap, all over its digit: together they are one span.
+    lowest, highest = np.full(len(ids), 1 << 30), np.full(len(ids), -1)
+    np.minimum.at(lowest, row[again], offset[again])
+    np.maximum.at(highest, row[again], offset[again])
+    hit = np.flatnonzero(highest[of] >= 0)
+    return spans(key[hit], local[hit], place[hit] - highest[of[hit]], place[hit] - lowest[of[hit]] + depth)
 
 
-def spans(key: np.ndarray, refs: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Table:
+def spans(key: np.ndarray, local: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Table:
     """Spans by key, those that overlap in a text put together."""
-    order = np.lexsort((starts, refs, key))
-    key, refs, starts, stops = key[order], refs[order], starts[order], stops[order]
+    order = np.lexsort((starts, local, key))
+    key, local, starts, stops = key[order], local[order], starts[order], stops[order]
     if not len(key):
         return SPANS.empty_table()
-    far = np.cumsum(np.r_[True, (refs[1:] != refs[:-1]) | (key[1:] != key[:-1])]) << 40  # sets texts apart on one line
-    new = np.r_[True, (starts + far)[1:] > np.maximum.accumulate(stops + far)[:-1]]
-    heads = np.flatnonzero(new)
+    far = np.cumsum(np.r_[True, (local[1:] != local[:-1]) | (key[1:] != key[:-1])]) << 40  # sets texts apart on one line
+    heads = np.flatnonzero(np.r_[True, (starts + far)[1:] > np.maximum.accumulate(stops + far)[:-1]])
     stops = np.maximum.reduceat(stops, heads)
-    key, refs, starts = key[heads], refs[heads], starts[heads]
+    key, local, starts = key[heads], local[heads], starts[heads]
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-    pairs = list(zip(cuts, cuts[1:], strict=False))
-    return pa.table([pa.array([int(key[a]) for a, _ in pairs], pa.int64()), *(pa.array([x[a:b].astype("<i8").tobytes() for a, b in pairs], pa.binary()) for x in (refs, starts, stops))], schema=SPANS)
+    return pa.Table.from_pylist([{"key": int(key[a]), "n": int(b - a), "spans": planes([(x[a:b], 4) for x in (local, starts, stops)])} for a, b in zip(cuts, cuts[1:], strict=False)], SPANS)
 
 
 def cut(docs: pa.Table, found: pa.Table, with_text: bool) -> pa.Table:
     """Step 3: each text without its spans."""
     texts = Texts(docs)
     n = len(texts.ref)
-    array = lambda name: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i8") for x in found.column(name).to_pylist())])
-    refs, starts, stops = array("refs"), array("starts"), array("stops")
-    order = np.lexsort((starts, refs))
-    refs, starts, stops = refs[order], starts[order], stops[order]
-    left, right = np.searchsorted(refs, texts.ref, side="left"), np.searchsorted(refs, texts.ref, side="right")
+    parts = [from_planes(x, n, (4, 4, 4)) for x, n in zip(found.column("spans").to_pylist(), found.column("n").to_pylist(), strict=True)]
+    local, starts, stops = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
+    order = np.lexsort((starts, local))
+    local, starts, stops = local[order], starts[order], stops[order]
+    left, right = np.searchsorted(local, texts.local, side="left"), np.searchsorted(local, texts.local, side="right")
     raw = texts.flat.tobytes()
     size, gone, runs, digest, kept_texts = [], [], [], [], []
     for i in range(n):
@@ -348,19 +434,19 @@ def cut(docs: pa.Table, found: pa.Table, with_text: bool) -> pa.Table:
     return pa.table(out)
 
 
-def dedup(docs: DataFrame, depth: int = DEPTH, gram: int | None = None, group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS, keep: tuple[str, ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS, keep: tuple[str, ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` per row of ``docs``; with ``keep`` also the text that is kept.
 
     The texts are shuffled once, by a hash of id and text, into groups of about ``group_bytes``; all three steps read
     that shuffle. ``keep`` names columns to carry along, in a struct ``extra``. Removed spans may cut a character in
     two: the column ``kept`` leaves out the bytes of such halves, the digest has them.
     """
-    gram = gram or min(GRAM, max(1, depth // 2))
+    gram = max(1, (depth + 1) // 3)
     ship(docs.sparkSession)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups = max(1, math.ceil(total / group_bytes))
-    buckets, parts = max(1, groups // 2), 8
+    buckets, parts = max(1, groups // 2), 4
     ref = F.xxhash64(docs[id_col].cast("long"), text)
     columns = [F.pmod(ref, F.lit(groups)).cast("long").alias("key"), ref.alias("ref"), docs[id_col].cast("long").alias("id"), text.alias("text")]
     result = T.StructType.fromDDL("id long, ref long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -373,9 +459,9 @@ def dedup(docs: DataFrame, depth: int = DEPTH, gram: int | None = None, group_by
     shared = digits.groupBy("bucket").applyInArrow(lambda t: shared_digits(t, hot_groups), "key long, bucket long, n long, shared binary, hot binary")
     windows = keyed.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(
         lambda d, a: send_windows(d, a, depth, gram, buckets, parts),
-        "bucket long, key long, codes binary, ids binary, refs binary, places binary, spans binary, bytes binary",
+        "bucket long, key long, n long, contents binary, bytes binary, m long, places binary",
     )
-    found = windows.groupBy("bucket").applyInArrow(lambda t: repeated(t, depth, gram), "key long, refs binary, starts binary, stops binary")
+    found = windows.groupBy("bucket").applyInArrow(lambda t: repeated(t, depth, gram), "key long, n long, spans binary")
     return keyed.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(lambda d, f: cut(d, f, keep is not None), result)
 
 
