@@ -203,8 +203,9 @@ def heat_share(frp: str) -> str:
     return f"least(1e0, log10(greatest({frp}, 1e0) + 1e0) / log10(600e0))"
 
 
-def heat_colour(frp: str, channel: int) -> str:
-    t = heat_share(frp)
+def heat_colour(frp: str, channel: int, t: str | None = None) -> str:
+    """One channel of a detection's colour; ``t`` may name a column that already holds ``heat_share``."""
+    t = t or heat_share(frp)
     legs = []
     for (t0, c0), (t1, c1) in zip(HEAT_STOPS, HEAT_STOPS[1:], strict=False):
         legs.append(f"WHEN {t} <= {num(t1)} THEN {rnd(f'{num(c0[channel])} + {num(c1[channel] - c0[channel])} * (({t} - {num(t0)}) / {num(t1 - t0)})', 0)}")
