@@ -46,11 +46,11 @@ def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.nearest_place(incidents(spark, sf_dir), dims.places(spark)).select("cluster", "place", F.expr(f.rnd("place_km", 3)).alias("place_km"))
 
 
-@query("incident_name", "SELECT cluster, concat(coalesce(name, concat('Unnamed ', printf('%.2f', latitude), 'N ', printf('%.2f', longitude), 'E')), ' · ', strftime(make_timestamp(first_us), '%d %b')) AS name FROM inc LEFT JOIN (SELECT cluster, name FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY km, place_no) AS k FROM near WHERE km <= 25 AND kind IN ('settlement', 'natura2000')) WHERE k = 1) USING (cluster)")
+@query("incident_name", "SELECT cluster, concat(coalesce(name, concat('Unnamed ', printf('%.2f', floor(latitude * 1e2 + 0.5e0 + 1e-7) / 1e2), 'N ', printf('%.2f', floor(longitude * 1e2 + 0.5e0 + 1e-7) / 1e2), 'E')), ' · ', strftime(make_timestamp(first_us), '%d %b')) AS name FROM inc LEFT JOIN (SELECT cluster, name FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY km, place_no) AS k FROM near WHERE km <= 25 AND kind IN ('settlement', 'natura2000')) WHERE k = 1) USING (cluster)")
 def incident_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = incidents(spark, sf_dir)
     named = found.join(geo.nearest_place(found, dims.places(spark)), "cluster")
-    unnamed = F.concat(F.lit("Unnamed "), F.format_string("%.2f", "latitude"), F.lit("N "), F.format_string("%.2f", "longitude"), F.lit("E"))
+    unnamed = F.concat(F.lit("Unnamed "), F.format_string("%.2f", F.expr(f.rnd("latitude", 2))), F.lit("N "), F.format_string("%.2f", F.expr(f.rnd("longitude", 2))), F.lit("E"))
     return named.select("cluster", F.concat(F.coalesce("place", unnamed), F.lit(" · "), F.date_format(F.timestamp_micros("first_us"), "dd MMM")).alias("name"))
 
 
