@@ -39,30 +39,27 @@ def shingle_hashes(w: Column, width: int = WIDTH) -> Column:
     return F.slice(each, 1, F.greatest(F.size(w) - (width - 1), F.lit(0)))
 
 
-def simhash(hashes: Column) -> tuple[Column, Column]:
-    """Counts of the set bits, those of bits k and k + 32 in the halves of a long, and the number of hashes."""
-    mask = F.lit((1 << 32) | 1)
+def simhash(hashes: Column) -> Column:
+    """Bit b is set if over half of the hashes have it. Bits k and k + 32 are counted at once in the halves of a long.
 
-    def lane(k: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(mask))
-
-    return F.struct(*(lane(k).alias(f"l{k}") for k in range(32))), F.size(hashes)
+    Written as folds over arrays: as one expression for each bit the generated code grows so large that compiling it
+    takes the executor gigabytes.
+    """
+    halves = F.lit((1 << 32) | 1)
+    lanes = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, k).bitwiseAND(halves)))
 
+    def bit(lane: Column, k: Column) -> Column:
+        one = F.lit(1).cast("long")
+        low = F.when(2 * lane.bitwiseAND(F.lit((1 << 32) - 1)) > F.size(hashes), F.call_function("shiftleft", one, k)).otherwise(F.lit(0).cast("long"))
+        high = F.when(2 * F.shiftrightunsigned(lane, 32) > F.size(hashes), F.call_function("shiftleft", one, k + 32)).otherwise(F.lit(0).cast("long"))
+        return low.bitwiseOR(high)
 
-def bits_of(lanes: Column, n: Column) -> Column:
-    out = F.lit(0).cast("long")
-    for k in range(32):
-        lane = lanes[f"l{k}"]
-        out = out.bitwiseOR(F.when(2 * lane.bitwiseAND(F.lit((1 << 32) - 1)) > n, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-        high = (1 << (k + 32)) - (1 << 64 if k == 31 else 0)
-        out = out.bitwiseOR(F.when(2 * F.shiftrightunsigned(lane, 32) > n, F.lit(high)).otherwise(F.lit(0)).cast("long"))
-    return out
+    return F.aggregate(F.transform(lanes, bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:
-    """Adds ``fp`` from the column ``hashes``."""
-    lanes, n = simhash(F.col("hashes"))
-    return df.withColumn("lanes", lanes).withColumn("fp", bits_of(F.col("lanes"), n)).drop("lanes")
+    """Adds ``fp`` from the column ``hashes``. It cannot be null: else Spark would test that first, by working it out once more."""
+    return df.withColumn("fp", F.coalesce(simhash(F.col("hashes")), F.lit(0).cast("long")))
 
 
 def block_values(fp: Column) -> Column:

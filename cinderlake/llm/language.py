@@ -31,7 +31,7 @@ CHAIN, HASHED, NGRAM, AFFIX = 64, 1 << 15, 3, 4
 TRAIN_ROWS, TRAIN_CHARS, LEXICON = 250, 3000, 400
 ROUNDS = 40
 #: Words whose emissions a Python worker keeps, and characters of text labelled at once.
-CACHE_WORDS, SLICE_CHARS = 400_000, 1_000_000
+CACHE_WORDS, SLICE_CHARS = 200_000, 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
