@@ -10,7 +10,7 @@ first. Equal windows pick equal digits at equal offsets, and neighbouring window
 neighbour together are the string that is looked up: the pass moves 4 bytes for each side of a digit, not one row for
 each suffix. It runs in three steps: (1) groups of documents send these strings' hashes and learn which of them
 another document has too; (2) for these alone they send the bytes around them, and the windows are sorted by further
-digits, 8 bytes each; (3) the spans found are cut out. Equal surroundings within a group of documents travel once,
+digits, 16 bytes each; (3) the spans found are cut out. Equal surroundings within a group of documents travel once,
 with the smallest id. A string that very many groups have is dealt out again by window content, one window a row, so
 that no task gets all occurrences of a common passage.
 
@@ -159,10 +159,10 @@ def send_digits(table: pa.Table, depth: int, gram: int, buckets: int) -> pa.Tabl
         sign.append(p.sides(buckets)[known])
         ids.append(texts.id[owner[known]])
     sign, ids = np.concatenate(sign), np.concatenate(ids)
-    order = np.lexsort((ids, sign))
+    order = np.argsort(sign)
     sign, ids = sign[order], ids[order]
     new = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]]) if len(sign) else np.zeros(0, np.int64)
-    several = ids[new] != ids[np.r_[new[1:] - 1, len(ids) - 1]] if len(new) else np.zeros(0, bool)
+    several = np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new) if len(new) else np.zeros(0, bool)
     unique = sign[new]
     bucket = (unique >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
@@ -243,14 +243,17 @@ def row_hashes(rows: np.ndarray) -> np.ndarray:
 
 
 def same_contents(low: np.ndarray, high: np.ndarray, around: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A row of each different content, the content of each row, and the smallest id of each content."""
-    order = np.lexsort((ids, low, high, row_hashes(around)))
+    """A row of each different content, the content of each row, and the smallest id of each content.
+
+    Equal contents are neighbours in the order of a hash and are compared in full; should other contents with the
+    same hash come between, a content is sent twice.
+    """
+    order = np.argsort(mixed(row_hashes(around) + (low * 4096 + high).astype(np.uint64)))
     same = (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]]) & (around[order[1:]] == around[order[:-1]]).all(axis=1)
     new = np.r_[True, ~same]
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
-    first = order[new]
-    return first, of, ids[first]
+    return order[new], of, np.minimum.reduceat(ids[order], np.flatnonzero(new))
 
 
 def send_windows(docs: pa.Table, answers: pa.Table, depth: int, gram: int, buckets: int, parts: int) -> pa.Table:
@@ -346,8 +349,33 @@ def window_records(rows, of, first, least, low, high, around, ids, local, place,
 SPANS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("spans", pa.binary())])
 
 
+def passes(depth: int) -> list[list[tuple[int, int]]]:
+    """Digits of 16 bytes, as pairs of words of 8: their places in the window, and what of a last, shorter word counts."""
+    words = [(a, (1 << 8 * min(8, depth - a)) - 1) for a in range(0, depth, 8)]
+    return [words[i : i + 2] for i in range(0, len(words), 2)]
+
+
+def grouped(group: np.ndarray, digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal (group, digit) are neighbours, and where a new one begins.
+
+    Sorted by a hash of both, which sorts fast. Should two of them share a hash, by the values themselves.
+    """
+    key = group.astype(np.uint64)
+    for d in digits:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + d)
+    order = np.argsort(key)
+    key = key[order]
+    for again in (False, True):
+        if again:
+            order = np.lexsort((*digits, group))
+        edge = np.r_[True, np.any([x[order[1:]] != x[order[:-1]] for x in (group, *digits)], axis=0)]
+        if again or not (edge[1:] & (key[1:] == key[:-1])).any():
+            return order, edge
+    raise AssertionError
+
+
 def repeated(table: pa.Table, depth: int, gram: int) -> pa.Table:
-    """Step 2, sorting side: the windows of a bucket by further digits of 8 bytes, most significant first."""
+    """Step 2, sorting side: the windows of a bucket, by offset, by digits of 16 bytes, most significant first."""
     counts = [(table.column(c).to_pylist(), table.column(k).to_pylist(), w) for c, k, w in (("contents", "n", CONTENT), ("places", "m", PLACE))]
     (ids, low, high), (of, local, place) = ([np.concatenate(x) for x in zip(*(from_planes(r, n, w) for r, n in zip(raw, ns, strict=True)), strict=True)] for raw, ns, w in counts)
     n, m = counts[0][1], counts[1][1]
@@ -356,26 +384,22 @@ def repeated(table: pa.Table, depth: int, gram: int) -> pa.Table:
     if table.column("bucket")[0].as_py() < 0:
         return spans(key, local, place - high[of], place - low[of] + depth)
     width, side = 2 * depth - gram, depth - gram
-    around = np.frombuffer(b"".join([*map(expand, table.column("bytes").to_pylist()), bytes(8)]), np.uint8)
-    words = np.lib.stride_tricks.sliding_window_view(around, 8)
+    around = b"".join([*map(expand, table.column("bytes").to_pylist()), bytes(8)])
+    word = np.ndarray(len(around) - 7, "<u8", around, strides=(1,))  # the 8 bytes from each place on
     many = high - low + 1
     row = np.repeat(np.arange(len(ids)), many)
     offset = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     start = row * width + side - offset
     live, group, least = np.arange(len(row)), offset, np.zeros(0, np.int64)
-    for d in range(-1, math.ceil(depth / 8)):  # first the digit that dealt the windows out, with its offset
-        cell = words[row * width + side if d < 0 else start[live] + 8 * d].copy()
-        cell[:, max(0, min(8, gram if d < 0 else depth - 8 * d)) :] = 0
-        digit = cell.view(">u8").ravel()
-        order = np.lexsort((digit, group))
-        digit, group = digit[order], group[order]
-        edge = np.r_[True, (digit[1:] != digit[:-1]) | (group[1:] != group[:-1])]
+    for at in passes(depth):
+        digits = [word[start[live] + a] & np.uint64(mask) for a, mask in at]
+        order, edge = grouped(group, digits)
         heads = np.flatnonzero(edge)
         who = ids[row[live[order]]]
         least, most = np.minimum.reduceat(who, heads), np.maximum.reduceat(who, heads)
         name = np.cumsum(edge) - 1
         stay = (least < most)[name]
-        live, group, least = live[order][stay], name[stay], least[name][stay]
+        live, group, least = live[order[stay]], name[stay], least[name[stay]]
         if not len(live):
             return SPANS.empty_table()
     again = live[ids[row[live]] > least]
