@@ -92,32 +92,71 @@ def unit_rows(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def in_blocks(rows: DataFrame, key: list[str], block_rows: int) -> DataFrame:
-    """Adds ``x``, ``y`` and ``mine``: keys of more than ``block_rows`` rows are dealt out to all pairs of their blocks."""
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
+def in_blocks(rows: DataFrame, key: list[str], block_rows: int, wanted=None) -> DataFrame:
+    """Adds ``x``, ``y`` and ``mine``: keys of more than ``block_rows`` rows are dealt out to all pairs of their blocks.
+
+    Keys of one row go, and those without a row that meets ``wanted``.
+    """
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.bool_or(F.lit(True) if wanted is None else wanted).alias("_w")).where("_n > 1 AND _w").drop("_w")
     counted = rows.join(sizes, key).withColumn("_s", F.ceil(F.col("_n") / block_rows).cast("int"))
     placed = counted.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("_s")).cast("int"))
     spread = placed.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     return spread.withColumn("x", F.least("mine", "_j")).withColumn("y", F.greatest("mine", "_j")).drop("_n", "_s", "_j")
 
 
-def cell_edges(members: pd.DataFrame, least: float) -> pd.DataFrame:
+def cell_edges(probe: np.ndarray, reps: np.ndarray, unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of one cell (or one pair of its blocks): rows at home with each other and with those that look in."""
-    members = members.sort_values(["rep", "probe"]).drop_duplicates("rep")
-    home = np.flatnonzero(members["probe"].to_numpy() == 0)
-    if not len(home) or len(members) < 2:
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    unit, reps = unit_rows(members["embedding"]), members["rep"].to_numpy()
-
-    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for at in range(0, len(home), 1024):
-            part = home[at : at + 1024]
-            a, b = np.nonzero(unit[part] @ unit.T >= least)
-            yield part[a], b
-
-    root = forest(len(reps), pairs())
+    home = np.flatnonzero(probe == 0)
+    if not len(home) or len(reps) < 2:
+        return reps[:0], reps[:0]
+    if len(reps) * len(home) <= 4096:  # most cells: one product, and often no link at all
+        a, b = np.nonzero(unit[home] @ unit.T >= least)
+        if len(a) == len(home):
+            return reps[:0], reps[:0]
+        found = [(home[a], b)]
+    else:
+        found = ((part[a], b) for part in (home[at : at + 1024] for at in range(0, len(home), 1024)) for a, b in [np.nonzero(unit[part] @ unit.T >= least)])
+    root = forest(len(reps), iter(found))
     tied = np.flatnonzero(root != np.arange(len(root)))
-    return pd.DataFrame({"a": reps[root[tied]], "b": reps[tied]})
+    return reps[root[tied]], reps[tied]
+
+
+def cells_of_partition(least: float):
+    """A function over a partition sorted by cell, which holds one cell at a time and makes one result per batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        last = None
+
+        def done() -> tuple[np.ndarray, np.ndarray]:
+            probe, reps, unit = held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
+            return cell_edges(probe, reps, unit, least)
+
+        for b in batches:
+            if not len(b):
+                continue
+            key, probe, reps = b["cell_key"].to_numpy(), b["probe"].to_numpy(), b["rep"].to_numpy()
+            sizes = b["embedding"].map(len).to_numpy()
+            width = sizes.max()
+            unit = np.zeros((len(b), width))  # vectors of a cell have one length; the rest is padding
+            for n in np.unique(sizes):
+                unit[sizes == n, :n] = unit_rows(b["embedding"][sizes == n])
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(b)]
+            out = []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and key[lo] != last:
+                    out.append(done())
+                    held = []
+                held.append((probe[lo:hi], reps[lo:hi], unit[lo:hi, : sizes[lo]]))
+                last = key[lo]
+            out = [o for o in out if len(o[0])]
+            if out:
+                yield pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])})
+        if held:
+            a, b = done()
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST, tables: int = TABLES, probes: int = PROBES, scale: float = CELL_SCALE, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", embedding_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -141,10 +180,13 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, tables: int = TABL
 
     kind = distinct.schema["label"].dataType.simpleString()
     hashed = distinct.select("label", "embedding", "rep").mapInPandas(hash_rows, f"label {kind}, size int, hashed int, cell long, probe int, rep long")
-    met = in_blocks(hashed, ["label", "size", "hashed", "cell"], block_rows)
+    met = in_blocks(hashed, ["label", "size", "hashed", "cell"], block_rows, F.col("probe") == 0)
     vectors_of = distinct.select("rep", "embedding")
-    key = ["label", "size", "hashed", "cell", "x", "y"]
-    edges = met.join(vectors_of, "rep").groupBy(*key).applyInPandas(lambda pdf: cell_edges(pdf, least), "a long, b long")
+    name = F.concat_ws("/", *(F.col(c).cast("string") for c in ("label", "size", "hashed", "cell", "x", "y")))
+    # A row that meets a cell by several probes counts once, by the nearest.
+    once = met.groupBy(name.alias("cell_key"), "rep").agg(F.min("probe").alias("probe"))
+    sorted_cells = once.join(vectors_of, "rep").repartition("cell_key").sortWithinPartitions("cell_key", "rep")
+    edges = sorted_cells.mapInPandas(cells_of_partition(least), "a long, b long")
     reached = Stored(components(edges.distinct()), "components").df.withColumnRenamed("node", "rep")
 
     members = in_blocks(distinct.join(reached, "rep").select("component", "rep", "copies"), ["component"], block_rows)
@@ -168,3 +210,18 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, tables: int = TABL
     some = fine.join(linked, ["label", "embedding"]).select("id", "n_links", "component_id")
     none = rows.where("NOT fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return some.unionByName(none)
+
+
+#: The same result in DuckDB SQL: all pairs of a label.
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e) AND list_cosine_similarity(p.e, q.e) >= 0.98
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(b) AS component_id, vec_id = min(b) AS kept
+FROM reach JOIN embeddings ON vec_id = reach.a LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) c ON c.a = vec_id GROUP BY vec_id
+"""

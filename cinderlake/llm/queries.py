@@ -90,4 +90,4 @@ QUERIES = {
     )
 }
 #: The others are held against brute force, the tokenizer library or held-out rows in ``tests/llm``.
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op2_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat.SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op2_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat.SQL, "op8_embedding_near_dedup": lattice.SQL}
