@@ -11,10 +11,12 @@ repeat an id are labelled each.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +106,11 @@ class Tagger:
     transitions: np.ndarray
     start: np.ndarray
 
+    @cached_property
+    def name(self) -> str:
+        """A digest of what was learned."""
+        return hashlib.sha256(b"".join(x.tobytes() for x in (self.weights, self.lexical, self.transitions, self.start))).hexdigest()
+
     def emissions(self, words: list[str]) -> np.ndarray:
         """Exponentiated emission weights of lower-cased words, scaled to a largest weight of 1."""
         who, what = features(words)
@@ -197,6 +204,18 @@ def held_out(id_col):
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
+_labellers: dict[str, "Labeller"] = {}
+
+
+def labeller_of(tagger: Tagger | None) -> Labeller:
+    """The worker's labeller for a tagger, so that what one task has learned serves the next; one at a time is kept."""
+    name = tagger.name if tagger else ""
+    if name not in _labellers:
+        _labellers.clear()
+        _labellers[name] = Labeller(tagger)
+    return _labellers[name]
+
+
 class Labeller:
     """Labels texts with a tagger; keeps the emissions of words that it has met."""
 
@@ -205,28 +224,33 @@ class Labeller:
         self.known: dict[str, int] = {}
         self.emit = np.ones((1, len(tagger.languages) if tagger else 1))
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known, self.emit = {}, self.emit[:1]
-            return
-        fresh = sorted(w for w in words if w not in self.known)
+    def learn(self, words: set[str]) -> bool:
+        """Makes all ``words`` known; False if they alone are more than the cache holds.
+
+        A full cache keeps the half that was learned first, which has the frequent words.
+        """
+        fresh = [w for w in words if w not in self.known]
+        for keep in (CACHE_WORDS // 2, 0):
+            if len(self.known) + len(fresh) > CACHE_WORDS:
+                self.known = {w: i for w, i in self.known.items() if 0 < i <= keep}
+                self.emit = self.emit[: keep + 1]
+                fresh = [w for w in words if w not in self.known]
+        if len(fresh) > CACHE_WORDS:
+            return False
         if fresh:
             letters = [w for w in fresh if any(map(str.isalpha, w))]
             self.known.update(dict.fromkeys(fresh, -1))
             if letters:
                 self.known.update(zip(letters, range(len(self.emit), len(self.emit) + len(letters)), strict=True))
                 self.emit = np.concatenate([self.emit, self.tagger.emissions(letters)])
+        return True
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if self.tagger is None:
             return [("und", 0.0)] * len(texts)
         split = [WORD.findall(t.lower()) if t else [] for t in texts]
-        fresh = set().union(*split) if split else set()
-        self.learn(fresh)
-        if not fresh <= self.known.keys():
-            self.learn(fresh)
-            if not fresh <= self.known.keys():  # more different words than the cache holds: label by halves
-                return self.crowded(texts, split)
+        if not self.learn(set().union(*split)):
+            return self.crowded(texts, split)
         chains, owners = [], []
         for i, words in enumerate(split):
             ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -267,7 +291,7 @@ def label_batches(docs: DataFrame, tagger: Tagger | None, text_at: int, schema:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(tagger)
+        labeller = labeller_of(tagger)
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
             labels: list[tuple[str, float]] = []
