@@ -34,7 +34,7 @@ from cinderlake.shipping import ship
 
 DEPTH = 50
 #: Bytes of text in a group of documents, of these bytes hashed at once, and groups from which on a digit is dealt out by window.
-GROUP_BYTES, SLICE_BYTES, HOT_GROUPS = 5_000_000, 150_000, 64
+GROUP_BYTES, SLICE_BYTES, HOT_GROUPS = 8_000_000, 150_000, 64
 
 LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -193,7 +193,7 @@ CONTENT, PLACE = (8, 4, 4), (4, 4, 4)
 
 
 def squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def expand(raw: bytes) -> bytes:
@@ -470,7 +470,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, h
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups = max(1, math.ceil(total / group_bytes))
-    buckets, parts = max(1, groups // 2), 4
+    buckets, parts = max(1, groups // 2), 2
     ref = F.xxhash64(docs[id_col].cast("long"), text)
     columns = [F.pmod(ref, F.lit(groups)).cast("long").alias("key"), ref.alias("ref"), docs[id_col].cast("long").alias("id"), text.alias("text")]
     result = T.StructType.fromDDL("id long, ref long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
