@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -79,8 +80,11 @@ class BpeCodec:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
+        # The same pattern with ASCII ranges, for ASCII texts: the standard module matches it faster.
+        plain = pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")
+        self.ascii_pattern = self.pattern if r"\p" in plain else re.compile(plain, re.ASCII)
         self.letters = byte_letters()
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.ids, self.texts = Memo(self, 0), Memo(self, 1)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges the leftmost pair of lowest rank until no adjacent pair can merge."""
@@ -107,35 +111,48 @@ class BpeCodec:
                 tree.set(h, key(h, i))
         return [x for x in ids if x >= 0]
 
-    def word(self, piece: str) -> tuple[int, str, str]:
-        """Of one pre-token: how many ids, the ids and the tokens, each joined by one space."""
-        if (known := self.cache.get(piece)) is not None:
-            return known
+    def word(self, piece: str) -> tuple[str, str]:
+        """Ids and tokens of one pre-token, each joined by one space."""
         symbols = [self.letters[b] for b in piece.encode("utf-8")]
         symbols[-1] += self.end
         ids = self.merge([self.vocab[s] for s in symbols])
-        made = len(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids)
+        made = " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids)
+        if len(self.ids) >= CACHE_ENTRIES:
+            self.ids.clear()
+            self.texts.clear()
         if len(piece) <= CACHE_LENGTH:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[piece] = made
+            self.ids[piece], self.texts[piece] = made
         return made
 
     def pieces(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma: letters are lowered one by one
+        if text.isascii():
+            return self.ascii_pattern.findall(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma: letters are lowered one by one
         return self.pattern.findall(text.lower())
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """How many ids, the ids, and the decoded text, of a whole text."""
-        parts: list[tuple[int, str, str]] = []
+        ids: list[str] = []
+        texts: list[str] = []
         for part in self.at_special.split(text) if self.at_special else [text]:
             if part in self.special:
-                parts.append((1, str(self.special[part]), part))
-            elif part:
-                known, word = self.cache, self.word
-                parts += [known.get(p) or word(p) for p in self.pieces(part)]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+                ids.append(str(self.special[part]))
+                texts.append(part)
+            elif part and (pieces := self.pieces(part)):
+                ids.append(" ".join(map(self.ids.__getitem__, pieces)))
+                texts.append(" ".join(map(self.texts.__getitem__, pieces)))
+        joined = " ".join(ids)
+        return joined.count(" ") + 1 if joined else 0, joined, " ".join(texts)
+
+
+class Memo(dict):
+    """Ids (0) or tokens (1) of pre-tokens, encoded when first asked for."""
+
+    def __init__(self, codec: BpeCodec, part: int) -> None:
+        self.codec, self.part = codec, part
+
+    def __missing__(self, piece: str) -> str:
+        return self.codec.word(piece)[self.part]
 
 
 _codecs: dict[str, BpeCodec] = {}
