@@ -138,14 +138,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col:
     )
     marked = with_fingerprint(cut.withColumn("hashes", shingle_hashes(F.col("words"))))
     marked = marked.select("ref", "id", "n", "start", "fp", "words")
-    index = items.select("item_id", "n", F.col("fp").alias("item_fp"), "item_words", F.explode(near_values(block_values(F.col("fp")))).alias("b"))
-    index = index.select("item_id", "n", "item_fp", "item_words", "b.block", "b.value")
+    index = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(near_values(block_values(F.col("fp")))).alias("b"))
+    index = index.select("item_id", "n", "item_fp", "b.block", "b.value")
     asked = marked.select("*", F.explode(block_values(F.col("fp"))).alias("b")).select("ref", "id", "n", "start", "fp", "words", "b.block", "b.value")
     near = asked.join(broadcast_if_small(index, 200_000), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     # A pair that meets in several blocks is verified in the first of them.
     nearness = lambda i: F.bit_count(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("item_fp")), BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)))
     first = F.coalesce(*(F.when(nearness(i) <= BLOCK_RADIUS, F.lit(i)) for i in range(BLOCKS)))
-    pairs = near.where(F.col("block") == first)
+    pairs = near.where(F.col("block") == first).join(broadcast_if_small(items.select("item_id", "item_words")), "item_id")
     texts = pairs.withColumn("a", shingle_texts(F.col("words"))).withColumn("b", shingle_texts(F.col("item_words")))
     similarity = 2.0 * shared_weight(F.col("a"), F.col("b")) / (F.size("a") + F.size("b"))
     # The bound on the similarity is put behind the grouping: before it, Spark would work the similarity out twice.
