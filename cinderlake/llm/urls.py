@@ -19,8 +19,8 @@ from cinderlake.llm.common import broadcast_if_small
 
 # The rules as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Bounds of the mining: labelled URLs, least support and confidence, most tokens of a rule.
-TRAIN_ROWS, LEAST_SUPPORT, LEAST_CONFIDENCE, MOST_TOKENS = 200_000, 0.02, 0.9, 4
+#: Bounds of the mining: least support and confidence, most tokens of a rule.
+LEAST_SUPPORT, LEAST_CONFIDENCE, MOST_TOKENS = 0.02, 0.9, 4
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,18 +62,16 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(F.coalesce(host, F.lit("")) != "", found).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, rows: int = TRAIN_ROWS, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> list[tuple[tuple[str, ...], float]]:
+def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> list[tuple[tuple[str, ...], float]]:
     """Token sets that imply ``block``, from ``labelled(items array<string>, verdict string)``, with their confidence.
 
-    At most about ``rows`` labelled URLs are mined, chosen by a hash of the URL;
-    the number of rules is bounded by the support and the most tokens of a rule.
+    All labelled URLs are mined, repeats counted; the number of rules is bounded by the support and the most tokens of
+    a rule.
     """
-    total = labelled.count()
-    if not total:
+    if labelled.isEmpty():
         return []
-    share = F.pmod(F.xxhash64("salt"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(share < rows / total).select(F.concat("items", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(sample)
+    sets = labelled.select(F.concat("items", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(sets)
     rules = model.associationRules.where((F.col("consequent") == F.array(F.lit("=block"))) & (F.size("antecedent") <= MOST_TOKENS))
     rules = rules.where(~F.exists("antecedent", lambda x: x.startswith("=")))
     found = sorted(((tuple(sorted(r["antecedent"])), r["confidence"]) for r in rules.collect()), key=lambda x: (len(x[0]), x[0]))
@@ -105,10 +103,10 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, id_col
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = shaped.select("id", "url", "host", "path", name.alias("rule"), verdict.alias("ruled"), tokens(F.col("url"), F.col("host"), F.col("path")).alias("items"))
     if labels is None:
-        labelled = ruled.select("items", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.col("url").alias("salt"))
+        labelled = ruled.select("items", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
     else:
         host, path = host_of(labels["url"]), path_of(labels["url"])
-        labelled = labels.where("verdict IS NOT NULL").select(tokens(labels["url"], host, path).alias("items"), "verdict", F.col("url").alias("salt"))
+        labelled = labels.where("verdict IS NOT NULL").select(tokens(labels["url"], host, path).alias("items"), "verdict")
     mined = mine(labelled.where(F.size("items") > 0))
     # Token sets repeat: each is matched once.
     open_sets = ruled.where("ruled IS NULL").select("items").distinct()

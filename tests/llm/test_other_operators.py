@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cinderlake.llm import chat, lattice, queries, urls
@@ -90,6 +91,17 @@ def test_mined_rules_fire_where_all_their_tokens_are(spark):
     assert got == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_a_hot_url_keeps_its_support_in_a_large_table(spark):
+    n = 300_000
+    rows = spark.range(n).withColumn("hot", F.col("id") % 3 == 0)
+    hot = "http://a11.spam.example/buy"
+    # Left out by a draw of 200,000 of these rows by a hash of the URL.
+    assert rows.limit(1).select((F.pmod(F.xxhash64(F.lit(hot)), F.lit(1 << 30)) / float(1 << 30)).alias("share")).first()["share"] > 2 / 3
+    labels = rows.select(F.when(F.col("hot"), hot).otherwise(F.concat(F.lit("http://s"), "id", F.lit(".fine.example/read"))).alias("url"), F.when(F.col("hot"), "block").otherwise("allow").alias("verdict"))
+    pages = spark.createDataFrame([(1, "http://other.spam.example/buy"), (2, "http://other.fine.example/read")], "page_id long, url string")
+    assert {r["id"]: r["verdict"] for r in urls.judge(pages, labels=labels).collect()} == {1: "block", 2: "allow"}
+
+
 # Pipeline
 
 
