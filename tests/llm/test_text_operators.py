@@ -163,6 +163,40 @@ def test_licences(spark, sf, same):
     assert {(r["id"], r["licence"]) for r in licenses.scan(docs(spark, rows)).where("score = 1").collect()} == {(1, "CC-BY-NC-4.0"), (3, "All-rights-reserved"), (4, "MIT-grant")}
 
 
+GRANT = licenses.TEMPLATES["MIT-grant"].split()
+NOTICES = [
+    ("This project is licensed under the MIT License.", {"MIT-notice"}), ("This software is released under the MIT License.", {"MIT"}), ("This work is licensed under CC BY 4.0.", {"CC-BY-4.0"}),
+    ("Copyright 2024 Acme, all rights reserved.", {"All-rights-reserved"}), ("It may be\n * licensed under the\n * MIT License as a whole", {"MIT-notice"}), ("This project is licensed under CC BY-NC-ND 4.0.", {"CC-BY-NC-ND-4.0"}),
+    ("\n".join("# " + " ".join(x) for x in [["Copyright", "2024", "Acme"], *(GRANT[i : i + 9] for i in range(0, len(GRANT), 9)), *(sentence(9, k).split() for k in range(20))]), {"MIT-grant"}),
+    ("The project was licensed to us, all of it under the rights that the MIT licence reserved.", set()),
+]
+
+
+def test_notices_within_longer_units(spark):
+    got = licenses.scan(docs(spark, [(i, t) for i, (t, _) in enumerate(NOTICES)])).collect()
+    assert {(r["id"], r["licence"]) for r in got} == {(i, n) for i, (_, names) in enumerate(NOTICES) for n in names} and all(r["score"] >= 0.8 for r in got)
+
+
+def test_windows_equal_brute_force(spark):
+    r, rows = random.Random(7), []
+    for i in range(150):
+        w = [x for _ in range(r.randint(1, 3)) for x in sentence(r.randint(0, 12), r.random()).split() + licenses.plain_words(r.choice(list(licenses.TEMPLATES.values())))]
+        rows.append((i, " ".join(x if r.random() > 0.06 else r.choice(["", "the", "other"]) for x in w)))
+    want = set()
+    for i, t in rows:
+        w = licenses.plain_words(t)
+        for name, text in licenses.TEMPLATES.items():
+            known, k = set(licenses.plain_bigrams(text)), len(licenses.plain_words(text))
+            hits = [p for p in range(len(w) - 1) if f"{w[p]} {w[p + 1]}" in known]
+            for p in {min(p, len(w) - k) for p in hits} if len(w) >= k else ():
+                have = set(licenses.plain_bigrams(" ".join(w[p : p + k])))
+                score = 2 * len(have & known) / (len(have) + len(known))
+                if score >= licenses.LEAST:
+                    want.add((i, name, " ".join(w[p : p + k]), round(score, 6)))
+    got = licenses.windows(docs(spark, rows).selectExpr("doc_id AS id", "text AS body"), licenses.TEMPLATES, licenses.LEAST).collect()
+    assert {(x["id"], x["m"]["licence"], x["unit"], round(x["m"]["score"], 6)) for x in got} == want and len(want) > 100
+
+
 def test_telling_words_prune_nothing():
     for text in licenses.TEMPLATES.values():
         grams = licenses.plain_bigrams(text)
