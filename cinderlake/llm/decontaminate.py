@@ -121,8 +121,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col:
     found = split.select("ref", F.size("words").alias("size"), F.posexplode(shingle_hashes(F.col("words"))).alias("pos", "hash")).join(known, "hash")
 
     # Starts from which enough of the item's shingles lie in a window; at the end of a document the window slides back.
-    need = F.ceil(least * F.col("n") / (2 - least)).cast("int")  # shared >= least * (window + n) / 2 and window >= shared
-    full = F.ceil(least * F.col("n")).cast("int")
+    # The quotients can lie just above a whole number, as 8.000000000000002 for n = 12.
+    need = F.ceil(least * F.col("n") / (2 - least) - 1e-9).cast("int")  # shared >= least * (window + n) / 2 and window >= shared
+    full = F.ceil(least * F.col("n") - 1e-9).cast("int")
     span = F.least(F.col("n"), F.col("size") - (WIDTH - 1))  # shingles of a window
     least_shared = F.when(span == F.col("n"), full).otherwise(need)
     places = found.groupBy("ref", "item_id", "n", "size").agg(F.sort_array(F.collect_set("pos")).alias("at"))

@@ -157,6 +157,16 @@ def test_planted_passages_are_found_and_clean_ones_kept(spark):
     assert {r["doc_id"] for r in decontaminate.keep_clean(docs(spark, rows), bench).collect()} == {1, 5, 6}
 
 
+def test_two_thirds_of_an_item_are_found(spark):
+    sizes = (3, 6, 12)
+    item = {n: [f"{w}{n}" for w in sentence(400, n).split()][: n + 4] for n in sizes}
+    rows = [(n, " ".join(item[n][: 2 * n // 3 + 4])) for n in sizes] + [(100 + n, " ".join(item[n][: 2 * n // 3 + 3])) for n in sizes]
+    bench = spark.createDataFrame([(n, " ".join(item[n])) for n in sizes], "item_id long, text string")
+    found = decontaminate.contaminated(docs(spark, rows), bench).collect()
+    assert {(r["id"], r["item_id"], r["similarity"]) for r in found} == {(n, n, 0.8) for n in sizes}
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs(spark, rows), bench).collect()} == {100 + n for n in sizes}
+
+
 def test_licences(spark, sf, same):
     same(queries.op1_license_scan(spark, sf), queries.ORACLES["op1_license_scan"])
     rows = [(1, "Some prose.\nLicensed under CC BY-NC 4.0."), (2, "licence talk: we are not licensed to say"), (3, "ALL RIGHTS RESERVED"), (4, licenses.TEMPLATES["MIT-grant"])]
