@@ -19,8 +19,8 @@ from cinderlake.llm.common import broadcast_if_small
 
 # The rules as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Bounds of the mining: least support and confidence, most tokens of a rule.
-LEAST_SUPPORT, LEAST_CONFIDENCE, MOST_TOKENS = 0.02, 0.9, 4
+#: Bounds of the mining: least support and confidence.
+LEAST_SUPPORT, LEAST_CONFIDENCE = 0.02, 0.9
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,14 +65,13 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> list[tuple[tuple[str, ...], float]]:
     """Token sets that imply ``block``, from ``labelled(items array<string>, verdict string)``, with their confidence.
 
-    All labelled URLs are mined, repeats counted; the number of rules is bounded by the support and the most tokens of
-    a rule.
+    All labelled URLs are mined, repeats counted; rules may be of any length.
     """
     if labelled.isEmpty():
         return []
     sets = labelled.select(F.concat("items", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(sets)
-    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit("=block"))) & (F.size("antecedent") <= MOST_TOKENS))
+    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit("=block")))
     rules = rules.where(~F.exists("antecedent", lambda x: x.startswith("=")))
     found = sorted(((tuple(sorted(r["antecedent"])), r["confidence"]) for r in rules.collect()), key=lambda x: (len(x[0]), x[0]))
     kept: list[tuple[tuple[str, ...], float]] = []

@@ -102,6 +102,15 @@ def test_a_hot_url_keeps_its_support_in_a_large_table(spark):
     assert {r["id"]: r["verdict"] for r in urls.judge(pages, labels=labels).collect()} == {1: "block", 2: "allow"}
 
 
+def test_rules_of_five_tokens_fire(spark):
+    steps = ["a", "b", "c", "d", "e"]
+    urls_of = ["http://x.example/" + "/".join(steps), *("http://x.example/" + "/".join(s for s in steps if s != out) for out in steps)]
+    labelled = [(u, "allow" if k else "block") for k, u in enumerate(urls_of) for _ in range(30)]
+    pages = spark.createDataFrame(list(enumerate(urls_of)), "page_id long, url string")
+    got = {r["id"]: r["verdict"] for r in urls.judge(pages, labels=spark.createDataFrame(labelled, "url string, verdict string")).collect()}
+    assert got == {0: "block", **dict.fromkeys(range(1, 6), "allow")}
+
+
 # Pipeline
 
 
