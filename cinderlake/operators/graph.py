@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.storage import Stored
+from cinderlake.storage import Stored, broadcast_if_small
+
+#: Links of one node in one join partition; a node with more is dealt out.
+HOT_LINKS = 100_000
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row ``(node, component)`` for each node of an edge.
 
     ``component`` is the smallest node that can be reached. Alternating large-star and small-star rounds; each
-    round is written to the shared folder, so that a lost executor costs one round at most. All groupings are
+    round is written to the shared folder, so that a lost executor costs one round at most, and the last round's table stays there. All groupings are
     sums or minima that combine before the shuffle. No edges: an empty table.
     """
     links = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
@@ -20,11 +23,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     ).distinct()
     now = Stored(links, "links")
     sign = None
+    seen = (now.df.count(),)
     for _ in range(most_rounds):
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         # large star: each neighbour above a node is tied to the least of the node's neighbourhood
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = told_least(both.where("v > u"), low, seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: each node's smaller neighbours, and the node, are tied to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -40,3 +44,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
     stars = now.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def told_least(links: DataFrame, low: DataFrame, n_links: int) -> DataFrame:
+    """``links(u, v)`` with ``m`` of ``low(u, m, n)``. Nodes with very many links, of which there can be few, are dealt out by their neighbour."""
+    hot = low.where(F.col("n") > HOT_LINKS).select("u", F.ceil(F.col("n") / HOT_LINKS).alias("shares")) if n_links > HOT_LINKS else None
+    if hot is None or hot.isEmpty():
+        return links.join(low.drop("n"), "u")
+    hot = broadcast_if_small(hot)
+    salt = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.col("shares")), F.lit(0).cast("long"))
+    dealt = links.join(hot, "u", "left").select("u", "v", salt("v").alias("salt"))
+    each = low.join(hot, "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("shares"), F.lit(1)) - 1)).alias("salt"))
+    return dealt.join(each, ["u", "salt"])

@@ -5,17 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side may be broadcast; beyond it the same join is left to a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a side may be broadcast; beyond them the same join is left to a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset and all run on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="cinderlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -41,9 +44,26 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return Stored(df, what).df
 
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint when ``df`` is counted to have at most ``most`` rows; else ``df`` itself, for a shuffled join.
+def value_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: what its strings and arrays hold, and eight for each other value."""
+    parts = [F.lit(8)]
+    for field in df.schema:
+        c, kind = df["`" + field.name.replace("`", "``") + "`"], field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            parts.append(F.coalesce(F.octet_length(F.array_join(c, "        ")), F.lit(0)))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(c if not isinstance(kind, T.StructType) else F.array(c))), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    return sum(parts[1:], parts[0]).cast("long")
 
-    The count stops after ``most + 1`` rows.
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint when ``df`` is found to have at most ``most`` rows and ``most_bytes`` bytes; else ``df`` itself, for a shuffled join.
+
+    Counting stops after ``most + 1`` rows.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    n, size = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(value_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= most_bytes else df
