@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import slices
+from cinderlake.llm.common import held, slices
 from cinderlake.shipping import ship
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -33,7 +33,7 @@ CHAIN, HASHED, NGRAM, AFFIX = 64, 1 << 15, 3, 4
 TRAIN_ROWS, TRAIN_CHARS, LEXICON = 250, 3000, 400
 ROUNDS = 40
 #: Words whose emissions a Python worker keeps, and characters of text labelled at once.
-CACHE_WORDS, SLICE_CHARS = 200_000, 500_000
+CACHE_WORDS, SLICE_CHARS = 80_000, 250_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -204,16 +204,9 @@ def held_out(id_col):
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
-_labellers: dict[str, "Labeller"] = {}
-
-
 def labeller_of(tagger: Tagger | None) -> Labeller:
-    """The worker's labeller for a tagger, so that what one task has learned serves the next; one at a time is kept."""
-    name = tagger.name if tagger else ""
-    if name not in _labellers:
-        _labellers.clear()
-        _labellers[name] = Labeller(tagger)
-    return _labellers[name]
+    """The worker's labeller for a tagger, so that what one task has learned serves the next."""
+    return held(f"language {tagger.name if tagger else None}", lambda: Labeller(tagger))
 
 
 class Labeller:

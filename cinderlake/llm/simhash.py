@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import Stored, components
+from cinderlake.llm.common import Stored, column, components, fresh_name, let_go
 from cinderlake.shipping import ship
 
 #: Fingerprints of a leaf of the tree, compared one with all.
@@ -61,12 +61,13 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     """``(id, fp)``, one row per row of ``docs``; fp holds the 64 bits as a signed long. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             fps = [fingerprint(t.as_py(), width) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
 
     ship(docs.sparkSession)
-    two = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    two = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
     return two.mapInArrow(run, "id long, fp long")
 
 
@@ -251,6 +252,6 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, shard_rows
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose document has the smallest id of its component, all columns; null ids stay."""
-    id_col = options.get("id_col", "doc_id")
-    drop = near_duplicates(docs, **options).where("component_id <> id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(drop, docs[id_col].cast("long") == drop["_gone"], "left_anti")
+    id_col, name = options.get("id_col", "doc_id"), fresh_name(docs, "gone")
+    drop = near_duplicates(docs, **options).where("component_id <> id").select(F.col("id").alias(name)).distinct()
+    return docs.join(drop, column(docs, id_col).cast("long") == drop[name], "left_anti")

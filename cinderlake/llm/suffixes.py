@@ -30,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinderlake.llm.common import broadcast_if_small, column, let_go
 from cinderlake.shipping import ship
 
 DEPTH = 50
 #: Bytes of text in a group of documents, of these bytes hashed at once, and groups from which on a digit is dealt out by window.
 GROUP_BYTES, SLICE_BYTES, HOT_GROUPS = 8_000_000, 150_000, 64
+#: What a row takes in a group beside its text.
+ROW_BYTES = 32
 
 LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -115,6 +118,7 @@ class Texts:
     """The texts of an Arrow table as one byte array with bounds, and their ids and references."""
 
     def __init__(self, table: pa.Table) -> None:
+        let_go()
         table = table.combine_chunks()
         column = lambda name: c.chunk(0) if (c := table.column(name)).num_chunks else pa.array([], c.type)
         texts = column("text").cast(pa.large_binary())
@@ -234,14 +238,29 @@ def records(bucket: np.ndarray, key: int, contents: list[np.ndarray], around: np
 
 
 def row_hashes(rows: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
-    wide[:, : rows.shape[1]] = rows
     h = np.zeros(len(rows), np.uint64)
-    for word in wide.view("<u8").T:
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + word)
+    for some in chunks(len(rows)):
+        wide = np.zeros((some.stop - some.start, -(-rows.shape[1] // 8) * 8), np.uint8)
+        wide[:, : rows.shape[1]] = rows[some]
+        for word in wide.view("<u8").T:
+            h[some] = mixed(h[some] * np.uint64(0x9E3779B97F4A7C15) + word)
     return h
 
 
+def chunks(n: int, size: int = 16_384) -> list[slice]:
+    """Slices of rows, so that what is gathered beside the rows themselves stays small."""
+    return [slice(a, min(n, a + size)) for a in range(0, n, size)]
+
+
+def masked(view: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, side: int, depth: int) -> np.ndarray:
+    """The given rows of a matrix of bytes, without the bytes outside the windows at offsets ``low`` to ``high``."""
+    out = np.empty((len(rows), view.shape[1]), np.uint8)
+    columns = np.arange(view.shape[1])
+    for some in chunks(len(rows)):
+        out[some] = view[rows[some]] * ((columns >= (side - high[some])[:, None]) & (columns < (side - low[some] + depth)[:, None]))
+    return out
+
+
 def same_contents(low: np.ndarray, high: np.ndarray, around: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A row of each different content, the content of each row, and the smallest id of each content.
 
@@ -249,7 +268,9 @@ def same_contents(low: np.ndarray, high: np.ndarray, around: np.ndarray, ids: np
     same hash come between, a content is sent twice.
     """
     order = np.argsort(mixed(row_hashes(around) + (low * 4096 + high).astype(np.uint64)))
-    same = (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]]) & (around[order[1:]] == around[order[:-1]]).all(axis=1)
+    same = (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]])
+    for some in chunks(len(same)):
+        same[some] &= (around[order[1:][some]] == around[order[:-1][some]]).all(axis=1)
     new = np.r_[True, ~same]
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
@@ -298,8 +319,7 @@ def send_windows(docs: pa.Table, answers: pa.Table, depth: int, gram: int, bucke
     owner, at, digit = owner[row], at[row], digit[row]
     side, width = depth - gram, 2 * depth - gram
     padded = np.concatenate([np.zeros(side, np.uint8), texts.flat, np.zeros(width, np.uint8)])
-    around = np.lib.stride_tricks.sliding_window_view(padded, width)[at]  # starts ``side`` bytes before the digit
-    around *= covered(low, high, side, width, depth)
+    around = masked(np.lib.stride_tricks.sliding_window_view(padded, width), at, low, high, side, depth)  # starts ``side`` bytes before the digit
     ids, local, place = texts.id[owner], texts.local[owner], at - texts.bounds[owner]
     first, of, least = same_contents(low, high, around, ids)
     late = ids > least[of]
@@ -319,18 +339,13 @@ def send_windows(docs: pa.Table, answers: pa.Table, depth: int, gram: int, bucke
     return pa.Table.from_pylist(out, RECORDS)
 
 
-def covered(low: np.ndarray, high: np.ndarray, side: int, width: int, depth: int) -> np.ndarray:
-    columns = np.arange(width)
-    return (columns >= (side - high)[:, None]) & (columns < (side - low + depth)[:, None])
-
-
 def window_records(rows, of, first, least, low, high, around, ids, local, place, key: int, buckets: int, depth: int, gram: int) -> list[dict]:
     """Contents that very many groups have, window by window, in buckets by the bytes of the window."""
     contents = np.unique(of[rows])
     many = high[first[contents]] - low[first[contents]] + 1
     each = np.repeat(contents, many)
     offset = low[first[each]] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
-    bytes_of = around[first[each]] * covered(offset, offset, depth - gram, around.shape[1], depth)
+    bytes_of = masked(around, first[each], offset, offset, depth - gram, depth)
     head, window, small = same_contents(offset, offset, bytes_of, least[each])
     begin = np.zeros(len(first) + 1, np.int64)
     begin[contents] = np.cumsum(many) - many
@@ -349,33 +364,58 @@ def window_records(rows, of, first, least, low, high, around, ids, local, place,
 SPANS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("spans", pa.binary())])
 
 
-def passes(depth: int) -> list[list[tuple[int, int]]]:
-    """Digits of 16 bytes, as pairs of words of 8: their places in the window, and what of a last, shorter word counts."""
-    words = [(a, (1 << 8 * min(8, depth - a)) - 1) for a in range(0, depth, 8)]
-    return [words[i : i + 2] for i in range(0, len(words), 2)]
-
+def repeated_windows(word: np.ndarray, start: np.ndarray, who: np.ndarray, depth: int) -> np.ndarray:
+    """Which of the windows at ``start`` also occur for a smaller id: a radix sort, most significant digit first.
 
-def grouped(group: np.ndarray, digits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """An order in which equal (group, digit) are neighbours, and where a new one begins.
-
-    Sorted by a hash of both, which sorts fast. Should two of them share a hash, by the values themselves.
+    ``word`` has the eight bytes from each place on as a big-endian number, so that keys sort as bytes do. A pass sorts
+    by the number of the group so far, then by as many further bytes as fit beside it into 64 bits. Groups of one
+    document are dropped after each pass; those left after ``depth`` bytes are the repeated windows.
     """
-    key = group.astype(np.uint64)
-    for d in digits:
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + d)
-    order = np.argsort(key)
-    key = key[order]
-    for again in (False, True):
-        if again:
-            order = np.lexsort((*digits, group))
-        edge = np.r_[True, np.any([x[order[1:]] != x[order[:-1]] for x in (group, *digits)], axis=0)]
-        if again or not (edge[1:] & (key[1:] == key[:-1])).any():
-            return order, edge
-    raise AssertionError
+    live, done, group = np.arange(len(start)), 0, np.zeros(len(start), np.uint64)
+    none, least = np.zeros(0, np.int64), None
+    if not len(start):
+        return none
+    while done < depth:
+        groups = int(group[-1]) + 1 if len(group) else 1
+        size = min(8 - -(-(groups - 1).bit_length() // 8), depth - done)
+        key = word[start[live] + done].astype(np.uint64) >> np.uint64(64 - 8 * size)
+        if size < 8:
+            key |= group << np.uint64(8 * size)
+        done += size
+        apart = key[1:] != key[:-1]
+        if least is not None:
+            if np.count_nonzero(apart) == groups - 1:  # the bytes of each group are all equal
+                continue
+            uneven = np.zeros(groups, bool)
+            uneven[group[1:][apart & (group[1:] == group[:-1])]] = True
+            rows = np.flatnonzero(uneven[group])
+            order = rows[np.argsort(key[rows])]
+            key[rows], live[rows] = key[order], live[order]
+        else:
+            live = np.argsort(key)
+            key = key[live]
+        edge = np.concatenate([[True], key[1:] != key[:-1]])
+        several = ~edge  # not the only row of its group
+        several[:-1] |= ~edge[1:]
+        live, edge = live[several], edge[several]
+        if not len(live):
+            return none
+        heads = np.flatnonzero(edge)
+        who_now = who[live]
+        least, most = np.minimum.reduceat(who_now, heads), np.maximum.reduceat(who_now, heads)
+        name = np.cumsum(edge) - 1
+        stay = (least < most)[name]
+        live = live[stay]
+        if not len(live):
+            return none
+        least = least[name[stay]]
+        group = (np.cumsum(edge[stay]) - 1).astype(np.uint64)
+    return live[who[live] > least]
 
 
 def repeated(table: pa.Table, depth: int, gram: int) -> pa.Table:
-    """Step 2, sorting side: the windows of a bucket, by offset, by digits of 16 bytes, most significant first."""
+    """Step 2, sorting side: the repeated windows of a bucket. Windows with their digit at different offsets never meet, so one offset is sorted at a time."""
+    let_go()
     counts = [(table.column(c).to_pylist(), table.column(k).to_pylist(), w) for c, k, w in (("contents", "n", CONTENT), ("places", "m", PLACE))]
     (ids, low, high), (of, local, place) = ([np.concatenate(x) for x in zip(*(from_planes(r, n, w) for r, n in zip(raw, ns, strict=True)), strict=True)] for raw, ns, w in counts)
     n, m = counts[0][1], counts[1][1]
@@ -385,28 +425,14 @@ def repeated(table: pa.Table, depth: int, gram: int) -> pa.Table:
         return spans(key, local, place - high[of], place - low[of] + depth)
     width, side = 2 * depth - gram, depth - gram
     around = b"".join([*map(expand, table.column("bytes").to_pylist()), bytes(8)])
-    word = np.ndarray(len(around) - 7, "<u8", around, strides=(1,))  # the 8 bytes from each place on
-    many = high - low + 1
-    row = np.repeat(np.arange(len(ids)), many)
-    offset = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    start = row * width + side - offset
-    live, group, least = np.arange(len(row)), offset, np.zeros(0, np.int64)
-    for at in passes(depth):
-        digits = [word[start[live] + a] & np.uint64(mask) for a, mask in at]
-        order, edge = grouped(group, digits)
-        heads = np.flatnonzero(edge)
-        who = ids[row[live[order]]]
-        least, most = np.minimum.reduceat(who, heads), np.maximum.reduceat(who, heads)
-        name = np.cumsum(edge) - 1
-        stay = (least < most)[name]
-        live, group, least = live[order[stay]], name[stay], least[name[stay]]
-        if not len(live):
-            return SPANS.empty_table()
-    again = live[ids[row[live]] > least]
-    # The windows of a content overlap, all over its digit: together they are one span.
+    word = np.ndarray(len(around) - 7, ">u8", around, strides=(1,))
+    # The repeated windows of a content overlap, all over its digit: together they are one span.
     lowest, highest = np.full(len(ids), 1 << 30), np.full(len(ids), -1)
-    np.minimum.at(lowest, row[again], offset[again])
-    np.maximum.at(highest, row[again], offset[again])
+    for offset in range(int(low.min()), int(high.max()) + 1):
+        row = np.flatnonzero((low <= offset) & (offset <= high))
+        again = row[repeated_windows(word, row * width + side - offset, ids[row], depth)]
+        lowest[again] = np.minimum(lowest[again], offset)
+        highest[again] = offset
     hit = np.flatnonzero(highest[of] >= 0)
     return spans(key[hit], local[hit], place[hit] - highest[of[hit]], place[hit] - lowest[of[hit]] + depth)
 
@@ -461,22 +487,32 @@ def cut(docs: pa.Table, found: pa.Table, with_text: bool) -> pa.Table:
 def dedup(docs: DataFrame, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS, keep: tuple[str, ...] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` per row of ``docs``; with ``keep`` also the text that is kept.
 
-    The texts are shuffled once, by a hash of id and text, into groups of about ``group_bytes``; all three steps read
-    that shuffle. ``keep`` names columns to carry along, in a struct ``extra``. Removed spans may cut a character in
+    The texts are shuffled once, by a hash of id and text, into groups of about ``group_bytes``, one text at least; all
+    three steps read that shuffle. A text may have up to 2 GiB. ``keep`` names columns to carry along, in a struct ``extra``. Removed spans may cut a character in
     two: the column ``kept`` leaves out the bytes of such halves, the digest has them.
     """
     gram = max(1, (depth + 1) // 3)
     ship(docs.sparkSession)
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    text = F.coalesce(column(docs, text_col).cast("string"), F.lit(""))
+    id_ = column(docs, id_col).cast("long")
+    ref = F.xxhash64(id_, text)
+    sizes = docs.select(ref.alias("ref"), (F.octet_length(text) + ROW_BYTES).alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
     groups = max(1, math.ceil(total / group_bytes))
     buckets, parts = max(1, groups // 2), 2
-    ref = F.xxhash64(docs[id_col].cast("long"), text)
-    columns = [F.pmod(ref, F.lit(groups)).cast("long").alias("key"), ref.alias("ref"), docs[id_col].cast("long").alias("id"), text.alias("text")]
+    columns = [ref.alias("ref"), id_.alias("id"), text.alias("text")]
     result = T.StructType.fromDDL("id long, ref long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if keep is not None:
-        columns.append(F.struct(F.lit(0).alias("_"), *(docs[c] for c in keep)).alias("extra"))
-    keyed = docs.select(*columns).repartition(groups, "key")
+        columns.append(F.struct(F.lit(0).alias("none"), *(column(docs, c).alias(f"c{i}") for i, c in enumerate(keep))).alias("extra"))
+    rows = docs.select(*columns)
+    # Rows that repeat one id and text so often that they would fill a group are dealt out over several: at most four such pairs a group.
+    often = sizes.groupBy("ref").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("size") > group_bytes / 4))
+    salt = F.lit(0)
+    if not often.isEmpty():
+        often = often.select("ref", F.ceil(4 * F.col("size") / group_bytes).alias("shares"))
+        rows = rows.join(broadcast_if_small(often), "ref", "left")
+        salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("shares")), F.lit(0))
+    keyed = rows.withColumn("key", F.pmod(F.xxhash64("ref", salt), F.lit(groups)).cast("long")).drop("shares").repartition(groups, "key")
     if keep is not None:
         result = result.add("kept", "string").add(keyed.schema["extra"])
     digits = keyed.groupBy("key").applyInArrow(lambda t: send_digits(t, depth, gram, buckets), "bucket long, key long, codes binary, several binary")
@@ -493,7 +529,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with the repeated spans cut out of the texts, all columns; rows that lose all but white space go."""
     found = dedup(docs, keep=tuple(docs.columns), id_col=id_col, text_col=text_col, **options)
     found = found.where("n_removed = 0 OR trim(kept) <> ''")
-    new = {text_col: F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"extra.{text_col}"))}
-    if size_col in docs.columns:
-        new[size_col] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[size_col].dataType)).otherwise(F.col(f"extra.{size_col}"))
-    return found.select(*(new.get(c, F.col(f"extra.{c}")).alias(c) for c in docs.columns))
+    new = {text_col: F.col("kept"), size_col: F.length("kept")}
+    out = []
+    for i, (name, kind) in enumerate(zip(docs.columns, docs.schema, strict=True)):
+        was = F.col(f"extra.c{i}")
+        out.append((F.when(F.col("n_removed") > 0, new[name].cast(kind.dataType)).otherwise(was) if name in new else was).alias(name))
+    return found.select(*out)
