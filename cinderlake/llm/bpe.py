@@ -4,7 +4,13 @@ Each leaf of the tree holds the merge rank of one adjacent pair of symbols; the
 first. A merge changes three leaves, each in logarithmic time, so a run of n symbols costs O(n log n) even where
 a text is one unbroken word. Pre-tokens repeat, so short ones are looked up once encoded.
 
-Null texts are encoded as empty ones: no ids, and an empty decoded text.
+Letters, numbers, white space, lower case and composition are those of the tokenizers library, whose Unicode tables are
+older than Python's: ``library_tables`` asks it once, on the driver, for what a character is. Ids, merges and decoding
+are made here.
+
+Null and empty texts, and texts of white space alone, have no ids and an empty decoded text. Rows are encoded one by
+one, so repeated rows and ids give equal rows and nothing depends on order; no rows give no rows. A text is never cut:
+one of many megabytes is encoded whole, in memory that grows with that text alone.
 """
 
 from __future__ import annotations
@@ -14,43 +20,92 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from cinderlake.llm.common import column, held
 from cinderlake.shipping import ship
 
 NONE = 1 << 60
-#: Encoded pre-tokens that a Python worker keeps, and their longest length.
-CACHE_ENTRIES, CACHE_LENGTH = 300_000, 48
+#: Encoded pre-tokens that a Python worker keeps, and their longest length; as many may be set aside. Some 50 MB.
+CACHE_ENTRIES, CACHE_LENGTH = 120_000, 48
+
+
+@dataclass(frozen=True)
+class Tables:
+    """What the library takes characters for: members of character classes, lower case and composition where they are not Python's."""
+
+    letters: str
+    numbers: str
+    spaces: str
+    lower: tuple[tuple[str, str], ...]
+    #: Characters that are in another class for the module ``regex``.
+    other_class: str
+    #: Characters that Python's tables compose or reorder and the library's do not: they part a text.
+    apart: str
+
+
+def as_class(found: list[str]) -> str:
+    """Runs of characters as the inside of a character class."""
+    points = sorted({ord(c) for run in found for c in run})
+    ends = [i for i, (a, b) in enumerate(zip(points, points[1:], strict=False)) if b != a + 1] + [len(points) - 1]
+    starts = [0] + [i + 1 for i in ends[:-1]]
+    return "".join(f"\\U{points[a]:08x}-\\U{points[b]:08x}" for a, b in zip(starts, ends, strict=True)) if points else ""
+
+
+@lru_cache(maxsize=1)
+def library_tables() -> Tables:
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    whole = "".join(every)
+    classes = (r"\p{L}", r"\p{N}", r"\s")
+    members = ["".join(piece for piece, _ in pre_tokenizers.Split(Regex(p + "+"), behavior="removed", invert=True).pre_tokenize_str(whole)) for p in classes]
+    other = set().union(*({*mine} ^ {*regex.findall(p, whole)} for p, mine in zip(classes, members, strict=True)))
+    rest = [c for c in every if c != "\n"]
+    lowered = normalizers.Lowercase().normalize_str("\n".join(rest)).split("\n")
+    nfc = normalizers.NFC().normalize_str
+    apart = set()
+    for c in every:
+        if unicodedata.combining(c) and any(unicodedata.normalize("NFC", t) != nfc(t) for t in (f"a{c}\u0334", f"a\u0345{c}")):
+            apart.add(c)
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and "<" not in parts[0]:
+            pair = "".join(chr(int(x, 16)) for x in parts)
+            if unicodedata.normalize("NFC", pair) != nfc(pair):
+                apart.add(pair[1])
+    lower = tuple((c, low) for c, low in zip(rest, lowered, strict=True) if c.lower() != low or c == "\u03a3")  # Python lowers a final sigma by its place
+    return Tables(*map(as_class, members), lower, as_class(sorted(other)), as_class(sorted(apart)))
 
 
 class MinTree:
-    """Least value over positions, with the position in the value; point updates in logarithmic time."""
+    """Least value over positions; point updates in logarithmic time."""
 
     def __init__(self, values: list[int]) -> None:
-        self.size = 1 << max(0, (len(values) - 1).bit_length())
-        self.node = [NONE] * self.size + values + [NONE] * (self.size - len(values))
-        for i in range(self.size - 1, 0, -1):
-            left, right = self.node[2 * i], self.node[2 * i + 1]
-            self.node[i] = left if left <= right else right
-
-    def set(self, at: int, value: int) -> None:
-        node, i = self.node, at + self.size
-        node[i] = value
-        i >>= 1
-        while i:
+        size = self.size = 1 << max(0, (len(values) - 1).bit_length())
+        node = self.node = [NONE] * size + values + [NONE] * (size - len(values))
+        for i in range(size - 1, 0, -1):
             left, right = node[2 * i], node[2 * i + 1]
-            least = left if left <= right else right
-            if node[i] == least:
-                return
-            node[i] = least
-            i >>= 1
+            node[i] = left if left <= right else right
 
-    @property
-    def least(self) -> int:
-        return self.node[1]
+    def update(self, at: int, value: int) -> int:
+        """Sets the value at a position and returns the least value of all."""
+        node = self.node
+        i = at + self.size
+        node[i] = value
+        while i > 1:
+            other = node[i ^ 1]
+            if other < value:
+                value = other
+            i >>= 1
+            if node[i] == value:
+                break
+            node[i] = value
+        return node[1]
 
 
 def byte_letters() -> list[str]:
@@ -63,105 +118,141 @@ def byte_letters() -> list[str]:
 class BpeCodec:
     """The tokenizer of a ``tokenizers`` JSON file: NFC, white space and case folding, split pattern, byte-level BPE."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, tables: Tables | None = None) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        tables = tables or library_tables()
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        #: By the ids of a pair, in one number: its rank; and the id that a rank's pair becomes.
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            whole = self.vocab[a + b]
-            self.ranks[self.vocab[a], self.vocab[b]] = rank, whole
-        self.tokens = {i: t for t, i in self.vocab.items()}
+            self.ranks[self.vocab[a] << 32 | self.vocab[b]] = rank
+            self.made.append(self.vocab[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens.update({i: t for t, i in self.special.items()})
-        self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.tokens = {str(i): t for t, i in (self.vocab | self.special).items()}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(pattern)
-        # The same pattern with ASCII ranges, for ASCII texts: the standard module matches it faster.
-        plain = pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")
-        self.ascii_pattern = self.pattern if r"\p" in plain else re.compile(plain, re.ASCII)
-        self.letters = byte_letters()
-        self.ids, self.texts = Memo(self, 0), Memo(self, 1)
+        known = lambda letters, numbers, spaces: re.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", numbers).replace(r"\s", spaces))
+        self.pattern, self.odd_pattern = regex.compile(pattern), known(tables.letters, tables.numbers, tables.spaces)
+        self.ascii_pattern = known("a-zA-Z", "0-9", r"\t-\r ")  # the same for ASCII texts, which it matches faster
+        # Most texts have no character that the library and Python's modules take differently: one search tells.
+        odd_case = as_class([c for c, _ in tables.lower])
+        # Looking a character up is fast up to U+FFFF only, so characters beyond are looked for first.
+        self.unusual = re.compile(f"[{tables.apart}{tables.other_class}{odd_case}]")
+        self.unusual_low = re.compile("[" + as_class([chr(c) for c in range(0x10000) if self.unusual.match(chr(c))]) + "]")
+        self.beyond = re.compile("[\U00010000-\U0010ffff]")
+        self.apart = re.compile(f"([{tables.apart}])") if tables.apart else None
+        self.lower = str.maketrans(dict(tables.lower))
+        self.odd_case = re.compile(f"[{odd_case}]")
+        self.byte_ids = [self.vocab.get(c, -1) for c in byte_letters()]
+        self.last_ids = [self.vocab.get(c + self.end, -1) for c in byte_letters()]
+        self.ids = Memo(self)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges the leftmost pair of lowest rank until no adjacent pair can merge."""
-        n, ranks = len(ids), self.ranks
+        n = len(ids)
         if n < 2:
             return ids
-        key = lambda i, j: (ranks[p][0] * n + i) if (p := (ids[i], ids[j])) in ranks else NONE
-        tree = MinTree([key(i, i + 1) for i in range(n - 1)])
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (least := tree.least) < NONE:
-            i = least % n
+        rank, made = self.ranks.get, self.made
+        # A pair's value is its rank, then its place, so that the least one is the leftmost of the lowest rank.
+        values, a = [], ids[0]
+        for b in ids[1:]:
+            values.append(NONE if (r := rank(a << 32 | b)) is None else r * n + len(values))
+            a = b
+        tree = MinTree(values)
+        update = tree.update
+        least = tree.node[1]
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        while least < NONE:
+            r, i = divmod(least, n)
+            ids[i] = whole = made[r]
             j = after[i]
-            ids[i] = ranks[ids[i], ids[j]][1]
             k = after[i] = after[j]
             ids[j] = -1
             if j < n - 1:
-                tree.set(j, NONE)
+                update(j, NONE)
             if k < n:
                 before[k] = i
-                tree.set(i, key(i, k))
+                least = update(i, NONE if (r := rank(whole << 32 | ids[k])) is None else r * n + i)
             else:
-                tree.set(i, NONE)
+                least = update(i, NONE)
             if (h := before[i]) >= 0:
-                tree.set(h, key(h, i))
+                least = update(h, NONE if (r := rank(ids[h] << 32 | whole)) is None else r * n + h)
         return [x for x in ids if x >= 0]
 
-    def word(self, piece: str) -> tuple[str, str]:
-        """Ids and tokens of one pre-token, each joined by one space."""
-        symbols = [self.letters[b] for b in piece.encode("utf-8")]
-        symbols[-1] += self.end
-        ids = self.merge([self.vocab[s] for s in symbols])
-        made = " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids)
-        if len(self.ids) >= CACHE_ENTRIES:
-            self.ids.clear()
-            self.texts.clear()
-        if len(piece) <= CACHE_LENGTH:
-            self.ids[piece], self.texts[piece] = made
-        return made
+    def word(self, piece: str) -> str:
+        """Ids of one pre-token, joined by one space."""
+        raw = piece.encode("utf-8")
+        ids = [*map(self.byte_ids.__getitem__, raw)]
+        ids[-1] = self.last_ids[raw[-1]]
+        return " ".join(map(str, self.merge(ids)))
+
+    def composed(self, text: str) -> str:
+        parts = self.apart.split(text) if self.apart else [text]
+        return "".join(unicodedata.normalize("NFC", part) for part in parts)
+
+    def lowered(self, text: str) -> str:
+        parts, at = [], 0
+        for m in self.odd_case.finditer(text):
+            parts += [text[at : m.start()].lower(), m[0].translate(self.lower)]
+            at = m.end()
+        return "".join([*parts, text[at:].lower()])
 
     def pieces(self, text: str) -> list[str]:
         if text.isascii():
             return self.ascii_pattern.findall(text.lower())
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma: letters are lowered one by one
-        return self.pattern.findall(text.lower())
+        composed = unicodedata.normalize("NFC", text)
+        if not self.unusual_low.search(composed) and not (self.beyond.search(text) and self.unusual.search(text + composed)):
+            return self.pattern.findall(composed.lower())
+        return self.odd_pattern.findall(self.lowered(self.composed(text)))
 
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """How many ids, the ids, and the decoded text, of a whole text."""
+    def encode(self, text: str) -> str:
+        """The ids of a whole text, decimal, joined by one space."""
         ids: list[str] = []
-        texts: list[str] = []
         for part in self.at_special.split(text) if self.at_special else [text]:
             if part in self.special:
                 ids.append(str(self.special[part]))
-                texts.append(part)
-            elif part and (pieces := self.pieces(part)):
-                ids.append(" ".join(map(self.ids.__getitem__, pieces)))
-                texts.append(" ".join(map(self.texts.__getitem__, pieces)))
-        joined = " ".join(ids)
-        return joined.count(" ") + 1 if joined else 0, joined, " ".join(texts)
+            elif part:
+                ids += map(self.ids.__getitem__, self.pieces(part))
+        return " ".join(ids)
+
+    def decode(self, ids: str) -> str:
+        """The text of ids as ``encode`` gives them: their tokens, joined by one space."""
+        return " ".join(map(self.tokens.__getitem__, ids.split(" "))) if ids else ""
 
 
 class Memo(dict):
-    """Ids (0) or tokens (1) of pre-tokens, encoded when first asked for."""
+    """Ids of pre-tokens, encoded when first asked for. A full memo is set aside, and what is asked for again returns from there."""
 
-    def __init__(self, codec: BpeCodec, part: int) -> None:
-        self.codec, self.part = codec, part
+    def __init__(self, codec: BpeCodec) -> None:
+        self.codec = codec
+        self.aside: dict[str, str] = {}
 
     def __missing__(self, piece: str) -> str:
-        return self.codec.word(piece)[self.part]
+        made = self.aside.get(piece) or self.codec.word(piece)
+        if len(piece) <= CACHE_LENGTH:
+            if len(self) >= CACHE_ENTRIES:
+                self.aside = dict(self)
+                self.clear()
+            self[piece] = made
+        return made
+
+
+def count(ids: str) -> int:
+    return ids.count(" ") + 1 if ids else 0
 
 
-_codecs: dict[str, BpeCodec] = {}
+def codec(path: str, tables: Tables) -> BpeCodec:
+    """The worker's codec, so that what one task has encoded serves the next."""
+    return held(f"bpe {path}", lambda: BpeCodec(path, tables))
 
 
-def codec(path: str) -> BpeCodec:
-    if path not in _codecs:
-        _codecs[path] = BpeCodec(path)
-    return _codecs[path]
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,38 +260,38 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     A narrow transformation: one pass over the two columns, no shuffle. ``path`` must exist on each executor.
     """
+    tables = library_tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
+        bpe = codec(path, tables)
         for batch in batches:
-            made = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.record_batch(
-                [batch.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.large_string()), pa.array([m[2] for m in made], pa.large_string())],
+                [batch.column(0), pa.array(map(count, ids), pa.int64()), pa.array(ids, pa.large_string()), pa.array(map(bpe.decode, ids), pa.large_string())],
                 names=["id", "n_tokens", "ids", "decoded"],
             )
 
     ship(docs.sparkSession)
-    two = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return two.mapInArrow(run, "id long, n_tokens long, ids string, decoded string").withColumnRenamed("id", id_col)
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids string, decoded string").withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_tokens, SHA-256 of the ids and of the decoded text; the ids on demand."""
+    """One row per row of ``docs``: id, n_tokens, SHA-256 of the ids and of the text decoded from them; the ids on demand."""
+    tables = library_tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
+        bpe = codec(path, tables)
         for batch in batches:
             n, ids, decoded, every = [], [], [], []
             for text in batch.column(1):
-                count, joined, back = bpe.encode(text.as_py() or "")
-                n.append(count)
+                joined = bpe.encode(text.as_py() or "")
+                n.append(count(joined))
                 ids.append(hashlib.sha256(joined.encode("ascii")).hexdigest())
-                decoded.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(joined).encode("utf-8")).hexdigest())
                 every += [joined] * with_ids
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.record_batch(columns + [pa.array(every, pa.string())] * with_ids, names=names + ["ids"] * with_ids)
 
     ship(docs.sparkSession)
-    two = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return two.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * with_ids).withColumnRenamed("id", id_col)
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * with_ids).withColumnRenamed("id", id_col)
