@@ -1,12 +1,16 @@
 """URL filter: given host and path rules first, then association rules that FP-growth mines from labelled URLs.
 
 A URL is a set of tokens: the labels of its host with their level, the words of its path with digits folded, file
-ending, query keys, scheme. FP-growth over labelled URLs yields token combinations that imply ``block``; rules below
-the least confidence or support go, and so does a rule that a shorter one with at least its confidence covers. The
-rules are matched by an inverted index from token to rule: a rule fires where all its tokens were hit.
-
-A null URL, or one without ``://``, has empty host and path, no token, no rule, and is allowed. Repeated rows get
-the same verdict each.
+ending, query keys, scheme. FP-growth over labelled URLs yields token combinations that imply ``block``; combinations
+below the least support or confidence go, and so does a rule where one shorter by a token has at least its confidence,
+as that one fires wherever it does. Tokens that are on exactly the same labelled URLs are one class, mined once: a rule
+with one of them would have the same support and confidence with any other, so any of them hits it. Rules of any length
+are matched by an inverted index from token to rule: a rule fires where all its classes were hit.
+
+A null URL, or one without ``://``, has empty host and path, no token, no rule, and is allowed, as is a URL on which no
+mined rule fires. Where several fire, ``mined`` names the one of highest confidence, ties by the name; a class is named by its first token. Repeated rows
+get the same verdict each, so do repeated and null ids; long URLs are read whole; an empty table gives no rows, and
+where nothing is labelled nothing is mined.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import broadcast_if_small
+from cinderlake.llm.common import broadcast_if_small, column
 
 # The rules as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -62,54 +66,66 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(F.coalesce(host, F.lit("")) != "", found).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> list[tuple[tuple[str, ...], float]]:
-    """Token sets that imply ``block``, from ``labelled(items array<string>, verdict string)``, with their confidence.
+def token_classes(labelled: DataFrame, support: float) -> dict[str, str]:
+    """The frequent tokens, each with the first token that is on exactly the same rows.
+
+    Each is on ``support`` of all rows, so there are at most the mean number of tokens of a URL, divided by ``support``.
+    Equal rows are told by their number and the sum of their hashes.
+    """
+    rows = labelled.select(F.explode("items").alias("token"), F.xxhash64("items", F.lit(3)).cast("decimal(38,0)").alias("hash"))
+    sums = rows.groupBy("token").agg(F.count("*").alias("n"), F.sum("hash").alias("hash")).where(F.col("n") >= support * labelled.count())
+    first: dict[tuple, str] = {}
+    return {r["token"]: first.setdefault((r["n"], r["hash"]), r["token"]) for r in sorted(sums.collect(), key=lambda r: r["token"])}
+
+
+def mine(labelled: DataFrame, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> tuple[DataFrame, dict[str, str]]:
+    """``(items, confidence)``: classes that imply ``block``, from ``labelled(items array<string>, verdict string)``; and the class of each token.
 
-    All labelled URLs are mined, repeats counted; rules may be of any length.
+    All labelled URLs are mined, repeats counted. The support is that of the tokens together with ``block``.
     """
-    if labelled.isEmpty():
-        return []
-    sets = labelled.select(F.concat("items", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(sets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit("=block")))
-    rules = rules.where(~F.exists("antecedent", lambda x: x.startswith("=")))
-    found = sorted(((tuple(sorted(r["antecedent"])), r["confidence"]) for r in rules.collect()), key=lambda x: (len(x[0]), x[0]))
-    kept: list[tuple[tuple[str, ...], float]] = []
-    for items, sure in found:
-        if not any(set(k) <= set(items) and c >= sure for k, c in kept):
-            kept.append((items, sure))
-    return kept
-
-
-def fired(sets: DataFrame, rules: list[tuple[tuple[str, ...], float]]) -> DataFrame:
-    """The token sets (``items``) of which some rule has all tokens, by an inverted index from token to rule."""
-    spark = sets.sparkSession
-    index = spark.createDataFrame([(t, i, len(items)) for i, (items, _) in enumerate(rules) for t in items], "token string, rule_id int, size int")
-    hits = sets.select("items", F.explode("items").alias("token")).join(broadcast_if_small(index), "token")
-    whole = hits.groupBy("items", "rule_id", "size").agg(F.count("*").alias("n")).where("n = size")
-    return whole.select("items").distinct()
+    classes = token_classes(labelled, support)
+    marked = F.concat(F.array_intersect("items", F.array(*map(F.lit, sorted(set(classes.values())))).cast("array<string>")), F.array(F.concat(F.lit("="), "verdict")))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select(marked.alias("items")))
+    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit("=block"))) & ~F.exists("antecedent", lambda x: x.startswith("=")))
+    rules = rules.select(F.array_sort("antecedent").alias("items"), "confidence")
+    shorter = rules.select("items", "confidence", F.explode("items").alias("out")).select("items", "confidence", F.array_remove("items", F.col("out")).alias("part"))
+    covered = shorter.join(rules.select(F.col("items").alias("part"), F.col("confidence").alias("sure")), "part").where("sure >= confidence").select("items")
+    return rules.join(covered, "items", "left_anti"), classes
+
+
+def fired(sets: DataFrame, rules: DataFrame, classes: dict[str, str]) -> DataFrame:
+    """``(items, mined)``: the token sets that hit all classes of a rule, and that rule, by an inverted index from token to rule."""
+    alike = sets.sparkSession.createDataFrame(sorted(classes.items()), "token string, class string")
+    named = rules.select(F.array_join("items", " & ").alias("name"), "items", "confidence")
+    index = named.select(F.explode("items").alias("class"), "name", "confidence", F.size("items").alias("size"))
+    hit = sets.select("items", F.explode("items").alias("token")).join(broadcast_if_small(alike), "token").select("items", "class").distinct()
+    hits = hit.join(broadcast_if_small(index), "class")
+    whole = hits.groupBy("items", "name", "confidence", "size").agg(F.count("*").alias("n")).where("n = size")
+    return whole.groupBy("items").agg(F.min(F.struct((-F.col("confidence")).alias("minus"), "name")).alias("best")).select("items", F.col("best.name").alias("mined"))
 
 
 def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``(id, host, path, rule, verdict)`` per row of ``pages``.
+    """``(id, host, path, rule, verdict, mined)`` per row of ``pages``.
 
-    ``labels`` (url, verdict) are the URLs to learn from. Without them the given rules label the pages themselves: a
-    URL that no rule fits counts as allowed, so a token combination is blocked only where at least the least
-    confidence of all URLs with it is.
+    ``labels`` (url, verdict) are the URLs to learn from. Without them those of the pages that a given rule fits are,
+    with its verdict; they alone, as nobody has judged the others. ``mined`` is the mined rule that blocks, where no
+    given rule fits.
     """
-    rows = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"))
+    rows = pages.select(column(pages, id_col).cast("long").alias("id"), column(pages, url_col).cast("string").alias("url"))
     shaped = rows.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = shaped.select("id", "url", "host", "path", name.alias("rule"), verdict.alias("ruled"), tokens(F.col("url"), F.col("host"), F.col("path")).alias("items"))
     if labels is None:
-        labelled = ruled.select("items", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
+        labelled = ruled.select("items", F.col("ruled").alias("verdict"))
     else:
         host, path = host_of(labels["url"]), path_of(labels["url"])
-        labelled = labels.where("verdict IS NOT NULL").select(tokens(labels["url"], host, path).alias("items"), "verdict")
-    mined = mine(labelled.where(F.size("items") > 0))
-    # Token sets repeat: each is matched once.
-    open_sets = ruled.where("ruled IS NULL").select("items").distinct()
-    bad = fired(open_sets, mined).withColumn("fires", F.lit(True))
-    out = ruled.join(bad, "items", "left")
-    method = F.when(F.col("fires"), F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"))
+        labelled = labels.select(tokens(labels["url"], host, path).alias("items"), "verdict")
+    labelled = labelled.where("verdict IS NOT NULL AND size(items) > 0")
+    out = ruled.withColumn("mined", F.lit(None).cast("string"))
+    if not labelled.isEmpty():
+        # Token sets repeat: each is matched once.
+        bad = fired(ruled.where("ruled IS NULL").select("items").distinct(), *mine(labelled))
+        out = ruled.join(broadcast_if_small(bad), "items", "left")
+    mined = F.when(F.col("ruled").isNull(), F.col("mined"))
+    method = F.when(mined.isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    return out.select("id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), mined.alias("mined"))
