@@ -4,12 +4,19 @@ Words are runs of letters and digits, lower-cased; shingles are five words. For
 windows of W words of a document are candidates. A window can only reach the similarity if enough of its shingles
 belong to the item, and the best window starts at such a shingle, so windows are laid at these starts alone: nothing
 that could pass is left out. Each window gets a 64-bit SimHash over its shingles, repeats counted. A multi-index over
-8 blocks of 8 bits holds each item under all values that differ in at most 2 bits from its own block; two
-fingerprints within ``RADIUS`` bits then meet in at least one block. Pairs within the radius are verified by the
-exact similarity of the shingle multisets, 2 * shared / (window + item), which must reach ``LEAST``.
-
-Null texts hold no words. Items of fewer than five words have no shingle and match nothing. A document shorter than
-the item is one window. Equal rows give one result; an id with several texts gives one row per item, the best.
+8 blocks of 8 bits holds each item under all values that differ in at most 3 bits from its own block; two fingerprints
+within ``RADIUS`` bits (8 x 3 + 7) then meet in at least one block. A window asks for the items alone whose shingles
+led to it. Pairs within the radius are verified by the exact similarity of the shingle multisets, 2 * shared /
+(window + item), which must reach ``LEAST``.
+
+At a similarity of 0.8 about a fifth of the bits differ, 12.3 with a deviation of 3.2 as measured, so the radius of 31
+lets next to nothing go. Where a shingle repeats in a window or an item its votes fall together and more bits differ:
+such pairs go to the exact check whatever their fingerprints. A test measures the recall.
+
+Null texts hold no words. Items of fewer than five words have no shingle and match nothing. Items with equal words are
+compared once. A document shorter than the item is one window. Equal rows give one result; an id with several texts
+gives one row per item, the best; rows without an id are one document. Of windows with equal similarity the first is
+given. Texts are read whole, however long. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +27,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import Stored, broadcast_if_small
+from cinderlake.llm.common import Stored, broadcast_if_small, column, fresh_name
 
 WIDTH, LEAST = 5, 0.8
 #: Largest Hamming distance between the fingerprints of a window and an item: blocks, bits of a block and differing bits that cover it.
-RADIUS, BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 23, 8, 8, 2
+RADIUS, BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 31, 8, 8, 3
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -84,7 +91,7 @@ def shingle_texts(w: Column, width: int = WIDTH) -> Column:
     return F.slice(each, 1, F.greatest(F.size(w) - (width - 1), F.lit(0)))
 
 
-def candidates(rows: DataFrame, items: DataFrame, sizes: list[int], least: float) -> DataFrame:
+def candidates(rows: DataFrame, items: DataFrame, sizes: list[int], least: float) -> Stored:
     """The ``rows`` that can hold an item: those with an item's shingle at one of every ``step`` places.
 
     A window that passes misses at most ``n - ceil(least * n)`` of its n shingles, so if more places than that are
@@ -99,8 +106,10 @@ def candidates(rows: DataFrame, items: DataFrame, sizes: list[int], least: float
     some = F.transform(places, lambda i: F.xxhash64(*(F.get(F.col("words"), i + k) for k in range(WIDTH))))
     asked = split.where(F.size("words") >= WIDTH).select("ref", F.explode(some).alias("hash"))
     known = broadcast_if_small(items.select(F.explode("hashes").alias("hash")).distinct())
-    hits = Stored(asked.join(known, "hash", "left_semi").select("ref").distinct(), "hits").df
-    return rows.join(broadcast_if_small(hits), "ref", "left_semi")
+    hits = Stored(asked.join(known, "hash", "left_semi").select("ref").distinct(), "hits")
+    held = Stored(rows.join(broadcast_if_small(hits.df), "ref", "left_semi"), "candidates")
+    hits.drop()
+    return held
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -108,16 +117,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col:
 
     ``ref`` hashes id and text, and stands for the row.
     """
-    items = benchmark.select(benchmark[item_col].alias("item_id"), words(benchmark[item_text_col].cast("string")).alias("item_words")).where(F.size("item_words") >= WIDTH)
-    items = with_fingerprint(items.distinct().withColumn("hashes", shingle_hashes(F.col("item_words"))))
-    items = Stored(items.select("item_id", "item_words", "hashes", F.size("hashes").alias("n"), "fp"), "benchmark").df
-
-    ref = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    rows = docs.select(ref.alias("ref"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("body"))
-    sizes = [r["n"] for r in items.select("n").distinct().collect()]
-    held = Stored(candidates(rows, items, sizes, least), "candidates").df
-    split = held.select("ref", "id", words(F.col("body")).alias("words"))
-    known = broadcast_if_small(items.select("item_id", "n", F.explode(F.array_distinct("hashes")).alias("hash")))
+    texts = benchmark.select(column(benchmark, item_col).alias("item_id"), words(column(benchmark, item_text_col).cast("string")).alias("item_words")).where(F.size("item_words") >= WIDTH)
+    named = Stored(texts.select("item_id", "item_words", F.xxhash64("item_words").alias("item")).distinct(), "items")
+    items = with_fingerprint(named.df.select("item", "item_words").dropDuplicates(["item"]).withColumn("hashes", shingle_hashes(F.col("item_words"))))
+    table = Stored(items.select("item", "item_words", "hashes", F.size("hashes").alias("n"), "fp", repeats(F.col("hashes")).alias("repeats")), "benchmark")
+    items = table.df
+
+    id_, text = column(docs, id_col).cast("long"), column(docs, text_col).cast("string")
+    rows = docs.select(F.xxhash64(id_, text).alias("ref"), id_.alias("id"), text.alias("body"))
+    sizes = [r["n"] for r in items.select("n").distinct().collect()]  # of different lengths, not of items
+    held = candidates(rows, items, sizes, least)
+    split = held.df.select("ref", "id", words(F.col("body")).alias("words"))
+    known = broadcast_if_small(items.select("item", "n", F.explode(F.array_distinct("hashes")).alias("hash")))
     found = split.select("ref", F.size("words").alias("size"), F.posexplode(shingle_hashes(F.col("words"))).alias("pos", "hash")).join(known, "hash")
 
     # Starts from which enough of the item's shingles lie in a window; at the end of a document the window slides back.
@@ -126,33 +137,53 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col:
     full = F.ceil(least * F.col("n") - 1e-9).cast("int")
     span = F.least(F.col("n"), F.col("size") - (WIDTH - 1))  # shingles of a window
     least_shared = F.when(span == F.col("n"), full).otherwise(need)
-    places = found.groupBy("ref", "item_id", "n", "size").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    places = found.groupBy("ref", "item", "n", "size").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     places = places.withColumn("span", span).withColumn("need", least_shared).where(F.size("at") >= F.col("need"))
     dense = F.filter("at", lambda p, i: F.get(F.col("at"), i + F.col("need") - 1) < p + F.col("span"))
     slid = F.array_distinct(F.transform(dense, lambda p: F.least(p, F.col("size") - (WIDTH - 1) - F.col("span"))))
-    # The windows of a document for items of one size are the same whatever item led to them.
-    starts = places.select("ref", "n", "span", F.explode(slid).alias("start")).distinct()
-    starts = Stored(starts.groupBy("ref").agg(F.collect_set(F.struct("n", "span", "start")).alias("windows")), "windows").df
+    # A window is laid once for all the items that led to it.
+    laid = places.select("ref", "item", "n", "span", F.explode(slid).alias("start")).groupBy("ref", "n", "span", "start").agg(F.collect_set("item").alias("asks"))
+    starts = Stored(laid.groupBy("ref").agg(F.collect_list(F.struct("n", "span", "start", "asks")).alias("windows")), "windows")
 
-    cut = split.join(broadcast_if_small(starts), "ref").select("ref", "id", "words", F.explode("windows").alias("w")).select(
-        "ref", "id", "w.n", "w.start", F.slice("words", F.col("w.start") + 1, F.col("w.span") + (WIDTH - 1)).alias("words")
+    cut = split.join(broadcast_if_small(starts.df), "ref").select("ref", "id", "words", F.explode("windows").alias("w")).select(
+        "ref", "id", "w.start", "w.asks", F.slice("words", F.col("w.start") + 1, F.col("w.span") + (WIDTH - 1)).alias("words")
     )
     marked = with_fingerprint(cut.withColumn("hashes", shingle_hashes(F.col("words"))))
-    marked = marked.select("ref", "id", "n", "start", "fp", "words")
-    index = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(near_values(block_values(F.col("fp")))).alias("b"))
-    index = index.select("item_id", "n", "item_fp", "b.block", "b.value")
-    asked = marked.select("*", F.explode(block_values(F.col("fp"))).alias("b")).select("ref", "id", "n", "start", "fp", "words", "b.block", "b.value")
-    near = asked.join(broadcast_if_small(index, 200_000), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    # A pair that meets in several blocks is verified in the first of them.
-    nearness = lambda i: F.bit_count(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("item_fp")), BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)))
-    first = F.coalesce(*(F.when(nearness(i) <= BLOCK_RADIUS, F.lit(i)) for i in range(BLOCKS)))
-    pairs = near.where(F.col("block") == first).join(broadcast_if_small(items.select("item_id", "item_words")), "item_id")
+    asked = marked.select("ref", "id", "start", "fp", repeats(F.col("hashes")).alias("repeats"), "words", F.explode("asks").alias("item"))
+    near = within_radius(asked, items)
+    pairs = near.join(broadcast_if_small(items.select("item", "item_words")), "item")
     texts = pairs.withColumn("a", shingle_texts(F.col("words"))).withColumn("b", shingle_texts(F.col("item_words")))
     similarity = 2.0 * shared_weight(F.col("a"), F.col("b")) / (F.size("a") + F.size("b"))
     # The bound on the similarity is put behind the grouping: before it, Spark would work the similarity out twice.
-    best = texts.select("ref", "id", "item_id", F.round(similarity, 6).alias("similarity"), "start").groupBy("ref", "id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus"))).alias("best"))
-    found = best.select("ref", "id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.minus")).cast("long").alias("start_word"))
-    return found.where(F.col("similarity") >= least)
+    best = texts.select("ref", "id", "item", F.round(similarity, 6).alias("similarity"), "start").groupBy("ref", "id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus"))).alias("best"))
+    passed = best.select("ref", "id", "item", F.col("best.similarity").alias("similarity"), (-F.col("best.minus")).cast("long").alias("start_word")).where(F.col("similarity") >= least)
+    out = Stored(passed.join(broadcast_if_small(named.df.select("item", "item_id")), "item").select("ref", "id", "item_id", "similarity", "start_word"), "contaminated")
+    for used in (starts, held, table, named):
+        used.drop()
+    return out.df
+
+
+def repeats(hashes: Column) -> Column:
+    return F.size(F.array_distinct(hashes)) < F.size(hashes)
+
+
+def within_radius(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """Those of ``asked(item, fp, repeats, ...)`` whose fingerprint lies within ``RADIUS`` bits of their item's, by the multi-index.
+
+    Besides its blocks the index has a block -1, by which all pairs meet where the window (value 1) or the item (value
+    0) repeats a shingle.
+    """
+    always = lambda *values: F.array(*(F.struct(F.lit(-1).alias("block"), F.lit(v).cast("long").alias("value")) for v in values))
+    near = F.when(F.col("repeats"), always(0, 1)).otherwise(F.concat(near_values(block_values(F.col("fp"))), always(1)))
+    index = items.select("item", F.col("fp").alias("item_fp"), F.explode(near).alias("b")).select("item", "item_fp", "b.block", "b.value")
+    own = F.when(F.col("repeats"), always(1)).otherwise(F.concat(block_values(F.col("fp")), always(0)))
+    probes = asked.select("*", F.explode(own).alias("b")).select(*asked.columns, "b.block", "b.value")
+    met = probes.join(broadcast_if_small(index, 200_000), ["item", "block", "value"])
+    # A pair that meets in several blocks is taken in the first of them.
+    nearness = lambda i: F.bit_count(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("item_fp")), BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)))
+    first = F.coalesce(*(F.when(nearness(i) <= BLOCK_RADIUS, F.lit(i)) for i in range(BLOCKS)))
+    close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & (F.col("block") == first)
+    return met.where((F.col("block") == -1) | close).select(*asked.columns)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -164,9 +195,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item."""
-    gone = matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("ref").alias("_gone")).distinct()
-    ref = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    return docs.join(broadcast_if_small(gone), ref == F.col("_gone"), "left_anti")
+    name = fresh_name(docs, "gone")
+    gone = matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("ref").alias(name)).distinct()
+    ref = F.xxhash64(column(docs, id_col).cast("long"), column(docs, text_col).cast("string"))
+    return docs.join(broadcast_if_small(gone), ref == gone[name], "left_anti")
 
 
 #: The same result in DuckDB SQL, without fingerprints: all windows that start at a shared shingle.
