@@ -111,6 +111,47 @@ def test_rules_of_five_tokens_fire(spark):
     assert got == {0: "block", **dict.fromkeys(range(1, 6), "allow")}
 
 
+def plain_rules(labelled, support, confidence):
+    """All token sets that imply block, by counting every subset."""
+    from itertools import combinations
+
+    n, every, block = len(labelled), {}, {}
+    for items, verdict in labelled:
+        for k in range(1, len(items) + 1):
+            for c in combinations(sorted(items), k):
+                every[c] = every.get(c, 0) + 1
+                block[c] = block.get(c, 0) + (verdict == "block")
+    return {c: block[c] / every[c] for c in every if block[c] >= support * n and block[c] / every[c] >= confidence}
+
+
+def test_mined_rules_equal_counting_all_subsets(spark):
+    r = random.Random(11)
+    rows = []
+    for _ in range(300):
+        items = sorted(r.sample("abcdefg", r.randint(1, 5)))
+        items += ["z"] * ("a" in items)  # always with a
+        rows.append((items, "block" if {"a", "b"} <= set(items) or "g" in items and r.random() < 0.93 else "allow"))
+    want = plain_rules(rows, urls.LEAST_SUPPORT, urls.LEAST_CONFIDENCE)
+    mined, classes = urls.mine(spark.createDataFrame(rows, "items array<string>, verdict string"))
+    got = {tuple(x["items"]): x["confidence"] for x in mined.collect()}
+    assert got and all(abs(want[k] - c) < 1e-12 for k, c in got.items()) and not any("z" in k for k in got)
+    sets = [sorted(r.sample("abcdefg", r.randint(1, 6))) for _ in range(200)]
+    sets = [x + ["z"] * ("a" in x and r.random() < 0.5) for x in sets] + [["b", "z"]]
+    fired = urls.fired(spark.createDataFrame([(x,) for x in sets], "items array<string>").distinct(), mined, classes).collect()
+    assert {tuple(x["items"]) for x in fired} == {tuple(x) for x in sets if any(set(k) <= set(x) for k in want)}
+    for x in fired:
+        hit = {"a" if i == "z" else i for i in x["items"]}
+        names = sorted((-c, " & ".join(k)) for k, c in got.items() if set(k) <= hit)
+        assert x["mined"] == names[0][1]
+
+
+def test_rules_of_the_pages_themselves_judge_the_others(spark):
+    pages = [f"http://h{i}.net/buy/{i}" for i in range(40)] + [f"http://h{i}.org/fr/read" for i in range(40)] + ["http://k.com/buy/1", "http://k.com/read", "http://k.com/other"]
+    got = {r["id"]: (r["verdict"], r["mined"]) for r in urls.judge(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")).collect()}
+    assert got[80] == ("block", "host0:net") and got[81] == got[82] == ("allow", None)  # path:buy, named by the first token of its class
+    assert {got[i] for i in range(40)} == {("block", None)} and {got[i] for i in range(40, 80)} == {("allow", None)}
+
+
 # Pipeline
 
 

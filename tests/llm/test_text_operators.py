@@ -54,18 +54,32 @@ def test_bpe_equals_the_library():
     theirs, mine = Tokenizer.from_file(path), bpe.BpeCodec(path)
     r = random.Random(5)
     letters = [chr(i) for i in range(0x180)] + list("ΣσςİßẞǅﬁＡ中😀　 ́̈²Ⅰ١")
-    texts = ["", " ", "ab" * 3000, "<|endoftext|>", "it's we'll <|startoftext|>x"] + ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(800)]
+    texts = ["", " ", "ab" * 3000, "<|endoftext|>", "it's we'll <|startoftext|>x", "\U00011935\U00011930"] + ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(800)]
+    # Every code point, between letters and marks that it may compose or change places with, or that may lower it by its place.
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(every[i : i + 1500]) for i in range(0, len(every), 1500)]
+    texts += [" ".join(f.format(c) for c in every[i : i + 1500]) for f in ("aΣ{}", "A{}\u0316\u0301b", "e\u0345{}") for i in range(0, 0x20000, 1500)]
+    r.shuffle(every)
+    texts += ["".join(every[i : i + 400]) for i in range(0, 400_000, 400)]
     for t in texts:
-        e = theirs.encode(t, add_special_tokens=False)
-        assert mine.encode(t) == (len(e.ids), " ".join(map(str, e.ids)), theirs.decode(e.ids, skip_special_tokens=False))
+        e, ids = theirs.encode(t, add_special_tokens=False), mine.encode(t)
+        assert (bpe.count(ids), ids) == (len(e.ids), " ".join(map(str, e.ids)))
+        assert mine.decode(ids) == theirs.decode(e.ids, skip_special_tokens=False)
+
+
+def test_bpe_of_a_long_text_and_of_a_full_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    theirs, mine = Tokenizer.from_file(path), bpe.BpeCodec(path)
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
+    for t in [sentence(300_000, 1), "Aé" * 100_000]:
+        assert mine.encode(t) == " ".join(map(str, theirs.encode(t, add_special_tokens=False).ids))
 
 
 def test_segment_tree_takes_the_leftmost_lowest():
     tree = bpe.MinTree([5, 3, 9, 3])
-    assert tree.least == 3
-    tree.set(1, 7)
-    tree.set(3, 8)
-    assert tree.least == 5
+    assert tree.node[1] == 3 and tree.update(1, 7) == 3 and tree.update(3, 8) == 5
 
 
 # SimHash
@@ -132,6 +146,27 @@ def test_suffix_dedup_equals_brute_force(spark, depth, options):
     assert sorted(got, key=str) == brute(rows, depth)
 
 
+def test_repeats_of_one_row_are_dealt_out(spark):
+    text = sentence(60, 2)
+    rows = [(None, text)] * 40 + [(9, text)] * 40 + [(3, text), (4, "before " + text)]
+    got = [(x["id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffixes.dedup(docs(spark, rows), group_bytes=900).collect()]
+    assert sorted(got, key=str) == brute(rows, 50)
+
+
+def test_windows_are_sorted_as_bytes_are():
+    r = np.random.default_rng(4)
+    raw = bytes(r.integers(97, 99, 3000).astype(np.uint8)) + bytes(8)
+    word = np.ndarray(len(raw) - 7, ">u8", raw, strides=(1,))
+    start, who = np.arange(2900), r.integers(0, 9, 2900)
+    for depth in (1, 7, 8, 20, 50):
+        least = {}
+        for s, w in zip(start.tolist(), who.tolist(), strict=True):
+            least[raw[s : s + depth]] = min(w, least.get(raw[s : s + depth], w))
+        got = suffixes.repeated_windows(word, start, who, depth).tolist()
+        assert set(got) == {s for s in range(2900) if who[s] > least[raw[s : s + depth]]}
+        assert [raw[s : s + depth] for s in got] == sorted(raw[s : s + depth] for s in got)
+
+
 def test_kept_text_is_what_is_left(spark):
     passage = sentence(30, 3)
     rows = [(1, "start " + passage + " end"), (2, "other words " + passage + " of its own"), (3, passage)]
@@ -157,6 +192,30 @@ def test_planted_passages_are_found_and_clean_ones_kept(spark):
     assert {r["doc_id"] for r in decontaminate.keep_clean(docs(spark, rows), bench).collect()} == {1, 5, 6}
 
 
+def test_radius_keeps_pairs_at_the_least_similarity(spark):
+    """Recall of the fingerprints on pairs of similarity 0.8 to 0.85, one of them with its changed shingles all equal."""
+    r, rows = random.Random(3), []
+    for k in range(3000):
+        n = r.randint(10, 60)
+        shared = -(-4 * n // 5)
+        mine = [r.getrandbits(62) for _ in range(n)]
+        other = mine[:shared] + ([r.getrandbits(62)] * (n - shared) if k % 2 else [r.getrandbits(62) for _ in range(n - shared)])
+        rows.append((k, mine, other))
+    df = spark.createDataFrame(rows, "item long, mine array<long>, other array<long>")
+    side = lambda c: df.select("item", decontaminate.simhash(F.col(c)).alias("fp"), decontaminate.repeats(F.col(c)).alias("repeats"))
+    for window, item in (("other", "mine"), ("mine", "other")):
+        assert decontaminate.within_radius(side(window), side(item)).count() >= 0.9995 * len(rows)
+
+
+def test_equal_items_and_clashing_names(spark):
+    item = sentence(40, 9)
+    bench = spark.createDataFrame([(0, item), (1, item.upper()), (2, sentence(40, 8))], "item_id long, text string")
+    rows = docs(spark, [(1, "x " + item), (2, sentence(50, 1)), (None, item)]).withColumns({"gone": F.lit(1), "a.b": F.lit(2), "_": F.lit(3)})
+    assert {(r["id"], r["item_id"]) for r in decontaminate.contaminated(rows, bench).collect()} == {(1, 0), (1, 1), (None, 0), (None, 1)}
+    for kept in (decontaminate.keep_clean(rows, bench), simhash.keep_one(rows), suffixes.remove_repeats(rows)):
+        assert kept.columns == rows.columns and kept.where("doc_id = 2").select("gone", "`a.b`", "_").first()[:] == (1, 2, 3)
+
+
 def test_two_thirds_of_an_item_are_found(spark):
     sizes = (3, 6, 12)
     item = {n: [f"{w}{n}" for w in sentence(400, n).split()][: n + 4] for n in sizes}
