@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlake import dims
 from cinderlake.functions import formulas as f
 from cinderlake.operators.graph import components
+from cinderlake.storage import Stored
 
 KM_PER_RADIAN_DEGREE = math.pi * dims.EARTH_RADIUS_KM / 180.0
 
@@ -34,29 +35,44 @@ def project(points: DataFrame) -> DataFrame:
     }).drop("lat0", "lon0", "h0")
 
 
-def neighbours(points: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float = dims.EPS_HOURS) -> DataFrame:
-    """Pairs ``(a, b)`` with a < b of points (id, x, y, h) within both bounds, the bounds included."""
+def neighbours(points: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float = dims.EPS_HOURS, of: str = "id") -> DataFrame:
+    """Pairs ``(a, b)`` with a < b of points (id, x, y, h) within both bounds, the bounds included.
+
+    With another column ``of`` the pairs are of its values, as far as they differ, each once.
+    """
     cell = lambda c, e: F.floor(F.col(c) / e)
-    at = points.select("id", "x", "y", "h", cell("x", eps_km).alias("cx"), cell("y", eps_km).alias("cy"), cell("h", eps_hours).alias("ch"))
+    at = points.select("id", F.col(of).alias("name"), "x", "y", "h", cell("x", eps_km).alias("cx"), cell("y", eps_km).alias("cy"), cell("h", eps_hours).alias("ch"))
     # Of two neighbouring cells one looks into the other: 13 of 26 directions, and the own cell.
     ahead = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
     steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in ahead))).alias("s")
     looks = at.select("*", steps).select(
-        F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("h").alias("h2"), (F.col("s.i") == 0) & (F.col("s.j") == 0) & (F.col("s.k") == 0),
+        F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("h").alias("h2"), (F.col("s.i") == 0) & (F.col("s.j") == 0) & (F.col("s.k") == 0),
         (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), (F.col("ch") + F.col("s.k")).alias("ch"),
-    ).toDF("id2", "x2", "y2", "h2", "own", "cx", "cy", "ch")
+    ).toDF("id2", "name2", "x2", "y2", "h2", "own", "cx", "cy", "ch")
     met = at.join(looks, ["cx", "cy", "ch"]).where(~F.col("own") | (F.col("id") < F.col("id2")))
     dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
     close = met.where((dx * dx + dy * dy <= eps_km * eps_km) & (F.abs(F.col("h") - F.col("h2")) <= eps_hours))
+    if of != "id":
+        return close.where("name <> name2").select(F.least("name", "name2").alias("a"), F.greatest("name", "name2").alias("b")).distinct()
     return close.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
+def dense_cells(points: DataFrame, eps_km: float, eps_hours: float) -> DataFrame:
+    """Points with ``rep``, the smallest id of their small cell: one so small that all points in it are within both bounds of one another."""
+    side = eps_km / math.sqrt(2) * (1 - 1e-9)
+    cell = [F.floor(F.col("x") / side).alias("sx"), F.floor(F.col("y") / side).alias("sy"), F.floor(F.col("h") / (eps_hours * (1 - 1e-9))).alias("sh")]
+    at = points.select("id", "x", "y", "h", *cell)
+    return at.join(at.groupBy("sx", "sy", "sh").agg(F.min("id").alias("rep")), ["sx", "sy", "sh"]).select("id", "x", "y", "h", "rep")
+
+
 def st_dbscan(points: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float = dims.EPS_HOURS, min_samples: int = dims.MIN_SAMPLES) -> DataFrame:
     """``(id, cluster)``: the smallest core id of the cluster, or -1 for noise, which is kept.
 
     A point is core with at least ``min_samples`` points in reach, itself counted. A point in reach of several
     clusters without being core joins the one of the smallest label.
     """
+    if min_samples <= 2 and eps_km > 0 and eps_hours > 0:
+        return st_dbscan_pairs(points, eps_km, eps_hours, min_samples)
     pairs = neighbours(project(points), eps_km, eps_hours)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg((F.count("*") + 1).alias("reach"))
@@ -75,6 +91,15 @@ def st_dbscan(points: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float =
     return points.select("id").join(labels, "id", "left").select("id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
+def st_dbscan_pairs(points: DataFrame, eps_km: float, eps_hours: float, min_samples: int) -> DataFrame:
+    """``st_dbscan`` where one neighbour makes a core: the components of small cells that have points within the bounds of each other."""
+    cells = Stored(dense_cells(project(points), eps_km, eps_hours), "cells")
+    reached = components(neighbours(cells.df, eps_km, eps_hours, of="rep")).withColumnRenamed("node", "rep")
+    several = F.count("*").over(Window.partitionBy("rep")) > 1
+    label = F.coalesce("component", F.when(several | F.lit(min_samples <= 1), F.col("rep")), F.lit(-1).cast("long"))
+    return cells.df.select("id", "rep").join(reached, "rep", "left").select("id", label.alias("cluster"))
+
+
 def members(points: DataFrame, **bounds) -> DataFrame:
     """``points`` with their ``cluster``."""
     return points.join(st_dbscan(points, **bounds), "id")
@@ -103,7 +128,7 @@ def incidents(clustered: DataFrame, now: float) -> DataFrame:
     joined = sums.join(cell_area(found), "cluster")
     growth = f.rnd("area_ha / greatest(last_h - first_h, 1e0)", 2)
     scored = joined.withColumns({
-        "latitude": F.expr(f.rnd("wlat / w", 4)), "longitude": F.expr(f.rnd("wlon / w", 4)),
+        "latitude": F.expr(f.rnd("wlat / w", 6)), "longitude": F.expr(f.rnd("wlon / w", 6)),
         "growth": F.expr(growth), "status": F.expr(f.status(f"({f.num(now)} - last_h)")),
     }).withColumn("score", F.expr(f.rnd(f.severity_score("area_ha", "total_frp", "growth"), 2)))
     ranked = scored.withColumn("severity", F.expr(f.severity("score")))
@@ -111,8 +136,11 @@ def incidents(clustered: DataFrame, now: float) -> DataFrame:
 
 
 def incident_id():
-    """A stable name of a cluster: digest of place and time of its first detection."""
-    place = F.concat_ws(":", F.format_string("%.3f", "anchor.latitude"), F.format_string("%.3f", "anchor.longitude"), F.date_format(F.timestamp_micros(F.col("anchor.us")), "yyyy-MM-dd'T'HH:mm:ss"))
+    """A stable name of a cluster: digest of place and time of its first detection, the time in ISO format with offset and, where there are any, microseconds."""
+    utc = F.to_utc_timestamp(F.timestamp_micros(F.col("anchor.us")), F.current_timezone())
+    part = F.pmod("anchor.us", F.lit(1_000_000))
+    time = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.when(part != 0, F.format_string(".%06d", part)).otherwise(""), F.lit("+00:00"))
+    place = F.concat_ws(":", F.format_string("%.3f", "anchor.latitude"), F.format_string("%.3f", "anchor.longitude"), time)
     return F.left(F.sha1(place), F.lit(16))
 
 
@@ -127,7 +155,7 @@ def signals(clustered: DataFrame) -> DataFrame:
     spread = f"sqrt(power((max(latitude) - min(latitude)) * {f.num(dims.KM_PER_DEGREE)}, 2) + power((max(longitude) - min(longitude)) * {f.num(dims.KM_PER_DEGREE)} * cos(radians(avg(latitude))), 2))"
     return found.groupBy("cluster").agg(
         F.count("*").alias("n"), F.expr(f.rnd("max(coalesce(frp_mw, 0e0))", 2)).alias("peak_frp"),
-        F.expr("sort_array(collect_list(coalesce(frp_mw, 0e0)))[CAST(floor(count(*) / 2) AS INT)]").alias("median_frp"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY coalesce(frp_mw, 0e0) DESC)").alias("median_frp"),
         F.expr(f.rnd("coalesce(sum(CASE WHEN NOT is_daytime THEN 1e0 ELSE 0e0 END) / nullif(count(is_daytime), 0), 0e0)", 2)).alias("night_fraction"),
         F.count_distinct("day").alias("days"), F.expr(f.rnd("max(hours) - min(hours)", 1)).alias("span_h"),
         F.expr(f.rnd(spread, 2)).alias("spread_km"), F.count_distinct("satellite").alias("satellites"),

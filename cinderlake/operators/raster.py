@@ -45,9 +45,13 @@ def burn_difference(stack: DataFrame) -> DataFrame:
     return both.where("scenes = 2").withColumn("dnbr", F.when(F.col("valid"), F.col("pre") - F.col("post"))).drop("scenes").withColumn("severity", F.expr(f"CASE WHEN dnbr IS NOT NULL THEN {f.burn_class('dnbr')} END"))
 
 
-def patches(difference: DataFrame, least_dnbr: float = 0.10, side: int = 24) -> DataFrame:
-    """Burnt pixels with the id of their patch: 4-connected neighbours, as components of the pixel graph."""
-    burnt = difference.where((F.col("dnbr") >= least_dnbr) & ~F.col("water")).withColumn("pixel", (F.col("site") * side + F.col("row")) * side + F.col("col"))
+def patches(difference: DataFrame, least_dnbr: float = 0.10) -> DataFrame:
+    """Burnt pixels with the id of their patch: 4-connected neighbours, as components of the pixel graph.
+
+    Pixels are numbered by the height and width of the largest raster.
+    """
+    height, width = difference.agg(F.coalesce(F.max("row") + 1, F.lit(1)), F.coalesce(F.max("col") + 1, F.lit(1))).first()
+    burnt = difference.where((F.col("dnbr") >= least_dnbr) & ~F.col("water")).withColumn("pixel", (F.col("site") * height + F.col("row")) * width + F.col("col"))
     ahead = burnt.select(F.col("pixel").alias("a"), "site", F.explode(F.array(F.struct((F.col("row") + 1).alias("row"), "col"), F.struct("row", (F.col("col") + 1).alias("col")))).alias("p"))
     edges = ahead.select("a", "site", "p.row", "p.col").join(burnt.select("site", "row", "col", F.col("pixel").alias("b")), ["site", "row", "col"]).select("a", "b")
     reached = components(edges).withColumnRenamed("node", "pixel")

@@ -47,7 +47,7 @@ def exposure(near: DataFrame) -> DataFrame:
     reached = turned.withColumn("rate", F.expr(f.rate_toward("head_ros", "lb", "off")))
     timed = reached.withColumn("_m", F.expr(f.minutes_to_reach("rate", "km"))).withColumn("minutes", F.expr(f"CASE WHEN _m <= {f.num(dims.MAX_LEAD_MIN)} THEN _m END")).drop("_m")
     flagged = timed.withColumn("downwind", F.expr(f"abs(off) <= {f.num(dims.DOWNWIND_HALF_ANGLE)}"))
-    return flagged.withColumn("threat", F.expr(f.threat_score("kind", "km", "minutes", "downwind", "population")))
+    return flagged.withColumn("threat", F.expr(f.threat_score("kind", f.rnd("km", 2), "minutes", "downwind", "population")))
 
 
 def scenario_spread(incidents: DataFrame, scenarios: DataFrame, fuels: DataFrame, moisture: DataFrame) -> DataFrame:

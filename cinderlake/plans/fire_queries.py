@@ -195,7 +195,7 @@ def projected_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("cluster", "minutes", F.expr(f.ellipse_area_ha("head_ros", "back_ros", "lb", "minutes")).alias("area_ha"))
 
 
-EXPOSED = f"""SELECT *, {f.threat_score('kind', 'km', 'minutes', 'downwind', 'population')} AS threat FROM (
+EXPOSED = f"""SELECT *, {f.threat_score('kind', f.rnd('km', 2), 'minutes', 'downwind', 'population')} AS threat FROM (
   SELECT *, CASE WHEN m <= 720 THEN m END AS minutes, abs(off) <= 45 AS downwind FROM (
   SELECT *, {f.minutes_to_reach('rate', 'km')} AS m FROM (SELECT *, {f.rate_toward('head_ros', 'lb', 'off')} AS rate FROM (
   SELECT near.*, head_ros, lb, direction, {f.angle_between('bearing', 'direction')} AS off FROM near JOIN ({spread_sql(HEADLINE)}) h USING (cluster) WHERE km <= 30))))"""

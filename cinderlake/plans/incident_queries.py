@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlake.functions import formulas as f
 from cinderlake.operators import cluster
+from cinderlake.operators.ranking import numbered
 from cinderlake.plans.oracles import sql
 from cinderlake.plans.picture import clustered, incidents, plausibility
 from cinderlake.plans.registry import Registry
@@ -74,10 +75,10 @@ def incident_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("picture_order", f"SELECT row_number() OVER (ORDER BY {f.severity_rank('severity')} DESC, area_ha DESC, cluster) AS place, cluster, severity, area_ha, status FROM inc")
 def picture_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: incidents ranked by severity and area. The place is a number over a few rows per incident."""
-    found = incidents(spark, sf_dir)
-    order = Window.orderBy(F.expr(f.severity_rank("severity")).desc(), F.col("area_ha").desc(), F.col("cluster"))
-    return cluster.picture_order(found.select(F.row_number().over(order).cast("long").alias("place"), "cluster", "severity", "area_ha", "status"))
+    """The flagship: incidents ranked by severity and area."""
+    found = incidents(spark, sf_dir).select("cluster", "severity", "area_ha", "status")
+    placed = numbered(found, [F.expr(f.severity_rank("severity")).desc(), F.col("area_ha").desc(), F.col("cluster")])
+    return placed.select("place", "cluster", "severity", "area_ha", "status").orderBy("place")
 
 
 @query(

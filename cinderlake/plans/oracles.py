@@ -52,10 +52,10 @@ TABLES = {
     arg_min(latitude, (us, id)) AS alat, arg_min(longitude, (us, id)) AS alon, min(us) AS first_us
   FROM mem WHERE cluster >= 0 GROUP BY cluster""",
     "inc1": f"""
-  SELECT *, {f.rnd('lat0', 4)} AS latitude, {f.rnd('lon0', 4)} AS longitude, {f.rnd('area_ha / greatest(last_h - first_h, 1e0)', 2)} AS growth,
+  SELECT *, {f.rnd('lat0', 6)} AS latitude, {f.rnd('lon0', 6)} AS longitude, {f.rnd('area_ha / greatest(last_h - first_h, 1e0)', 2)} AS growth,
     {f.status('((SELECT now FROM nowh) - last_h)')} AS status FROM inc0 JOIN area USING (cluster)""",
     "inc": f"""
-  SELECT *, {f.severity('score')} AS severity, left(sha1(concat(printf('%.3f', alat), ':', printf('%.3f', alon), ':', strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%S'))), 16) AS incident_id
+  SELECT *, {f.severity('score')} AS severity, left(sha1(concat(printf('%.3f', alat), ':', printf('%.3f', alon), ':', CASE WHEN first_us % 1000000 = 0 THEN strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%S+00:00') ELSE strftime(make_timestamp(first_us), '%Y-%m-%dT%H:%M:%S.%f+00:00') END)), 16) AS incident_id
   FROM (SELECT *, {f.rnd(f.severity_score('area_ha', 'total_frp', 'growth'), 2)} AS score FROM inc1)""",
     "sig": f"""
   SELECT cluster, count(*) AS n, {f.rnd('max(coalesce(frp_mw, 0e0))', 2)} AS peak_frp, list_sort(list(coalesce(frp_mw, 0e0)))[count(*) // 2 + 1] AS median_frp,
@@ -71,8 +71,8 @@ TABLES = {
     "place(place_no, name, latitude, longitude, kind, population, region)": f"VALUES {values((i, *p) for i, p in enumerate(dims.PLACES))}",
     "fuelm(fuel, label, a, b, c)": f"VALUES {values(dims.FUELS)}",
     "moist(fuel, ndmi_dry, ndmi_wet, lfmc_dry, lfmc_wet, extinction, reference)": f"VALUES {values(dims.MOISTURE)}",
-    "scen(scenario_no, scenario, label, scenario_fuel, wind_factor, wind_offset, slope_factor, moisture_factor)": f"VALUES {values((i, *s) for i, s in enumerate(dims.SCENARIOS))}",
-    "overlay(overlay_no, id, title, category, layer, time_aware, opacity, source)": f"VALUES {values((i, *o) for i, o in enumerate(dims.OVERLAYS))}",
+    "scen(scenario_no, scenario, scenario_fuel, wind_factor, wind_offset, slope_factor, moisture_factor)": f"VALUES {values((i, *s) for i, s in enumerate(dims.SCENARIOS))}",
+    "overlay(overlay_no, id, category, layer, time_aware, opacity, source)": f"VALUES {values((i, *o) for i, o in enumerate(dims.OVERLAYS))}",
     "side(x1, y1, x2, y2)": f"VALUES {values(tuple(map(float, (*a, *b))) for ring in dims.BOUNDARY for a, b in zip(ring, ring[1:] + ring[:1], strict=True))}",
     "near": f"""
   SELECT inc.cluster, inc.status, inc.severity, inc.area_ha, inc.growth, place_no, name, kind, population, {f.haversine_km('inc.latitude', 'inc.longitude', 'place.latitude', 'place.longitude')} AS km,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlake.plans.picture import incidents
+from cinderlake.operators import cluster
 from cinderlake.plans.registry import Registry
-from cinderlake.sources import generator
+from cinderlake.sources import adapters, generator
 from cinderlake.storage import shared_dir
 from cinderlake.streaming import detections as live
 
@@ -43,9 +45,14 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_rebuild", "SELECT cluster, severity FROM inc")
 def stream_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The incidents as a micro-batch leaves them."""
-    path = f"{shared_dir(spark)}/cinderlake-rebuild-{abs(hash((sf_dir, spark.sparkContext.applicationId)))}"
-    live.rebuild(live.events(spark, sf_dir), lambda s: incidents(s, sf_dir).select("cluster", "severity"), path, once=True).awaitTermination()
+    """The incidents as the last micro-batch leaves them."""
+    path = f"{shared_dir(spark)}/cinderlake-rebuild-{uuid.uuid4().hex}"
+
+    def picture(events: DataFrame) -> DataFrame:
+        found = cluster.members(adapters.recent(adapters.detections_of(events)))
+        return cluster.incidents(found, adapters.newest_hours(events)).select("cluster", "severity")
+
+    live.rebuild(live.events(spark, sf_dir), picture, path, once=True).awaitTermination()
     return spark.read.parquet(f"{path}/picture")
 
 

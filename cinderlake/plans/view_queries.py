@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cinderlake import dims
 from cinderlake.functions import formulas as f
 from cinderlake.operators import raster
+from cinderlake.operators.ranking import numbered
 from cinderlake.plans import fire_queries as fire
 from cinderlake.plans import raster_queries as images
 from cinderlake.plans.picture import clustered, incidents
@@ -57,15 +58,14 @@ def severity_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 SORTS = {"area": "area_ha DESC", "growth": "growth DESC", "recency": "last_h DESC"}
 
 
-@query("incident_sorts", " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS sort_key, row_number() OVER (ORDER BY {o}, cluster) AS place, cluster FROM inc) WHERE place <= 10" for k, o in SORTS.items()))
+@query("incident_sorts", " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS sort_key, row_number() OVER (ORDER BY {o}, cluster) AS place, cluster FROM inc)" for k, o in SORTS.items()))
 def incident_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten of the list under each of its sort keys; ten is the length of the report."""
+    """The list under each of its sort keys."""
     found = incidents(spark, sf_dir)
     keys = {"area": F.col("area_ha").desc(), "growth": F.col("growth").desc(), "recency": F.col("last_h").desc()}
     parts = []
     for name, order in keys.items():
-        top = found.orderBy(order, "cluster").limit(10)
-        parts.append(top.select(F.lit(name).alias("sort_key"), F.row_number().over(Window.orderBy(order, "cluster")).cast("long").alias("place"), "cluster"))
+        parts.append(numbered(found.select("cluster", "area_ha", "growth", "last_h"), [order, F.col("cluster")]).select(F.lit(name).alias("sort_key"), "place", "cluster"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -107,9 +107,9 @@ def gazetteer_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.places(spark).groupBy("region").agg(F.count("*").alias("places"), F.sum("population").alias("population"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
 
 
-@query("quantised_lookup", "SELECT det.id, x.fwi FROM det LEFT JOIN (SELECT floor(latitude * 4) AS ky, floor(longitude * 4) AS kx, max(frp_mw) AS fwi FROM alldet WHERE id % 10 = 0 GROUP BY ALL) x ON ky = floor(latitude * 4) AND kx = floor(longitude * 4)")
+@query("quantised_lookup", "SELECT det.id, x.fwi FROM det LEFT JOIN (SELECT floor(latitude * 4) AS ky, floor(longitude * 4) AS kx, max(frp_mw) AS fwi FROM alldet GROUP BY ALL) x ON ky = floor(latitude * 4) AND kx = floor(longitude * 4)")
 def quantised_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point lookup by quarter-degree key, unknown where nothing is there: how elevation and cover are joined."""
     key = [F.floor(F.col("latitude") * 4).alias("ky"), F.floor(F.col("longitude") * 4).alias("kx")]
-    grid = adapters.all_detections(spark, sf_dir).where("id % 10 = 0").groupBy(*key).agg(F.max("frp_mw").alias("fwi"))
+    grid = adapters.all_detections(spark, sf_dir).groupBy(*key).agg(F.max("frp_mw").alias("fwi"))
     return adapters.detections(spark, sf_dir).select("id", *key).join(grid, ["ky", "kx"], "left").select("id", "fwi")

@@ -24,7 +24,11 @@ def micros(ts: str) -> Column:
 
 def all_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a detection; ``hours`` since 2024-01-01 UTC."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", micros("ts").alias("us"))
+    return detections_of(table(spark, sf_dir, "events"))
+
+
+def detections_of(events: DataFrame) -> DataFrame:
+    e = events.select("event_id", "user_id", "event_type", "value", micros("ts").alias("us"))
     number = F.col("event_id")
     return e.select(
         number.alias("id"), F.col("user_id"), F.col("event_type"), F.col("us"),
@@ -42,17 +46,27 @@ def all_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detections(spark: SparkSession, sf_dir: str, days: int = dims.DAY_WINDOW) -> DataFrame:
     """The detections of the last ``days`` days before the newest one.
 
-    The newest time is an aggregate of one column; the filter itself is pushed to the scan.
+    The newest time is an aggregate of one column; the filter compares ``ts`` itself, so that the scan can skip by it.
     """
-    every = all_detections(spark, sf_dir)
-    newest = table(spark, sf_dir, "events").agg(F.max(micros("ts"))).first()[0]
-    return every.where(F.col("us") > F.lit((newest or 0) - days * 86_400_000_000))
+    events = table(spark, sf_dir, "events")
+    newest = events.agg(F.max(micros("ts"))).first()[0]
+    after = F.timestamp_micros(F.lit((newest or 0) - days * 86_400_000_000)).cast(events.schema["ts"].dataType)
+    return detections_of(events.where(F.col("ts") > after))
+
+
+def recent(every: DataFrame, days: int = dims.DAY_WINDOW) -> DataFrame:
+    newest = every.agg(F.max("us")).first()[0]
+    return every.where(F.col("us") > (newest or 0) - days * 86_400_000_000)
+
+
+def newest_hours(events: DataFrame) -> float:
+    newest = events.agg(F.max(micros("ts"))).first()[0]
+    return ((newest or EPOCH_US) - EPOCH_US) / 3.6e9
 
 
 def now_hours(spark: SparkSession, sf_dir: str) -> float:
     """The time of the newest event stands for the wall clock."""
-    newest = table(spark, sf_dir, "events").agg(F.max(micros("ts"))).first()[0]
-    return ((newest or EPOCH_US) - EPOCH_US) / 3.6e9
+    return newest_hours(table(spark, sf_dir, "events"))
 
 
 def hourly_weather(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,11 +87,12 @@ def statuses(stream: DataFrame) -> DataFrame:
     return timed.groupBy("user_id").applyInPandasWithState(track, STATUS, "last_us long, n long, step int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rebuild(stream: DataFrame, build: Callable[[SparkSession], DataFrame], path: str, every: str = "15 minutes", once: bool = False):
-    """The picture, rebuilt from the stored window after each micro-batch; one file set replaces the other."""
+def rebuild(stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, every: str = "15 minutes", once: bool = False):
+    """The picture, rebuilt after each micro-batch from all events so far: each batch joins them under its number, and one picture replaces the other."""
 
-    def again(batch: DataFrame, _: int) -> None:
-        build(batch.sparkSession).write.mode("overwrite").parquet(f"{path}/picture")
+    def again(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+        build(batch.sparkSession.read.parquet(f"{path}/events")).write.mode("overwrite").parquet(f"{path}/picture")
 
     trigger = {"availableNow": True} if once else {"processingTime": every}
     return stream.writeStream.foreachBatch(again).option("checkpointLocation", f"{path}/state").trigger(**trigger).start()

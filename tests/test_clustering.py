@@ -1,4 +1,6 @@
+import hashlib
 import math
+from datetime import UTC, datetime, timedelta
 
 import pytest
 
@@ -74,3 +76,64 @@ def test_id_is_stable_under_row_order(spark):
         df = points(spark, order)
         names.add(cluster.incidents(cluster.members(df), 5.0).first()["incident_id"])
     assert len(names) == 1
+
+
+@pytest.mark.parametrize("micros", [0, 120_000])
+def test_id_and_centroid_are_those_of_plain_python(spark, micros):
+    first = datetime(2024, 8, 11, 12, 3, 5, micros, tzinfo=UTC)
+    rows = [(38.2137, 23.9004, 10.0, 0), (38.2215, 23.9101, 250.0, 1), (38.2011, 23.8952, None, 2)]
+    epoch = datetime(1970, 1, 1, tzinfo=UTC)
+    full = []
+    for i, (lat, lon, frp, h) in enumerate(rows):
+        us = (first + timedelta(hours=h) - epoch) // timedelta(microseconds=1)
+        full.append((i, us, us / 3.6e9, lat, lon, frp, "viirs_snpp", 0.375, True, 0))
+    got = cluster.incidents(cluster.members(spark.createDataFrame(full, SCHEMA)), 1e6).first()
+    weights = [max(frp or 0.0, 0.1) for _, _, frp, _ in rows]
+    mean = lambda k: round(sum(w * r[k] for w, r in zip(weights, rows, strict=True)) / sum(weights), 6)
+    assert got["incident_id"] == hashlib.sha1(f"38.214:23.900:{first.isoformat()}".encode()).hexdigest()[:16]
+    assert (got["latitude"], got["longitude"]) == (mean(0), mean(1))
+
+
+def test_small_cells_leave_the_clusters_as_they_are(spark):
+    import random
+
+    random.seed(9)
+    rows = [(38 + random.gauss(0, 0.06), 23 + random.gauss(0, 0.06), random.random() * 120) for _ in range(150)] + [(38.5, 23.5, 0.0)] * 3
+    placed = cluster.project(points(spark, rows)).collect()
+    root = list(range(len(rows)))
+    near = [(p["id"], q["id"]) for p in placed for q in placed if p["id"] < q["id"] and math.hypot(p["x"] - q["x"], p["y"] - q["y"]) <= 3 and abs(p["h"] - q["h"]) <= 30]
+    for _ in rows:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {x for pair in near for x in pair}
+    assert labels(spark, rows) == [root[i] if i in linked else -1 for i in range(len(rows))]
+
+
+def test_places_are_numbered_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from cinderlake.operators.ranking import numbered
+
+    df = spark.range(500).select("id", (F.col("id") * 37 % 11).alias("k"))
+    got = {r["id"]: r["place"] for r in numbered(df, [F.col("k").desc(), F.col("id")]).collect()}
+    assert got == {i: n + 1 for n, i in enumerate(sorted(range(500), key=lambda i: (-(i * 37 % 11), i)))}
+    assert numbered(df.limit(0), [F.col("id")]).count() == 0
+
+
+def test_threat_is_scored_by_the_rounded_distance(spark):
+    from cinderlake.functions import formulas as f
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([("settlement", 12.3449, None, True, 1000)], "kind string, km double, minutes double, downwind boolean, population long")
+    got = row.select(F.expr(f.threat_score("kind", f.rnd("km", 2), "minutes", "downwind", "population")).alias("t")).first()["t"]
+    same = row.withColumn("km", F.lit(12.34)).select(F.expr(f.threat_score("kind", "km", "minutes", "downwind", "population")).alias("t")).first()["t"]
+    assert got == same
+
+
+def test_patches_of_wide_rasters_stay_apart(spark):
+    from cinderlake.operators import raster
+
+    cells = [(0, 0, 24), (0, 0, 25), (0, 1, 0), (0, 1, 1), (1, 30, 2)]
+    df = spark.createDataFrame([(s, r, c, 0.5, False) for s, r, c in cells], "site long, row long, col long, dnbr double, water boolean")
+    got = {(x["site"], x["row"], x["col"]): x["patch"] for x in raster.patches(df).collect()}
+    assert got[0, 0, 24] == got[0, 0, 25] != got[0, 1, 0] == got[0, 1, 1] and len(set(got.values())) == 3
