@@ -11,8 +11,12 @@ normalised text is also compared in windows of a template's word count that star
 the end of the text the window slides back. Windows stand in where a document has no unit for the template: score,
 count and unit are then those of the windows.
 
+Templates are short notices, opening clauses, and whole texts and headers of common licences. A text of one licence can
+reach the bound of a relative too, as with two and three clauses; the score tells them apart.
+
 Null and empty texts have no unit. Rows that repeat an id are one document: a licence is given once for an id, with
-its best unit.
+its best unit; of units of equal score the first in order of text is given. Texts are read whole, however long. Rows
+without an id are one document. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +27,13 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cinderlake.llm.common import column
+from cinderlake.llm.licence_texts import TEXTS
+
 LEAST = 0.8
 
 # Short notices and opening clauses of common licences.
-TEMPLATES = {
+NOTICES = {
     "MIT": "Released under the MIT License.",
     "MIT-notice": "Licensed under the MIT License.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
@@ -46,6 +53,7 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "All-rights-reserved": "All rights reserved.",
 }
+TEMPLATES = NOTICES | TEXTS
 
 
 def plain_words(text: str) -> list[str]:
@@ -130,7 +138,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     tell = None
     for w in telling_words({k: templates[k] for k in known}, least):
         tell = low.contains(w) if tell is None else tell | low.contains(w)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("body")).where(tell if tell is not None else F.lit(False))
+    rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("body")).where(tell if tell is not None else F.lit(False))
     each = rows.select("id", F.explode(units(body)).alias("unit"))
     likely = None
     for w in telling_words({k: templates[k] for k in known}, least):
@@ -153,25 +161,44 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
 
 
 def oracle(templates: dict[str, str] | None = None, least: float = LEAST) -> str:
-    """The same result in DuckDB SQL, without pruning, where no licence shows in windows alone."""
+    """The same result in DuckDB SQL, without telling words."""
     templates = TEMPLATES if templates is None else templates
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(n)}, [{', '.join(map(quoted, b))}])" for n, t in sorted(templates.items()) if (b := plain_bigrams(t)))
+    known = ", ".join(f"({quoted(n)}, {len(plain_words(t))}, [{', '.join(map(quoted, b))}])" for n, t in sorted(templates.items()) if (b := plain_bigrams(t)))
+    normal_of = lambda c: rf"trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     return rf"""
-WITH t(licence, want) AS (VALUES {known}),
+WITH t(licence, n_words, want) AS (VALUES {known}),
 raw AS (
   SELECT doc_id, unnest(list_concat(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)), string_split(text, chr(10)),
          string_split_regex(text, '\n[ \t]*\n'), [text])) AS u FROM documents WHERE text IS NOT NULL
 ), unit AS (
-  SELECT DISTINCT doc_id, trim(regexp_replace(lower(u), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS unit FROM raw
+  SELECT DISTINCT doc_id, {normal_of('u')} AS unit FROM raw
 ), words AS (
   SELECT doc_id, unit, string_split(unit, ' ') AS w FROM unit
 ), have AS (
   SELECT doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS have FROM words
 ), m AS (
-  SELECT doc_id, unit, licence, 2.0::DOUBLE * len(list_intersect(have, want)) / (len(have) + len(want)) AS score
+  SELECT doc_id, unit, licence, false AS in_window, 2.0::DOUBLE * len(list_intersect(have, want)) / (len(have) + len(want)) AS score
   FROM have, t WHERE len(have) BETWEEN len(want) * {least}::DOUBLE / (2 - {least}::DOUBLE) - 1e-9 AND len(want) * (2 - {least}::DOUBLE) / {least}::DOUBLE + 1e-9
+), body AS (
+  SELECT DISTINCT doc_id, string_split({normal_of('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL
+), place AS (
+  SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM body
+), gram AS (
+  SELECT licence, n_words, unnest(want) AS gram FROM t
+), start AS (
+  SELECT doc_id, w, licence, n_words, least(p, len(w) - n_words + 1) AS s, count(*) AS hits
+  FROM place JOIN gram ON gram = w[p] || ' ' || w[p + 1] WHERE len(w) >= n_words GROUP BY ALL
+), win AS (
+  SELECT DISTINCT doc_id, licence, w[s : s + n_words - 1] AS w FROM start
+), whave AS (
+  SELECT doc_id, licence, array_to_string(w, ' ') AS unit, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS have FROM win
+), every AS (
+  SELECT * FROM m WHERE score >= {least}::DOUBLE
+  UNION ALL SELECT doc_id, unit, licence, true, score FROM (SELECT doc_id, unit, licence, 2.0::DOUBLE * len(list_intersect(have, want)) / (len(have) + len(want)) AS score FROM whave JOIN t USING (licence)) WHERE score >= {least}::DOUBLE
+), first AS (
+  SELECT *, min(in_window::INT) OVER (PARTITION BY doc_id, licence) AS least_window FROM every
 )
-SELECT doc_id, licence, round(max(score), 6) AS score, count(DISTINCT unit) AS n_units, min_by(unit, (-score, unit)) AS unit
-FROM m WHERE score >= {least}::DOUBLE GROUP BY doc_id, licence
+SELECT doc_id, licence, round(max(score), 6) AS score, count(DISTINCT (score, unit)) AS n_units, min_by(unit, (-score, unit)) AS unit
+FROM first WHERE in_window::INT = least_window GROUP BY doc_id, licence
 """

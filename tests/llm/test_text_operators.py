@@ -246,10 +246,33 @@ def test_notices_within_longer_units(spark):
     assert {(r["id"], r["licence"]) for r in got} == {(i, n) for i, (_, names) in enumerate(NOTICES) for n in names} and all(r["score"] >= 0.8 for r in got)
 
 
+def test_whole_licence_texts_are_told_apart(spark):
+    bsd = licenses.TEMPLATES["BSD-3-Clause-text"]
+    rows = [(1, "Copyright 2020 A. Nother\n\n" + licenses.TEMPLATES["BSD-2-Clause-text"]), (2, "Copyright 2021 B\n" + bsd.replace(". ", ".\n * ")), (3, sentence(500, 4) + " " + licenses.TEMPLATES["MIT-text"] + " " + sentence(400, 5))]
+    best = {}
+    for r in licenses.scan(docs(spark, rows)).where("licence LIKE '%text'").collect():
+        best[r["id"]] = max(best.get(r["id"], (0, "")), (r["score"], r["licence"]))
+    assert {i: b[1] for i, b in best.items()} == {1: "BSD-2-Clause-text", 2: "BSD-3-Clause-text", 3: "MIT-text"}
+
+
+def test_licence_sql_holds_windows_too(spark, duck, tmp_path):
+    import duckdb
+
+    rows = [(i, t) for i, (t, _) in enumerate(NOTICES)] + [(50, sentence(90, 1) + " " + licenses.TEMPLATES["ISC-text"] + " " + sentence(90, 2)), (51, None)]
+    path = str(tmp_path / "documents")
+    docs(spark, rows).select("doc_id", "text").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    names = ["doc_id", "licence", "score", "n_units", "unit"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({licenses.oracle()})").fetchall()
+    got = licenses.scan(spark.read.parquet(path)).withColumnRenamed("id", "doc_id").select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 8
+
+
 def test_windows_equal_brute_force(spark):
     r, rows = random.Random(7), []
     for i in range(150):
-        w = [x for _ in range(r.randint(1, 3)) for x in sentence(r.randint(0, 12), r.random()).split() + licenses.plain_words(r.choice(list(licenses.TEMPLATES.values())))]
+        w = [x for _ in range(r.randint(1, 3)) for x in sentence(r.randint(0, 12), r.random()).split() + licenses.plain_words(r.choice(list(licenses.NOTICES.values())))]
         rows.append((i, " ".join(x if r.random() > 0.06 else r.choice(["", "the", "other"]) for x in w)))
     want = set()
     for i, t in rows:
