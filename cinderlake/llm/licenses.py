@@ -31,6 +31,8 @@ from cinderlake.llm.common import column
 from cinderlake.llm.licence_texts import TEXTS
 
 LEAST = 0.8
+#: Words that most English texts have: they tell little.
+EVERYDAY = {"and", "any", "are", "as", "by", "for", "if", "in", "is", "it", "its", "not", "of", "on", "or", "that", "the", "this", "to", "with", "you"}
 
 # Short notices and opening clauses of common licences.
 NOTICES = {
@@ -68,14 +70,14 @@ def plain_bigrams(text: str) -> list[str]:
 def telling_words(templates: dict[str, str], least: float) -> list[str]:
     """Words of which every unit that reaches ``least`` with a template has one.
 
-    Such a unit shares at least ``least / (2 - least)`` of the template's bigrams. Words are added, longest first,
-    until the bigrams without any of them are fewer than that.
+    Such a unit shares at least ``least / (2 - least)`` of the template's bigrams. Words are added, longest first and
+    everyday ones last, until the bigrams without any of them are fewer than that.
     """
     chosen: set[str] = set()
     for text in templates.values():
         bigrams = plain_bigrams(text)
         need = least / (2 - least) * len(bigrams)
-        for w in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (w not in chosen, -len(w), w)):
+        for w in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (w not in chosen, w in EVERYDAY, -len(w), w)):
             if sum(1 for b in bigrams if not chosen & set(b.split())) < need - 1e-9:
                 break
             chosen.add(w)
@@ -136,8 +138,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     body = F.col("body")
     low = F.lower(body)
     tell = None
-    for w in telling_words({k: templates[k] for k in known}, least):
-        tell = low.contains(w) if tell is None else tell | low.contains(w)
+    for w in sorted(telling_words({k: templates[k] for k in known}, least), key=lambda w: (-len(w), w)):
+        # Short words are parts of many others: they are looked for as whole words, and last.
+        has = low.contains(w) if len(w) > 3 else low.rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])")
+        tell = has if tell is None else tell | has
     rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("body")).where(tell if tell is not None else F.lit(False))
     each = rows.select("id", F.explode(units(body)).alias("unit"))
     likely = None
