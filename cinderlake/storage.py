@@ -12,15 +12,19 @@ from pyspark.sql import types as T
 #: Rows and bytes up to which a side may be broadcast; beyond them the same join is left to a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset and all run on one machine."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of this machine's only where that is unset and all run here."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="cinderlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = tempfile.mkdtemp(prefix="cinderlake-")
+        path = _own[application]
     return path.rstrip("/")
 
 
