@@ -26,7 +26,8 @@ SPREAD_KM = f"sqrt(power((max(latitude) - min(latitude)) * {KM}, 2) + power((max
 TABLES = {
     "alldet(id, user_id, event_type, us, hours, latitude, longitude, frp_mw, satellite, scan_km, is_daytime, day)": """
   SELECT event_id, user_id, event_type, epoch_us(ts), (epoch_us(ts) - 1704067200000000) / 3.6e9,
-    (35000 + (user_id * 37 % 650) * 10 + event_id * 17 % 41 - 20) / 1000e0, (20000 + (user_id * 53 % 900) * 10 + event_id * 29 % 37 - 18) / 1000e0, value,
+    (CASE WHEN user_id % 10 = 0 THEN 37700 + user_id * 37 % 80 * 10 ELSE 35000 + user_id * 37 % 650 * 10 END + event_id * 17 % 41 - 20) / 1000e0,
+    (CASE WHEN user_id % 10 = 0 THEN 23300 + user_id * 53 % 80 * 10 ELSE 20000 + user_id * 53 % 900 * 10 END + event_id * 29 % 37 - 18) / 1000e0, value,
     CASE event_type WHEN 'view' THEN 'viirs_snpp' WHEN 'click' THEN 'viirs_noaa20' WHEN 'signup' THEN 'viirs_noaa21' WHEN 'purchase' THEN 'modis_terra' ELSE 'modis_aqua' END,
     CASE event_id % 5 WHEN 0 THEN 0.375e0 WHEN 1 THEN 0e0 WHEN 3 THEN 0.5e0 WHEN 4 THEN 1e0 END, hour(ts) BETWEEN 6 AND 17, (epoch_us(ts) - 1704067200000000) // 86400000000
   FROM events""",
@@ -80,7 +81,7 @@ TABLES = {
     "wx": """
   SELECT user_id AS site, hour, hour // 24 AS day, hour % 24 AS hour_of_day, (180 + n * 13 % 200) / 10e0 AS temperature_c,
     CASE WHEN n % 23 <> 0 THEN (15 + n * 7 % 70) * 1e0 END AS humidity_pct, CASE WHEN n % 19 <> 0 THEN (n * 11 % 45) * 1e0 END AS wind_kmh, (n * 31 % 360) * 1e0 AS wind_from_deg,
-    (CASE WHEN n % 9 = 0 THEN n % 12 ELSE 0 END) * 1e0 AS rain_mm, (hour // 24 // 30 % 12 + 6)::INTEGER AS month, (35000 + (user_id * 37 % 650) * 10) / 1000e0 AS latitude
+    (CASE WHEN n % 9 = 0 THEN n % 12 ELSE 0 END) * 1e0 AS rain_mm, (hour // 24 // 30 % 12 + 6)::INTEGER AS month, (CASE WHEN user_id % 10 = 0 THEN 37700 + user_id * 37 % 80 * 10 ELSE 35000 + user_id * 37 % 650 * 10 END) / 1000e0 AS latitude
   FROM (SELECT user_id, (epoch_us(ts) - 1704067200000000) // 3600000000 AS hour, min(event_id) AS n FROM events GROUP BY ALL)""",
     "noon": """
   SELECT * FROM (SELECT *, sum(rain_mm) OVER (PARTITION BY site, day) AS day_rain, row_number() OVER (PARTITION BY site, day ORDER BY abs(hour_of_day - 10), hour) AS k FROM wx)

@@ -14,16 +14,16 @@ from cinderlake.sources import adapters
 query = Registry()
 
 PIX = """(SELECT site, "row", col, scene, CASE WHEN burnt THEN 1500 + n * 3 % 400 ELSE 3000 + n * 5 % 900 END AS b8a, CASE WHEN burnt THEN 2600 + n * 11 % 900 ELSE 1600 + n * 7 % 500 END AS b12, 1800 + n * 13 % 700 AS b11, 700 + n * 17 % 500 AS b04, CASE WHEN n % 17 = 0 THEN 9 WHEN n % 29 = 0 THEN 6 ELSE 4 END AS scl
-  FROM (SELECT *, scene = 'post' AND n % 3 <> 0 AS burnt FROM (SELECT user_id AS site, (event_id * 7 % 24)::INTEGER AS "row", (event_id // 5 % 24)::INTEGER AS col, min(event_id) AS n FROM events GROUP BY ALL), (VALUES ('pre'), ('post')) s(scene)))"""
+  FROM (SELECT *, scene = 'post' AND n % 3 <> 0 AS burnt FROM (SELECT user_id AS site, (8 + event_id % 8)::INTEGER AS "row", (8 + event_id // 9 % 8)::INTEGER AS col, min(event_id) AS n FROM events GROUP BY ALL), (VALUES ('pre'), ('post')) s(scene)))"""
 R = raster.reflectance
 VALID = f"(scl NOT IN (0, 1, 3, 8, 9, 10, 11) AND {R('b8a')} > 0)"
 IND = f"(SELECT *, CASE WHEN valid THEN {f.normalised_difference(R('b8a'), R('b12'))} END AS nbr, CASE WHEN valid THEN {f.normalised_difference(R('b8a'), R('b11'))} END AS ndmi, CASE WHEN valid THEN {f.normalised_difference(R('b8a'), R('b04'))} END AS ndvi FROM (SELECT *, {VALID} AS valid, scl = 6 AS water FROM {PIX}))"
 DIFF = f"(SELECT *, CASE WHEN dnbr IS NOT NULL THEN {f.burn_class('dnbr')} END AS severity FROM (SELECT p.site, p.\"row\", p.col, p.nbr AS pre, p.valid AND q.valid AS valid, p.water OR q.water AS water, CASE WHEN p.valid AND q.valid THEN p.nbr - q.nbr END AS dnbr FROM {IND} p JOIN {IND} q USING (site, \"row\", col) WHERE p.scene = 'pre' AND q.scene = 'post'))"
-PATCH = f"""WITH RECURSIVE burnt AS (SELECT *, (site * 24 + "row") * 24 + col AS pixel FROM {DIFF} WHERE dnbr >= 0.1e0 AND NOT water),
+PATCH = f"""WITH RECURSIVE burnt AS (SELECT *, (site * 16 + "row") * 16 + col AS pixel FROM {DIFF} WHERE dnbr >= 0.1e0 AND NOT water),
 pedge AS (SELECT p.pixel AS a, q.pixel AS b FROM burnt p JOIN burnt q ON p.site = q.site AND abs(p."row" - q."row") + abs(p.col - q.col) = 1),
 preach(pixel, other) AS (SELECT pixel, pixel FROM burnt UNION SELECT r.pixel, e.b FROM preach r JOIN pedge e ON e.a = r.other),
 patched AS (SELECT burnt.*, patch FROM burnt JOIN (SELECT pixel, min(other) AS patch FROM preach GROUP BY pixel) USING (pixel)),
-seeded AS (SELECT * FROM patched SEMI JOIN (SELECT patch FROM patched GROUP BY patch HAVING count(*) * 0.04e0 >= 0.5e0 AND min(sqrt(power(("row" - 12) * 20e0, 2) + power((col - 12) * 20e0, 2))) <= 100e0) k USING (patch))
+seeded AS (SELECT * FROM patched SEMI JOIN (SELECT patch FROM patched GROUP BY patch HAVING count(*) * 0.04e0 >= 0.5e0 AND min(sqrt(power(("row" - 12) * 20e0, 2) + power((col - 12) * 20e0, 2))) <= 1500e0) k USING (patch))
 """
 
 
@@ -48,7 +48,7 @@ def dnbr_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seeded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     difference = raster.burn_difference(stack(spark, sf_dir))
-    return difference, raster.near_seed(raster.patches(difference), 100.0)
+    return difference, raster.near_seed(raster.patches(difference), 1500.0)
 
 
 @query("burn_patches", PATCH + "SELECT patch, site, count(*) AS pixels FROM patched GROUP BY patch, site")

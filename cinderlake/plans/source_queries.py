@@ -102,10 +102,11 @@ def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.frame(spark, [(k, i, v) for k, vs in dims.VOCABULARIES.items() for i, v in enumerate(vs)], "vocabulary string, place int, value string")
 
 
-@query("overlay_catalogue", "SELECT id, category, concat('layer=', coalesce(layer, id), CASE WHEN time_aware THEN '&time=2024-01-30' ELSE '' END) AS tile_query, count(*) OVER (PARTITION BY category) AS in_category FROM overlay")
+@query("overlay_catalogue", "SELECT id, category, concat('layer=', coalesce(layer, id), CASE WHEN time_aware THEN concat('&time=', (SELECT strftime(make_timestamp(max(epoch_us(ts))), '%Y-%m-%d') FROM events)) ELSE '' END) AS tile_query, count(*) OVER (PARTITION BY category) AS in_category FROM overlay")
 def overlay_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlays with the query of their tiles on a given day."""
+    """Overlays with the query of their tiles on the current day, which is that of the newest event."""
     from pyspark.sql import Window
 
-    tile = F.concat(F.lit("layer="), F.coalesce("layer", "id"), F.when(F.col("time_aware"), "&time=2024-01-30").otherwise(""))
+    today = F.date_add(F.to_date(F.lit("2024-01-01")), int(adapters.now_hours(spark, sf_dir) // 24)).cast("string")
+    tile = F.concat(F.lit("layer="), F.coalesce("layer", "id"), F.when(F.col("time_aware"), F.concat(F.lit("&time="), today)).otherwise(""))
     return dims.overlays(spark).select("id", "category", tile.alias("tile_query"), F.count("*").over(Window.partitionBy("category")).alias("in_category"))

@@ -13,6 +13,11 @@ from cinderlake import dims
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01
 
+# Where a user's detections lie, in thousandths of a degree: one in ten among the places of the densest region, so that
+# there is something for a fire to reach; the others all over the area.
+LATITUDE = "CASE WHEN user_id % 10 = 0 THEN 37700 + user_id * 37 % 80 * 10 ELSE 35000 + user_id * 37 % 650 * 10 END"
+LONGITUDE = "CASE WHEN user_id % 10 = 0 THEN 23300 + user_id * 53 % 80 * 10 ELSE 20000 + user_id * 53 % 900 * 10 END"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,8 +38,8 @@ def detections_of(events: DataFrame) -> DataFrame:
     return e.select(
         number.alias("id"), F.col("user_id"), F.col("event_type"), F.col("us"),
         ((F.col("us") - EPOCH_US) / 3.6e9).alias("hours"),
-        ((35000 + (F.col("user_id") * 37 % 650) * 10 + number * 17 % 41 - 20) / 1000.0).alias("latitude"),
-        ((20000 + (F.col("user_id") * 53 % 900) * 10 + number * 29 % 37 - 18) / 1000.0).alias("longitude"),
+        ((F.expr(LATITUDE) + number * 17 % 41 - 20) / 1000.0).alias("latitude"),
+        ((F.expr(LONGITUDE) + number * 29 % 37 - 18) / 1000.0).alias("longitude"),
         F.col("value").alias("frp_mw"),
         F.expr("CASE event_type WHEN 'view' THEN 'viirs_snpp' WHEN 'click' THEN 'viirs_noaa20' WHEN 'signup' THEN 'viirs_noaa21' WHEN 'purchase' THEN 'modis_terra' ELSE 'modis_aqua' END").alias("satellite"),
         F.expr("CASE event_id % 5 WHEN 0 THEN 0.375e0 WHEN 1 THEN 0e0 WHEN 3 THEN 0.5e0 WHEN 4 THEN 1e0 END").alias("scan_km"),
@@ -80,18 +85,18 @@ def hourly_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 23 != 0, (15 + n * 7 % 70) * 1.0).alias("humidity_pct"),
         F.when(n % 19 != 0, (n * 11 % 45) * 1.0).alias("wind_kmh"), ((n * 31 % 360) * 1.0).alias("wind_from_deg"),
         (F.when(n % 9 == 0, n % 12).otherwise(0) * 1.0).alias("rain_mm"),
-        (F.floor(F.col("hour") / 24 / 30) % 12 + 6).cast("int").alias("month"), ((35000 + (F.col("user_id") * 37 % 650) * 10) / 1000.0).alias("latitude"),
+        (F.floor(F.col("hour") / 24 / 30) % 12 + 6).cast("int").alias("month"), (F.expr(LATITUDE) / 1000.0).alias("latitude"),
     )
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two co-registered scenes (pre, post) of pixels for each site: digital numbers, scene class, row and column.
 
-    Rows and columns are 20 m apart; events place a pixel of a 24 x 24 grid for each site.
+    Rows and columns are 20 m apart; events place a pixel within 80 m north, south, east and west of the seed (12, 12).
     """
     e = table(spark, sf_dir, "events").select("event_id", "user_id")
     number = F.col("event_id")
-    cells = e.groupBy("user_id", (number * 7 % 24).cast("int").alias("row"), (F.floor(number / 5) % 24).cast("int").alias("col")).agg(F.min("event_id").alias("n"))
+    cells = e.groupBy("user_id", (8 + number % 8).cast("int").alias("row"), (8 + F.floor(number / 9) % 8).cast("int").alias("col")).agg(F.min("event_id").alias("n"))
     n = F.col("n")
     scenes = F.explode(F.array(F.lit("pre"), F.lit("post"))).alias("scene")
     long = cells.select(F.col("user_id").alias("site"), "row", "col", "n", scenes)
