@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlake.llm import bpe, chat, decontaminate, language, lattice, licenses, quality, simhash, suffixes, urls
+from cinderlake.llm import align, bpe, chat, decontaminate, language, lattice, licenses, pieces, quality, repair, simhash, suffixes, urls
 
 #: Folder of the public tokenizer files; found through their package where this is None.
 TOKENIZER_DIR: str | None = None
@@ -82,11 +82,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two tokenizers that cover the same bytes of every document, and how common their links are."""
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults put into every conversation, the cheapest edits that mend its structure, and the mended text's digest."""
+    return repair.repair_damaged(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+def op13_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the SentencePiece ids and of the decoded text of every document."""
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_benchmark_decontamination, op3_language_id, op4_suffix_array_dedup, op5_bpe_codec, op6_quality_classifier,
         op7_chat_formatting, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_url_filter,
+        op11_cross_tokenizer_alignment, op12_conversation_repair, op13_sentencepiece_codec,
     )
 }
 #: The others are held against brute force, the tokenizer library or held-out rows in ``tests/llm``.
