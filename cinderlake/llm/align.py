@@ -289,7 +289,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     n_b = sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
     stored = Stored(aligned(docs, a_path, b_path, id_col, text_col), "aligned")
     counts = Stored(pair_counts(stored.df, n_b), "pairs")
-    asked = stored.df.select("chunk", F.explode("chunk_pairs").alias("pair"))
-    found = asked.join(counts.df, "pair").select("chunk", "pair", "n", "best")
+    asked = stored.df.select(F.col("chunk").alias("asking"), F.explode("chunk_pairs").alias("pair"))
+    found = asked.join(counts.df, "pair").select("asking", "pair", "n", "best")
     left = stored.df.select(*(c.split()[0] for c in DOC.split(", ")))
-    return left.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(told, RESULT).withColumnRenamed("id", id_col)
+    return left.groupBy("chunk").cogroup(found.groupBy("asking")).applyInArrow(told, RESULT).withColumnRenamed("id", id_col)
