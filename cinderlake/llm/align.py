@@ -22,8 +22,7 @@ import hashlib
 import json
 import os
 import re
-from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -47,44 +46,64 @@ SPAN = re.compile(rb"[\x01\x02]*\x03")
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{l}]+| ?[{n}]+| ?[^{s}{l}{n}]+|[{s}]+(?![^{s}])|[{s}]+"
 
 
+def low_part(ranges: str) -> str:
+    """What of the ranges of a character class, as ``as_class`` writes them, begins up to U+FFFF."""
+    return "".join(r for r in re.findall(r"\\U[0-9a-f]{8}-\\U[0-9a-f]{8}", ranges) if r[2:6] == "0000")
+
+
 class Lexicon:
     """Parts of texts, numbered as they come, with their token ids laid end to end."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], token_bytes: list[bytes], raw: Callable[[str], bytes]) -> None:
-        self.encode, self.token_bytes, self.raw = encode, token_bytes, raw
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]) -> None:
+        if not {bytes([b]) for b in range(256)} <= {*token_bytes}:
+            raise ValueError("not every byte has a token, so texts may not come back byte by byte")
+        self.encode = encode
         self.lengths = np.array([len(b) for b in token_bytes], np.int64)
-        self.clear()
-
-    def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.ids, self.starts, self.sound = array("i"), array("q", [0]), array("b")
+        self.ids, self.starts, self.used, self.sound = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def learn(self, parts: set[str]) -> None:
-        """Numbers parts not seen before; ``sound`` tells whether the tokens' bytes are the part's."""
-        fresh = [p for p in parts if p not in self.row]
-        for part, ids in zip(fresh, self.encode(fresh), strict=True):
-            self.row[part] = len(self.sound)
-            self.ids.extend(ids)
-            self.starts.append(len(self.ids))
-            self.sound.append(b"".join(map(self.token_bytes.__getitem__, ids)) == self.raw(part))
+        """Numbers parts not seen before; ``sound`` tells whether the tokens have as many bytes as the part."""
+        fresh = [*parts.difference(self.row)]
+        if not fresh:
+            return
+        ids = self.encode(fresh)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
+        n_bytes = np.fromiter((len(p) if p.isascii() else len(p.replace(MARK, " ").encode("utf-8")) for p in fresh), np.int64, len(fresh))
+        self.row.update(zip(fresh, range(len(self.row), len(self.row) + len(fresh)), strict=True))
+        ends = np.cumsum(counts)
+        self.sound = np.concatenate([self.sound, sums(self.lengths[flat], np.concatenate([[0], ends])) == n_bytes])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+        self.ids = np.concatenate([self.ids, flat])
+        self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
+
+    def forget(self) -> None:
+        """Keeps the half of the parts that were used most."""
+        keep = np.sort(np.argpartition(self.used, len(self.used) // 2)[len(self.used) // 2 :])
+        counts = np.diff(self.starts)[keep]
+        ends = np.cumsum(counts)
+        if ends[-1] > KNOWN_IDS // 2:
+            keep, counts, ends = keep[:0], counts[:0], ends[:0]
+        parts = [*self.row]
+        self.row = {parts[k]: i for i, k in enumerate(keep.tolist())}
+        self.ids = self.ids[np.repeat(self.starts[keep] - ends + counts, counts) + np.arange(int(counts.sum()))]
+        self.starts, self.used, self.sound = np.concatenate([[0], ends]), self.used[keep] // 2, self.sound[keep]
 
     def tokens(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, given in parts, end to end; number of tokens of each text; whether each text is sound."""
         self.learn(set().union(*texts))
         n_parts = np.fromiter(map(len, texts), np.int64, len(texts))
         rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(texts)), np.int64, int(n_parts.sum()))
-        starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.int32) if self.ids else np.zeros(0, np.int32)
-        counts = starts[rows + 1] - starts[rows]
+        self.used += np.bincount(rows, minlength=len(self.used))
+        counts = np.diff(self.starts)[rows]
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(starts[rows] - ends + counts, counts) + np.arange(total)]
+        ids = self.ids[np.repeat(self.starts[rows] - ends + counts, counts) + np.arange(int(counts.sum()))]
         edge = np.concatenate([[0], np.cumsum(n_parts)])
-        upto = np.concatenate([[0], ends])[edge]
-        bad = np.concatenate([[0], np.cumsum(np.frombuffer(self.sound, np.int8)[rows] == 0)])[edge]
-        out = ids.copy(), np.diff(upto), np.diff(bad) == 0
-        del starts, flat, rows
+        bad = np.concatenate([[0], np.cumsum(~self.sound[rows])])[edge]
+        out = ids, np.diff(np.concatenate([[0], ends])[edge]), np.diff(bad) == 0
         if len(self.row) > KNOWN_PARTS or len(self.ids) > KNOWN_IDS:
-            self.clear()
+            self.forget()
         return out
 
 
@@ -106,19 +125,22 @@ class Aligner:
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         vocab = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         a_bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
+        for token, i in vocab.items():  # added tokens are text as it stands
             a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode("utf-8")
-        self.a = Lexicon(lambda parts: [e.ids for e in library.encode_batch_fast(parts, add_special_tokens=False)] if parts else [], a_bytes, lambda part: part.encode("utf-8"))
+        self.a = Lexicon(lambda parts: [e.ids for e in library.encode_batch_fast(parts, add_special_tokens=False)], a_bytes)
         pieces = self.pieces = PieceCodec(b_path)
         library_b, fence, skip = pieces.library, pieces.fence, pieces.fence_ids
         b_bytes = [bytes([int(p[3:5], 16)]) if library_b.is_byte(i) else p.replace(MARK, " ").encode("utf-8") for i in range(len(library_b)) for p in [library_b.id_to_piece(i)]]
 
         def b_ids(parts: list[str]) -> list[list[int]]:  # the fence keeps from a part the space that the library puts in front
-            return [ids[skip:] for ids in library_b.encode([fence + p for p in parts], num_threads=1)] if parts else []
+            return [ids[skip:] for ids in library_b.encode([fence + p for p in parts], num_threads=1)]
 
-        self.b = Lexicon(b_ids, b_bytes, lambda part: part.replace(MARK, " ").encode("utf-8"))
+        self.b = Lexicon(b_ids, b_bytes)
         self.n_b = len(b_bytes)
         self.split_any = re.compile(BYTE_LEVEL_PATTERN.format(l=tables.letters, n=tables.numbers, s=tables.spaces))
+        # Characters of a class are looked up fast as long as it has none beyond U+FFFF.
+        self.split_low = re.compile(BYTE_LEVEL_PATTERN.format(l=low_part(tables.letters), n=low_part(tables.numbers), s=low_part(tables.spaces)))
+        self.beyond = re.compile("[\U00010000-\U0010ffff]")
         self.split_ascii = re.compile(BYTE_LEVEL_PATTERN.format(l="a-zA-Z", n="0-9", s=r"\t-\r "))
         width = len(str(max(len(a_bytes), self.n_b))) + 1
         #: Decimal ids with what follows them in a group: a comma, or behind the last of A a bar and the last of B a semicolon.
@@ -126,7 +148,8 @@ class Aligner:
         self.n_a = len(a_bytes)
 
     def a_parts(self, text: str) -> list[str]:
-        return (self.split_ascii if text.isascii() else self.split_any).findall(" " + text)
+        split = self.split_ascii if text.isascii() else self.split_any if self.beyond.search(text) else self.split_low
+        return split.findall(" " + text)
 
     def align(self, texts: list[str | None]) -> Slice:
         """Groups and links of the texts, all at once: their labels stand end to end, as every text ends with a both-label."""

@@ -59,7 +59,7 @@ def kinds_of(pieces: Iterable[str]) -> list[str]:
     groups: dict[str, list[str]] = {}
     for c in over:
         groups.setdefault(top(c), []).append(c)
-    return ["".join(sorted(group)) for group in groups.values()]
+    return sorted(("".join(sorted(group)) for group in groups.values()), key=lambda g: (-len(g), g))  # what is tried first holds most
 
 
 class PieceCodec:
