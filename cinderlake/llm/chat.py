@@ -1,31 +1,44 @@
-"""Chat formatting: logged conversations that are a prefix of a longer one collapse into it; the rest is rendered.
+r"""Chat formatting: logged conversations that are a prefix of a longer one collapse into it; the rest is rendered.
 
 A service that logs the whole conversation after every turn leaves a chain of snapshots, each a prefix of the next.
 Each turn gets two rolling 64-bit hashes of its conversation up to it: the exclusive or of hashes of position, role
 and text. Conversations whose end occurs inside another one are removed by an anti-join on position and hashes; of
-equal conversations the one with the smallest id stays. Positions and rolling hashes are computed in blocks of
-turns, then over the block totals, and long conversations are rendered in parts, so no task needs a whole one.
+equal conversations the one with the smallest id stays. Turns are put in order by ranges and stored with
+their place, whatever their numbers; positions and rolling hashes are computed in blocks of places, then over the
+block totals, and long conversations are rendered in parts, so no task needs a whole one.
 
 Turns are ordered by turn, then role, then text; nulls first. A null role is ``unknown``, a null text empty. Rows
-without a conversation id are left out. Repeated rows are turns of their own.
+without a conversation id are left out. Repeated rows are turns of their own. In roles and texts ``<|`` is written
+``<\|``, and ``<\`` with one more backslash, so that no text holds a marker of a turn and each can be read back.
+Texts are whole, however long; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlake.llm.common import Stored, column
+
 BLOCK, PART = 256, 256
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
 def rolling(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``(conv, pos, role, text, p1, p2, total)``: turns with position from 1, rolling hashes and the number of turns."""
-    rows = turns.where(turns[conv_col].isNotNull()).select(
-        turns[conv_col].cast("long").alias("conv"), turns[turn_col].cast("long").alias("turn"),
-        F.coalesce(turns[role_col].cast("string"), F.lit("unknown")).alias("role"), F.coalesce(turns[text_col].cast("string"), F.lit("")).alias("text"),
-    ).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))))
-    inside = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
+    rows = turns.where(column(turns, conv_col).isNotNull()).select(
+        column(turns, conv_col).cast("long").alias("conv"), column(turns, turn_col).cast("long").alias("turn"),
+        F.coalesce(column(turns, role_col).cast("string"), F.lit("unknown")).alias("role"), F.coalesce(column(turns, text_col).cast("string"), F.lit("")).alias("text"),
+    )
+    order = ("conv", "turn", "role", "text", "tie")  # the last one deals out equal rows too
+    placed = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines = Stored(placed.select("conv", "role", "text", F.monotonically_increasing_id().alias("line")), "turns").df
+    rows = lines.withColumn("block", F.floor(F.col("line") / BLOCK))
+    inside = Window.partitionBy("conv", "block").orderBy("line")
     numbered = rows.withColumn("k", F.row_number().over(inside))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv")
@@ -53,11 +66,11 @@ def render(turns: DataFrame, part: int = PART, **columns: str) -> DataFrame:
 
     Only what the hashes need is read to choose them; then their turns alone are gathered.
     """
-    rolled = rolling(turns, **columns)
+    rolled = Stored(rolling(turns, **columns), "rolled").df
     chosen = maximal(rolled.drop("role", "text")).select("conv")
     lines = rolled.join(chosen, "conv", "left_semi").select(
         "conv", F.floor((F.col("pos") - 1) / part).cast("int").alias("part"), "pos", "total",
-        F.concat(F.lit(START), "role", F.lit("\n"), "text", F.lit(END + "\n")).alias("line"),
+        F.concat(F.lit(START), escaped(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(END + "\n")).alias("line"),
     )
     gathered = lines.groupBy("conv", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("lines"), F.max("total").alias("n_turns"))
     return gathered.select("conv", "part", "n_turns", F.array_join(F.col("lines.line"), "").alias("rendered"))
@@ -76,6 +89,6 @@ WITH t AS (
   SELECT conv_id FROM ends e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.pos = e.pos AND r.prefix = e.prefix AND r.pos < r.total)
 )
 SELECT conv_id, ((pos - 1) // 256)::INTEGER AS part, max(total) AS n_turns,
-       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
+       string_agg('<|im_start|>' || replace(replace(role, '<\', '<\\'), '<|', '<\|') || chr(10) || replace(replace(text, '<\', '<\\'), '<|', '<\|') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
 FROM r SEMI JOIN kept USING (conv_id) GROUP BY conv_id, (pos - 1) // 256
 """

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import held, slices
+from cinderlake.llm.common import column, held, slices
 from cinderlake.shipping import ship
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -185,18 +185,19 @@ def training_sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: s
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     bounded = named.join(F.broadcast(counts), "lang").where(share < 2.0 * rows / F.col("count"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = bounded.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select("id").distinct()
+    chosen = bounded.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select(F.col("id").alias("wanted")).distinct()
     begin = 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.greatest(F.lit(1), F.length(text_col) - chars + 1))
     passage = F.substring(F.col(text_col), begin.cast("int"), F.lit(chars))
-    got = labelled.join(F.broadcast(chosen), labelled[id_col] == chosen["id"], "left_semi").select(id_col, passage.alias("text"), F.col(lang_col).alias("lang"))
+    got = labelled.join(F.broadcast(chosen), F.col(id_col) == F.col("wanted"), "left_semi").select(id_col, passage.alias("text"), F.col(lang_col).alias("lang"))
     found = sorted((r[0], r["lang"], r["text"]) for r in got.collect())
     return [f[2] for f in found], [f[1] for f in found]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tagger | None:
     """Trains on rows with a language and a text whose id does not hash into the held-out fifth."""
-    labelled = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull() & docs[id_col].isNotNull() & ~held_out(docs[id_col]))
-    return train(*training_sample(labelled, id_col, text_col, lang_col))
+    three = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text"), column(docs, lang_col).alias("lang"))
+    labelled = three.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    return train(*training_sample(labelled, "id", "text", "lang"))
 
 
 def held_out(id_col):
@@ -301,7 +302,7 @@ def identify(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", tex
     def shape(batch: pa.RecordBatch, labels: list[tuple[str, float]]) -> pa.RecordBatch:
         return pa.record_batch([batch.column(0), pa.array([x[0] for x in labels], pa.string()), pa.array([x[1] for x in labels], pa.float64())], names=["id", "lang_pred", "score"])
 
-    two = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    two = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
     return label_batches(two, tagger, 1, "id long, lang_pred string, score double", shape)
 
 
@@ -311,4 +312,5 @@ def keep_identified(docs: DataFrame, tagger: Tagger | None, least_score: float =
     def shape(batch: pa.RecordBatch, labels: list[tuple[str, float]]) -> pa.RecordBatch:
         return batch.filter(pa.array([x[0] != "und" and x[1] >= least_score for x in labels], pa.bool_()))
 
-    return label_batches(docs, tagger, docs.columns.index(text_col), docs.schema, shape)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the columns are called
+    return label_batches(plain, tagger, docs.columns.index(text_col), plain.schema, shape).toDF(*docs.columns)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import Stored, components
+from cinderlake.llm.common import Stored, column, components
 from cinderlake.llm.simhash import forest
 from cinderlake.shipping import ship
 
@@ -162,7 +162,7 @@ def cells_of_partition(least: float):
 def near_duplicates(vectors: DataFrame, least: float = LEAST, tables: int = TABLES, probes: int = PROBES, scale: float = CELL_SCALE, block_rows: int = BLOCK_ROWS, id_col: str = "vec_id", embedding_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``(id, n_links, component_id)`` per row of ``vectors``."""
     ship(vectors.sparkSession)
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[embedding_col].alias("embedding"), vectors[label_col].alias("label"))
+    rows = vectors.select(column(vectors, id_col).cast("long").alias("id"), column(vectors, embedding_col).alias("embedding"), column(vectors, label_col).alias("label"))
     rows = rows.withColumn("fine", usable("embedding", "label") & F.col("id").isNotNull())
     fine = rows.where("fine")
     distinct = Stored(fine.groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors").df

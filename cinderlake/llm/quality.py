@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import slices
+from cinderlake.llm.common import column, slices
 from cinderlake.shipping import ship
 
 #: Bound of the training sample, and the shape of the model.
@@ -157,15 +157,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
 
     The statistics of these rows are computed by the executors; the driver gets a few hundred bytes a row.
     """
-    known = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull() & ~held_out(labels[id_col]))
-    marks = known.groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
+    marked = labels.select(column(labels, id_col).alias("id"), column(labels, label_col).alias("label"))
+    known = marked.where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))
+    marks = known.groupBy("id").agg((F.avg("label") >= 0.5).cast("double").alias("y"))
     total = marks.count()
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = {r["id"]: r["y"] for r in marks.where(share < rows / max(1, total)).limit(2 * rows).collect()}
     if not chosen:
         return fit_forest(np.zeros((0, len(NAMES))), np.zeros(0))
     ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "wanted long")
-    sample = docs.join(F.broadcast(ids), docs[id_col] == ids["wanted"], "left_semi")
+    sample = docs.join(F.broadcast(ids), column(docs, id_col) == ids["wanted"], "left_semi")
     got = sorted((r["id"], list(r["stats"])) for r in measure(sample, id_col, text_col).collect())
     return fit_forest(np.array([g[1] for g in got]).reshape(-1, len(NAMES)), np.array([chosen[g[0]] for g in got]))
 
@@ -178,7 +179,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([[float(v) for v in statistics(t.as_py())] for t in batch.column(1)], pa.list_(pa.float64()))], names=["id", "stats"])
 
-    two = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    two = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
     return two.mapInArrow(run, "id long, stats array<double>")
 
 
@@ -192,5 +193,5 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
             stats = [statistics(t) for lo, hi in slices(texts, SLICE_CHARS) for t in texts[lo:hi]]
             yield pa.record_batch([batch.column(0), pa.array(forest.score(np.array(stats).reshape(-1, len(NAMES))), pa.float64())], names=["id", "score"])
 
-    two = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    two = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
     return two.mapInArrow(run, "id long, score double")
