@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from cinderlake import dims
 from cinderlake.functions import formulas as f
-from cinderlake.operators.graph import components
-from cinderlake.storage import Stored
+from cinderlake.operators.graph import FEW_LINKS, components
+from cinderlake.storage import Stored, broadcast_if_small
 
 KM_PER_RADIAN_DEGREE = math.pi * dims.EARTH_RADIUS_KM / 180.0
 
@@ -35,34 +35,27 @@ def project(points: DataFrame) -> DataFrame:
     }).drop("lat0", "lon0", "h0")
 
 
-def neighbours(points: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float = dims.EPS_HOURS, of: str = "id") -> DataFrame:
-    """Pairs ``(a, b)`` with a < b of points (id, x, y, h) within both bounds, the bounds included.
-
-    With another column ``of`` the pairs are of its values, as far as they differ, each once.
-    """
+def neighbours(points: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float = dims.EPS_HOURS) -> DataFrame:
+    """Pairs ``(a, b)`` with a < b of points (id, x, y, h) within both bounds, the bounds included."""
     cell = lambda c, e: F.floor(F.col(c) / e)
-    at = points.select("id", F.col(of).alias("name"), "x", "y", "h", cell("x", eps_km).alias("cx"), cell("y", eps_km).alias("cy"), cell("h", eps_hours).alias("ch"))
-    # Of two neighbouring cells one looks into the other: 13 of 26 directions, and the own cell.
-    ahead = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
-    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in ahead))).alias("s")
-    looks = at.select("*", steps).select(
-        F.col("id").alias("id2"), F.col("name").alias("name2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("h").alias("h2"), (F.col("s.i") == 0) & (F.col("s.j") == 0) & (F.col("s.k") == 0),
-        (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), (F.col("ch") + F.col("s.k")).alias("ch"),
-    ).toDF("id2", "name2", "x2", "y2", "h2", "own", "cx", "cy", "ch")
-    met = at.join(looks, ["cx", "cy", "ch"]).where(~F.col("own") | (F.col("id") < F.col("id2")))
+    at = points.select("id", "x", "y", "h", cell("x", eps_km).alias("cx"), cell("y", eps_km).alias("cy"), cell("h", eps_hours).alias("ch"))
+    met = beside(at, ["cx", "cy", "ch"], ["id", "x", "y", "h"]).where(~F.col("own") | (F.col("id") < F.col("id2")))
     dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
     close = met.where((dx * dx + dy * dy <= eps_km * eps_km) & (F.abs(F.col("h") - F.col("h2")) <= eps_hours))
-    if of != "id":
-        return close.where("name <> name2").select(F.least("name", "name2").alias("a"), F.greatest("name", "name2").alias("b")).distinct()
     return close.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
-def dense_cells(points: DataFrame, eps_km: float, eps_hours: float) -> DataFrame:
-    """Points with ``rep``, the smallest id of their small cell: one so small that all points in it are within both bounds of one another."""
-    side = eps_km / math.sqrt(2) * (1 - 1e-9)
-    cell = [F.floor(F.col("x") / side).alias("sx"), F.floor(F.col("y") / side).alias("sy"), F.floor(F.col("h") / (eps_hours * (1 - 1e-9))).alias("sh")]
-    at = points.select("id", "x", "y", "h", *cell)
-    return at.join(at.groupBy("sx", "sy", "sh").agg(F.min("id").alias("rep")), ["sx", "sy", "sh"]).select("id", "x", "y", "h", "rep")
+def beside(rows: DataFrame, cell: list[str], fields: list[str]) -> DataFrame:
+    """Rows of equal and of neighbouring cells side by side, the second's fields with a 2 behind their names; ``own`` where the cells are equal.
+
+    Of two neighbouring cells one looks into the other: 13 of 26 directions, and the own cell, where both orders and a row with itself are among the pairs.
+    """
+    ahead = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in ahead))).alias("s")
+    moved = [(F.col(c) + F.col(f"s.{d}")).alias(c) for c, d in zip(cell, "ijk", strict=True)]
+    own = ((F.col("s.i") == 0) & (F.col("s.j") == 0) & (F.col("s.k") == 0)).alias("own")
+    looks = rows.select("*", steps).select(*moved, own, *(F.col(c).alias(f"{c}2") for c in fields))
+    return rows.select(*cell, *fields).join(looks, cell)
 
 
 def st_dbscan(points: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float = dims.EPS_HOURS, min_samples: int = dims.MIN_SAMPLES) -> DataFrame:
@@ -91,13 +84,90 @@ def st_dbscan(points: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float =
     return points.select("id").join(labels, "id", "left").select("id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
+#: Comparisons of points that settle two cells at once; with more points the cells are cut finer first. Cuts of a side, and how often.
+FEW_PAIRS, CUTS, MOST_CUTS = 4096, 4, 8
+PART = ["rep", "fx", "fy", "fh"]
+SIDES = [f"{end}_{c}" for c in "xyh" for end in ("low", "high")]
+
+
+def cell_sides(eps_km: float, eps_hours: float) -> dict[str, float]:
+    """Sides of cells so small that all points of one are within both bounds of one another."""
+    return {"x": eps_km / math.sqrt(2) * (1 - 1e-9), "y": eps_km / math.sqrt(2) * (1 - 1e-9), "h": eps_hours * (1 - 1e-9)}
+
+
+def boxes(points: DataFrame, cell: list[str]) -> DataFrame:
+    """Cells with their smallest id, number of points and bounding box; they combine before the shuffle."""
+    ends = [agg(c).alias(f"{name}_{c}") for c in "xyh" for name, agg in (("low", F.min), ("high", F.max))]
+    return points.groupBy(*cell).agg(F.min("id").alias("least"), F.count("*").alias("n"), *ends)
+
+
+def judged(pairs: DataFrame, eps_km: float, eps_hours: float) -> DataFrame:
+    """Pairs of boxes within reach, with ``linked``: whether all points of one are within the bounds of all of the other, else only some may be."""
+    gap = {c: F.greatest(F.lit(0.0), F.col(f"low_{c}") - F.col(f"high_{c}2"), F.col(f"low_{c}2") - F.col(f"high_{c}")) for c in "xyh"}
+    span = {c: F.greatest(F.col(f"high_{c}") - F.col(f"low_{c}2"), F.col(f"high_{c}2") - F.col(f"low_{c}")) for c in "xyh"}
+    within = lambda d: (d["x"] * d["x"] + d["y"] * d["y"] <= eps_km * eps_km) & (d["h"] <= eps_hours)
+    return pairs.where(within(gap)).withColumn("linked", within(span)).select(*PART, *(f"{c}2" for c in PART), "n", "n2", "linked")
+
+
+def second(df: DataFrame) -> DataFrame:
+    return df.toDF(*(f"{c}2" for c in df.columns))
+
+
+def cell_links(placed: DataFrame, cells: DataFrame, eps_km: float, eps_hours: float) -> DataFrame:
+    """Links ``(a, b)`` between the smallest ids of small cells that have points within the bounds of each other.
+
+    Boxes settle most pairs of cells: too far, or linked whatever the points. What is left is compared point by point where that is
+    little work; elsewhere both cells are cut finer and their parts settled the same way, down to a last cut of some centimetres and seconds.
+    """
+    side = cell_sides(eps_km, eps_hours)
+    # Cells within reach of each other are at most two apart, so pairs of them are neighbours.
+    pairs = cells.withColumns({f"c{c}": F.floor(F.col(f"f{c}") / 2) for c in "xyh"})
+    met = beside(pairs, ["cx", "cy", "ch"], [*PART, "n", *SIDES]).where(~F.col("own") | (F.col("rep") < F.col("rep2")))
+    open_ = Stored(judged(met, eps_km, eps_hours), "pairs").df
+    found = open_.where("linked").select("rep", "rep2")
+    points = placed.select(*PART, "id", "x", "y", "h")
+    for cut in range(1, MOST_CUTS + 2):
+        left = open_.where("NOT linked").join(found, ["rep", "rep2"], "left_anti")
+        few = (F.col("n") * F.col("n2") <= FEW_PAIRS) | F.lit(cut > MOST_CUTS)
+        here = points.select(*PART, "x", "y", "h")
+        both = left.where(few).select(*PART, *(f"{c}2" for c in PART)).join(here, PART).join(second(here), [f"{c}2" for c in PART])
+        dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+        close = both.where((dx * dx + dy * dy <= eps_km * eps_km) & (F.abs(F.col("h") - F.col("h2")) <= eps_hours))
+        found = found.unionByName(close.select("rep", "rep2").distinct())
+        many = Stored(left.where(~few), "many").df
+        if many.isEmpty():
+            break
+        found = Stored(found, "found").df
+        # Only the points of parts that are still asked for go on; the finer grid lies within the coarser one.
+        asked = many.select(*PART).unionByName(many.select(*(F.col(f"{c}2").alias(c) for c in PART))).distinct()
+        above = {f"p{c}": F.col(f"f{c}") for c in "xyh"}
+        finer = {f"f{c}": F.floor(F.col(c) / (side[c] / CUTS**cut)) for c in "xyh"}
+        points = Stored(points.join(asked, PART, "left_semi").withColumns(above).withColumns(finer), "points").df
+        parts = boxes(points, [*PART, "px", "py", "ph"]).drop("least")
+        whole = [F.col("rep"), *(F.col(f"f{c}").alias(f"p{c}") for c in "xyh")]
+        over = many.select(*whole, F.col("rep2"), *(F.col(f"f{c}2").alias(f"p{c}2") for c in "xyh"))
+        cut_up = over.join(parts, ["rep", "px", "py", "ph"]).join(second(parts), ["rep2", "px2", "py2", "ph2"])
+        open_ = Stored(judged(cut_up, eps_km, eps_hours), "pairs").df
+        found = found.unionByName(open_.where("linked").select("rep", "rep2").distinct())
+    return found.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+
+
 def st_dbscan_pairs(points: DataFrame, eps_km: float, eps_hours: float, min_samples: int) -> DataFrame:
     """``st_dbscan`` where one neighbour makes a core: the components of small cells that have points within the bounds of each other."""
-    cells = Stored(dense_cells(project(points), eps_km, eps_hours), "cells")
-    reached = components(neighbours(cells.df, eps_km, eps_hours, of="rep")).withColumnRenamed("node", "rep")
-    several = F.count("*").over(Window.partitionBy("rep")) > 1
-    label = F.coalesce("component", F.when(several | F.lit(min_samples <= 1), F.col("rep")), F.lit(-1).cast("long"))
-    return cells.df.select("id", "rep").join(reached, "rep", "left").select("id", label.alias("cluster"))
+    return placed_clusters(project(points), eps_km, eps_hours, min_samples)
+
+
+def placed_clusters(at: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float = dims.EPS_HOURS, min_samples: int = 2) -> DataFrame:
+    """``(id, cluster)`` of points (id, x, y, h) that have been projected."""
+    side = cell_sides(eps_km, eps_hours)
+    grid = ["fx", "fy", "fh"]
+    placed = Stored(at.select("id", "x", "y", "h").withColumns({f"f{c}": F.floor(F.col(c) / side[c]) for c in "xyh"}), "placed").df
+    cells = Stored(boxes(placed, grid).withColumnRenamed("least", "rep"), "cells").df
+    named = placed.join(broadcast_if_small(cells.select(*grid, "rep")), grid)
+    reached = components(cell_links(named, cells, eps_km, eps_hours), at_once=FEW_LINKS).withColumnRenamed("node", "rep")
+    label = F.coalesce("component", F.when((F.col("n") > 1) | F.lit(min_samples <= 1), F.col("rep")), F.lit(-1).cast("long"))
+    labelled = Stored(cells.join(reached, "rep", "left").select(*grid, label.alias("cluster")), "labels").df
+    return placed.join(broadcast_if_small(labelled), grid).select("id", "cluster")
 
 
 def members(points: DataFrame, **bounds) -> DataFrame:

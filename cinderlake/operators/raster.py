@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from cinderlake import dims
 from cinderlake.functions import formulas as f
-from cinderlake.operators.graph import components
+from cinderlake.operators import regions
 
 # Scale and offset of digital numbers, and the least share of usable pixels.
 SCALE, OFFSET = 0.0001, -0.1
 LEAST_USABLE = 0.40
-PIXEL_HA = 0.04
+PIXEL_M, PIXEL_HA = 20.0, 0.04
 LEAST_PATCH_HA = 0.5
 
 
@@ -46,16 +46,27 @@ def burn_difference(stack: DataFrame) -> DataFrame:
 
 
 def patches(difference: DataFrame, least_dnbr: float = 0.10) -> DataFrame:
-    """Burnt pixels with the id of their patch: 4-connected neighbours, as components of the pixel graph.
+    """Burnt pixels with the id of their patch of 4-connected pixels: the number of its first pixel.
 
     Pixels are numbered by the height and width of the largest raster.
     """
     height, width = difference.agg(F.coalesce(F.max("row") + 1, F.lit(1)), F.coalesce(F.max("col") + 1, F.lit(1))).first()
-    burnt = difference.where((F.col("dnbr") >= least_dnbr) & ~F.col("water")).withColumn("pixel", (F.col("site") * height + F.col("row")) * width + F.col("col"))
-    ahead = burnt.select(F.col("pixel").alias("a"), "site", F.explode(F.array(F.struct((F.col("row") + 1).alias("row"), "col"), F.struct("row", (F.col("col") + 1).alias("col")))).alias("p"))
-    edges = ahead.select("a", "site", "p.row", "p.col").join(burnt.select("site", "row", "col", F.col("pixel").alias("b")), ["site", "row", "col"]).select("a", "b")
-    reached = components(edges).withColumnRenamed("node", "pixel")
-    return burnt.join(reached, "pixel", "left").withColumn("patch", F.coalesce("component", "pixel")).drop("component")
+    number = lambda row, col: (F.col("site") * height + row) * width + col
+    burnt = difference.where((F.col("dnbr") >= least_dnbr) & ~F.col("water")).withColumn("pixel", number(F.col("row"), F.col("col")))
+    found = regions.label(burnt.select("site", "row", "col"), ["site"]).withColumnRenamed("region", "first")
+    patch = number(F.shiftright("first", 32), F.col("first").bitwiseAND(regions.ROW_STEP - 1))
+    return burnt.join(found.select("site", "row", "col", patch.alias("patch")), ["site", "row", "col"])
+
+
+def patch_polygons(patched: DataFrame) -> DataFrame:
+    """``(site, patch, cells, holes, corners, rings)``: the outline of each patch, holes included, in pixels (x east, y south)."""
+    keys = ["site"]
+    return regions.polygons(regions.rings(patched.select("site", "row", "col", F.col("patch").alias("region")), keys), keys).withColumnRenamed("region", "patch")
+
+
+def to_metres(rings: str, pixel_m: float = PIXEL_M) -> Column:
+    """Rings of pixel corners in map units from the raster's upper left corner, x east and y north."""
+    return F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct((p["x"] * pixel_m).alias("x"), (-p["y"] * pixel_m).alias("y"))))
 
 
 def near_seed(patched: DataFrame, reach_m: float, seed_row: int = 12, seed_col: int = 12, pixel_m: float = 20.0) -> DataFrame:

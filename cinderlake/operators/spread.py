@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from cinderlake import dims
 from cinderlake.functions import formulas as f
+from cinderlake.operators import regions
+
+#: Rows and columns of the grid on which footprints are united and intersected.
+GRID_STEPS = 40
 
 
 def estimate(df: DataFrame) -> DataFrame:
@@ -73,12 +77,12 @@ def footprints(spread: DataFrame, minutes: tuple[int, ...] = dims.HORIZONS_MIN)
     return each.withColumn("area_ha", F.expr(f.footprint_area_ha("head_ros", "back_ros", "lb", "direction", "minutes", "latitude")))
 
 
-def agreement(prints: DataFrame, steps: int = 40) -> DataFrame:
-    """Per incident and horizon the area that any scenario covers (envelope) and that all do (core), on a grid.
+def agreement_cells(prints: DataFrame, steps: int = GRID_STEPS) -> DataFrame:
+    """``(cluster, minutes, cell, row, col, any, every)``: cells of a grid around each fire that some or all scenarios of a horizon cover.
 
-    The grid of ``steps`` x ``steps`` cells spans twice the longest run of the horizon, so its size is fixed and its
-    resolution follows the fire. Cells are folded within a row per incident and horizon: the ellipses travel, not the
-    cells.
+    The grid of ``steps`` x ``steps`` cells of ``cell`` km spans twice the longest run of the horizon, rows running north and
+    columns east, so its size is fixed and its resolution follows the fire. Ellipses are folded within a row per incident and
+    horizon: they travel, not the cells.
     """
     length = (F.col("head_ros") + F.col("back_ros")) * F.col("minutes") / 1000.0
     turn = F.radians("direction")
@@ -88,9 +92,8 @@ def agreement(prints: DataFrame, steps: int = 40) -> DataFrame:
     )
     grouped = prints.groupBy("cluster", "minutes").agg(F.collect_list(shape).alias("shapes"), F.max(F.col("head_ros") * F.col("minutes") / 1000.0).alias("reach"))
     at = grouped.withColumn("cell", F.greatest(F.col("reach"), F.lit(0.01)) * 2.0 / steps)
-    cells = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps * steps - 1))))
-    east = (F.col("i") % steps + 0.5) * F.col("cell") - F.col("cell") * steps / 2
-    north = (F.floor(F.col("i") / steps) + 0.5) * F.col("cell") - F.col("cell") * steps / 2
+    cells = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps * steps - 1)))).withColumn("row", F.floor(F.col("i") / steps)).withColumn("col", (F.col("i") % steps).cast("long"))
+    middle = lambda c: (F.col(c) + 0.5) * F.col("cell") - F.col("cell") * steps / 2
 
     def covers(s):
         u = (F.col("e") * s["sin"] + F.col("n") * s["cos"] - s["shift"]) / s["long"]
@@ -98,12 +101,32 @@ def agreement(prints: DataFrame, steps: int = 40) -> DataFrame:
         return u * u + v * v <= 1
 
     hits = F.aggregate("shapes", F.lit(0), lambda k, s: k + F.when(covers(s), 1).otherwise(0))
-    hit = cells.withColumn("e", east).withColumn("n", north).withColumn("hits", hits)
-    hit = hit.select("cluster", "minutes", "cell", (F.col("hits") > 0).alias("any"), (F.col("hits") == F.size("shapes")).alias("every"))
-    counted = hit.groupBy("cluster", "minutes", "cell").agg(F.count_if("any").alias("n_any"), F.count_if("every").alias("n_all"))
+    hit = cells.withColumn("e", middle("col")).withColumn("n", middle("row")).withColumn("hits", hits)
+    return hit.select("cluster", "minutes", "cell", "row", "col", (F.col("hits") > 0).alias("any"), (F.col("hits") == F.size("shapes")).alias("every"))
+
+
+def agreement(prints: DataFrame, steps: int = GRID_STEPS) -> DataFrame:
+    """Per incident and horizon the area that any scenario covers (envelope) and that all do (core), on a grid."""
+    counted = agreement_cells(prints, steps).groupBy("cluster", "minutes", "cell").agg(F.count_if("any").alias("n_any"), F.count_if("every").alias("n_all"))
     return counted.select("cluster", "minutes", F.col("n_any").alias("envelope_cells"), F.col("n_all").alias("core_cells"), (F.col("n_any") * F.col("cell") * F.col("cell") * 100).alias("envelope_ha"), (F.col("n_all") * F.col("cell") * F.col("cell") * 100).alias("core_ha"))
 
 
+def agreement_outlines(prints: DataFrame, kinds: tuple[str, ...] = ("envelope", "core"), steps: int = GRID_STEPS) -> DataFrame:
+    """``(cluster, minutes, kind, cell, region, cells, holes, corners, rings)``: the union of all scenarios (envelope) and what they agree on (core), a polygon for each connected part."""
+    hit = agreement_cells(prints, steps).where("any").withColumn("kind", F.explode(F.when(F.col("every"), F.array(F.lit("envelope"), F.lit("core"))).otherwise(F.array(F.lit("envelope")))))
+    keys = ["cluster", "minutes", "kind", "cell"]
+    return regions.polygons(regions.rings(regions.label(hit.where(F.col("kind").isin(*kinds)), keys), keys), keys)
+
+
+def grid_to_map(rings: str, steps: int = GRID_STEPS):
+    """Rings of grid corners as rings of (lon, lat) around latitude and longitude of the row."""
+    def corner(p):
+        east, north = (p["x"] - steps / 2) * F.col("cell"), (p["y"] - steps / 2) * F.col("cell")
+        return F.struct((F.col("longitude") + east / (dims.KM_PER_DEGREE * F.cos(F.radians("latitude")))).alias("lon"), (F.col("latitude") + north / dims.KM_PER_DEGREE).alias("lat"))
+
+    return F.transform(rings, lambda ring: F.transform(ring, corner))
+
+
 def threats(spread: DataFrame, near: DataFrame, most_minutes: int = max(dims.HORIZONS_MIN)) -> DataFrame:
     """Per incident and place: how many scenarios arrive in time, the first and the upper median arrival, likelihood."""
     total = spread.groupBy("cluster").agg(F.count("*").alias("scenario_count"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cinderlake import dims
 from cinderlake.functions import formulas as f
-from cinderlake.operators import geo, spread, terrain, weather
-from cinderlake.plans.oracles import values
+from cinderlake.operators import geo, regions, spread, terrain, weather
+from cinderlake.plans.oracles import AROUND, OUTLINE, values
 from cinderlake.plans.picture import clustered, incidents, land_cover_of
 from cinderlake.plans.registry import Registry
 from cinderlake.sources import adapters
@@ -311,6 +311,20 @@ def envelope_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.agreement(spread.footprints(ensemble(spark, sf_dir))).select("cluster", "minutes", "envelope_cells", "core_cells")
 
 
+CELLS = f"""(SELECT cluster, minutes, kind, i // 40 AS "row", i % 40 AS col FROM (
+  SELECT cluster, minutes, i, bool_or({COVERED}) AS hit_any, bool_and({COVERED}) AS hit_all FROM (
+    SELECT *, (i % 40 + 0.5e0) * cell - cell * 40 / 2 AS e, (i // 40 + 0.5e0) * cell - cell * 40 / 2 AS n, (head_ros + back_ros) * minutes / 1000e0 AS length, (head_ros + back_ros) * minutes / 1000e0 / 2 - back_ros * minutes / 1000e0 AS shift
+    FROM (SELECT cluster, minutes, head_ros, back_ros, lb, direction, greatest(max(head_ros * minutes / 1000e0) OVER (PARTITION BY cluster, minutes), 0.01e0) * 2e0 / 40 AS cell FROM ({SCEN}), (VALUES (60), (180), (360)) h(minutes)), (SELECT unnest(range(0, 1600)) AS i))
+  GROUP BY cluster, minutes, i), (VALUES ('envelope'), ('core')) k(kind) WHERE (kind = 'envelope' AND hit_any) OR (kind = 'core' AND hit_all))"""
+
+
+@query("projection_outlines", f"SELECT * FROM (SELECT cluster, minutes, kind, count(*) AS cells FROM {CELLS} GROUP BY ALL) JOIN (SELECT cluster, minutes, kind, {OUTLINE} FROM ({AROUND.format(keys='cluster, minutes, kind', cells=CELLS)}) GROUP BY ALL) USING (cluster, minutes, kind)")
+def projection_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelope and core of every incident and horizon as polygons: area, corners and length in sides, by their rings."""
+    found = spread.agreement_outlines(spread.footprints(ensemble(spark, sf_dir)))
+    return found.groupBy("cluster", "minutes", "kind").agg(F.sum("cells").alias("cells"), F.sum("corners").alias("corners"), F.sum(regions.perimeter("rings")).alias("sides"))
+
+
 THREATS = f"""SELECT cluster, place_no, name, count(*) AS hit_count, 9::BIGINT AS scenario_count, min(m) AS earliest, list_sort(list(m))[count(*) // 2 + 1] AS median, string_agg(scenario, ',' ORDER BY m, scenario_no) AS scenarios_hit, {f.rnd('count(*) / 9e0', 3)} AS likelihood
   FROM (SELECT *, {f.minutes_to_reach('rate', 'km')} AS m FROM (SELECT *, {f.rate_toward('head_ros', 'lb', 'off')} AS rate FROM (
     SELECT s.cluster, scenario, scenario_no, head_ros, lb, place_no, name, km, {f.angle_between('bearing', 'direction')} AS off FROM ({SCEN}) s JOIN near USING (cluster) WHERE km <= 80))) WHERE m <= 2880 GROUP BY cluster, place_no, name"""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cinderlake import dims
 from cinderlake.functions import formulas as f
+from cinderlake.operators import regions
+from cinderlake.operators.hulls import convex_hulls
 from cinderlake.plans import fire_queries as fire
 from cinderlake.plans.picture import clustered, incidents, plausibility
 from cinderlake.plans.registry import Registry
@@ -28,12 +30,39 @@ def layer_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents(spark, sf_dir).join(plausibility(spark, sf_dir).select("cluster", "verdict"), "cluster").select("incident_id", "latitude", "longitude", "severity", "status", "area_ha", "verdict")
 
 
+#: Half a pixel in degrees, how far an outline lies beyond the detections; and what a hull is trusted.
+HALF_PIXEL, HULL_CONFIDENCE = dims.PIXEL_KM / 2 / dims.KM_PER_DEGREE, 0.45
+# Sides of a hull: pairs of points that no other point of the cluster lies to the right of, nor beyond in line. Positions are whole thousandths of a degree.
+HULL = """
+  SELECT cluster, px, py, qx, qy FROM (SELECT DISTINCT cluster, round(longitude * 1000)::BIGINT AS px, round(latitude * 1000)::BIGINT AS py FROM mem WHERE cluster >= 0) p
+  JOIN (SELECT DISTINCT cluster, round(longitude * 1000)::BIGINT AS qx, round(latitude * 1000)::BIGINT AS qy FROM mem WHERE cluster >= 0) q USING (cluster)
+  JOIN (SELECT DISTINCT cluster, round(longitude * 1000)::BIGINT AS rx, round(latitude * 1000)::BIGINT AS ry FROM mem WHERE cluster >= 0) r USING (cluster)
+  WHERE px <> qx OR py <> qy GROUP BY ALL
+  HAVING bool_and((qx - px) * (ry - py) - (qy - py) * (rx - px) > 0 OR ((qx - px) * (ry - py) - (qy - py) * (rx - px) = 0 AND rx BETWEEN least(px, qx) AND greatest(px, qx) AND ry BETWEEN least(py, qy) AND greatest(py, qy)))"""
+
+
+def hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hulls of incidents of three detections or more, half a pixel further out."""
+    found = convex_hulls(clustered(spark, sf_dir).where("cluster >= 0"), "cluster", radius=HALF_PIXEL).where("n >= 3")
+    return found.join(incidents(spark, sf_dir).select("cluster", "incident_id", "severity", "area_ha", "last_h"), "cluster").withColumn("method", F.lit("detection_hull")).withColumn("confidence", F.lit(HULL_CONFIDENCE))
+
+
+@query(
+    "perimeter_hulls",
+    f"""SELECT cluster, n, {f.rnd('coalesce(hull_area, 0e0)', 9)} AS hull_area, {f.rnd('coalesce(hull_length, 0e0)', 6)} AS hull_length, area_ha, 'detection_hull' AS method, 0.45e0 AS confidence FROM (SELECT cluster, count(*) AS n FROM mem WHERE cluster >= 0 GROUP BY cluster HAVING count(*) >= 3) c
+  LEFT JOIN (SELECT cluster, sum(px * qy - qx * py) / 2e6 AS hull_area, sum(sqrt(power((qx - px) / 1e3, 2) + power((qy - py) / 1e3, 2))) AS hull_length FROM ({HULL}) GROUP BY cluster) h USING (cluster) JOIN inc USING (cluster)""",
+)
+def perimeter_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area and length (degrees) of the hull of each incident of three detections or more, with how it was made and what it is trusted."""
+    return hulls(spark, sf_dir).select("cluster", "n", F.expr(f.rnd("hull_area", 9)).alias("hull_area"), F.expr(f.rnd("hull_length", 6)).alias("hull_length"), "area_ha", "method", "confidence")
+
+
 @query("layer_perimeters")
 def layer_perimeters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hulls of incidents of three different points or more, as GeoJSON."""
-    hulls = sinks.convex_hull(clustered(spark, sf_dir).where("cluster >= 0"))
-    both = hulls.join(incidents(spark, sf_dir).select("cluster", "area_ha"), "cluster").withColumn("method", F.lit("detection_hull"))
-    return sinks.features(both.withColumn("is_measured", F.lit(False)), sinks.polygon("ring"), ["cluster", "area_ha", "method", "is_measured"])
+    """Outlines of incidents of three detections or more, as GeoJSON; a sketch around detections, and named so."""
+    both = hulls(spark, sf_dir).withColumn("is_measured", F.lit(False))
+    ring = F.transform(F.concat("ring", F.slice("ring", 1, 1)), lambda p: F.struct(p["x"].alias("lon"), p["y"].alias("lat")))
+    return sinks.features(both.withColumn("ring", ring), sinks.polygon("ring"), ["incident_id", "severity", "area_ha", "method", "confidence", "is_measured"])
 
 
 @query("layer_exposure", f"SELECT cluster, name, minutes, downwind FROM ({fire.EXPOSED}) WHERE minutes IS NOT NULL OR downwind")
@@ -46,11 +75,47 @@ def layer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.places(spark).drop("place_no")
 
 
+def projections(spark: SparkSession, sf_dir: str, kind: str = "envelope", incident_id: str | None = None) -> DataFrame:
+    """Projected footprints as GeoJSON, the longest horizon first: the union of all scenarios (``envelope``), what they agree on (``core``), or each (``scenarios``).
+
+    ``incident_id`` restricts them to one incident; one that is not there gives no rows.
+    """
+    if kind not in ("envelope", "core", "scenarios"):
+        raise ValueError(f"no such kind of projection: {kind}")
+    named = incidents(spark, sf_dir).select("cluster", "incident_id", "severity", "latitude", "longitude")
+    if incident_id is not None:
+        named = named.where(F.col("incident_id") == incident_id)
+    every = fire.ensemble(spark, sf_dir).join(named.select("cluster"), "cluster", "left_semi")
+    prints = fire.spread.footprints(every)
+    if kind == "scenarios":
+        each = prints.where("area_ha > 0").join(named.select("cluster", "incident_id"), "cluster").orderBy(F.col("minutes").desc(), "cluster", "scenario_no")
+        return sinks.features(each.withColumn("ring", sinks.ellipse_ring()), sinks.polygon("ring"), ["incident_id", "scenario", "minutes", "area_ha"])
+    parts = fire.spread.agreement_outlines(prints, (kind,)).join(named, "cluster")
+    placed = parts.withColumn("polygon", fire.spread.grid_to_map("rings"))
+    gathered = placed.groupBy("cluster", "incident_id", "severity", "kind", "minutes").agg(
+        F.expr(f.rnd("sum(cells * cell * cell * 100)", 1)).alias("area_ha"), F.sort_array(F.collect_list(F.struct("region", "polygon"))).alias("p")
+    )
+    scenarios = every.groupBy("cluster").agg(F.count("*").alias("scenario_count"))
+    ordered = gathered.join(scenarios, "cluster").withColumn("parts", F.col("p.polygon")).orderBy(F.col("minutes").desc(), "cluster")
+    return sinks.features(ordered, regions.multipolygon("parts"), ["incident_id", "severity", "kind", "minutes", "area_ha", "scenario_count"])
+
+
 @query("layer_projections")
 def layer_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Footprints of every scenario and horizon as GeoJSON, the longest horizon first."""
-    prints = fire.spread.footprints(fire.ensemble(spark, sf_dir)).where("area_ha > 0").orderBy(F.col("minutes").desc(), "cluster", "scenario_no")
-    return sinks.features(prints.withColumn("ring", sinks.ellipse_ring()), sinks.polygon("ring"), ["cluster", "scenario", "minutes", "area_ha"])
+    """Footprints of every scenario and horizon."""
+    return projections(spark, sf_dir, "scenarios")
+
+
+@query("layer_envelope")
+def layer_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where any scenario reaches, for every incident and horizon."""
+    return projections(spark, sf_dir, "envelope")
+
+
+@query("layer_core")
+def layer_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all scenarios agree on, for every incident and horizon; incidents without such ground do not appear."""
+    return projections(spark, sf_dir, "core")
 
 
 @query("geojson_points", "SELECT count(*) AS features, sum(n) AS coordinates FROM (SELECT 2 AS n FROM mem)")

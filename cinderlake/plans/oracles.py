@@ -32,6 +32,7 @@ TABLES = {
     CASE event_id % 5 WHEN 0 THEN 0.375e0 WHEN 1 THEN 0e0 WHEN 3 THEN 0.5e0 WHEN 4 THEN 1e0 END, hour(ts) BETWEEN 6 AND 17, (epoch_us(ts) - 1704067200000000) // 86400000000
   FROM events""",
     "det": "SELECT * FROM alldet WHERE us > (SELECT max(epoch_us(ts)) FROM events) - 5 * 86400000000",
+    "day_mark": "SELECT d, mx, max(mx) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT us // 432000000000 AS d, max(us) AS mx FROM alldet GROUP BY 1)",
     "nowh(now)": "SELECT (max(epoch_us(ts)) - 1704067200000000) / 3.6e9 FROM events",
     "xyh": f"""
   SELECT id, (longitude - avg(longitude) OVER ()) * {K} * cos(radians(avg(latitude) OVER ())) AS x, (latitude - avg(latitude) OVER ()) * {K} AS y, hours - min(hours) OVER () AS h FROM det""",
@@ -39,6 +40,11 @@ TABLES = {
     "twoway(a, b)": "SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge",
     "reach(id, other)": "SELECT id, id FROM det UNION SELECT r.id, t.b FROM reach r JOIN twoway t ON t.a = r.other",
     "label": "SELECT id, CASE WHEN count(*) = 1 THEN -1 ELSE min(other) END AS cluster FROM reach GROUP BY id",
+    "fixedxyh": f"SELECT id, longitude * {K} * cos(radians({f.num((dims.AOI_SOUTH + dims.AOI_NORTH) / 2)})) AS x, latitude * {K} AS y, us / 3.6e9 AS h FROM det",
+    "fixededge(a, b)": "SELECT p.id, q.id FROM fixedxyh p JOIN fixedxyh q ON p.id < q.id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 9e0 AND abs(p.h - q.h) <= 30e0",
+    "fixedtwoway(a, b)": "SELECT a, b FROM fixededge UNION ALL SELECT b, a FROM fixededge",
+    "fixedreach(id, other)": "SELECT id, id FROM det UNION SELECT r.id, t.b FROM fixedreach r JOIN fixedtwoway t ON t.a = r.other",
+    "fixedlabel": "SELECT id, CASE WHEN count(*) = 1 THEN -1 ELSE min(other) END AS cluster FROM fixedreach GROUP BY id",
     "mem": "SELECT det.*, cluster FROM det JOIN label USING (id)",
     "cellkey": f"""
   SELECT cluster, us, id, size, trunc(latitude / (size / {KM}))::BIGINT AS ci, trunc(longitude / (size / ({KM} * cos(radians(latitude)))))::BIGINT AS cj
@@ -107,6 +113,11 @@ TABLES = {
   SELECT cluster, {f.rnd('100e0 * sqrt(dzdx * dzdx + dzdy * dzdy)', 1)} AS slope_pct, {f.rnd(f.positive_mod('degrees(atan2(dzdx, dzdy))', 360), 1)} AS aspect_deg, {f.rnd('relief', 1)} AS relief_m, {f.rnd('centre', 1)} AS centre_m FROM plane0""",
 }
 
+# What a polygon's rings must add up to, from its cells alone: each grid corner by which of the four cells around it are in (1 and 2
+# below left and right, 4 and 8 above). One or three cells bend an outline there, two opposite ones twice; half as many sides as leave a corner are counted with it.
+AROUND = """SELECT {keys}, r + dy AS y, c + dx AS x, sum(bit) AS around FROM (SELECT {keys}, "row" AS r, col AS c FROM {cells}), (VALUES (1, 1, 1), (1, 0, 2), (0, 1, 4), (0, 0, 8)) b(dy, dx, bit) GROUP BY ALL"""
+OUTLINE = "sum(CASE WHEN around IN (1, 2, 4, 8, 7, 11, 13, 14) THEN 1 WHEN around IN (6, 9) THEN 2 ELSE 0 END)::BIGINT AS corners, sum(CASE around WHEN 15 THEN 0 WHEN 6 THEN 2 WHEN 9 THEN 2 ELSE 1 END)::BIGINT AS sides"
+
 _by_name = {k.split("(")[0]: (k, v) for k, v in TABLES.items()}
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlake.functions import formulas as f
-from cinderlake.operators import raster
+from cinderlake.operators import raster, regions
+from cinderlake.plans.oracles import AROUND, OUTLINE
 from cinderlake.plans.picture import incidents
 from cinderlake.plans.registry import Registry
 from cinderlake.sources import adapters
@@ -56,6 +57,13 @@ def burn_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.patches(raster.burn_difference(stack(spark, sf_dir))).groupBy("patch", "site").agg(F.count("*").alias("pixels"))
 
 
+@query("burn_polygons", PATCH + f"SELECT * FROM (SELECT site, patch, count(*) AS cells FROM patched GROUP BY ALL) JOIN (SELECT site, patch, {OUTLINE} FROM ({AROUND.format(keys='site, patch', cells='patched')}) GROUP BY ALL) USING (site, patch)")
+def burn_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outline of every burnt patch: area, corners and length in sides, by its rings."""
+    found = raster.patch_polygons(raster.patches(raster.burn_difference(stack(spark, sf_dir))))
+    return found.select("site", "patch", "cells", "corners", regions.perimeter("rings").alias("sides"))
+
+
 @query("severity_ha", PATCH + f"SELECT site, severity, {f.rnd('count(*) * 0.04e0', 2)} AS ha FROM seeded GROUP BY site, severity")
 def severity_ha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.severity_areas(seeded(spark, sf_dir)[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from cinderlake import dims
 from cinderlake.functions import formulas as f
 from cinderlake.plans.oracles import values
 from cinderlake.plans.registry import Registry
-from cinderlake.sources import adapters, readers
+from cinderlake.sources import adapters, feeds, readers
+from cinderlake.storage import shared_dir
 
 query = Registry()
 
@@ -33,6 +36,71 @@ def firms_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(F.col("ord").alias("id"), "latitude", "longitude", F.date_format("observed_at", "yyyy-MM-dd HH:mm").alias("observed"), "satellite", "confidence", "brightness_k", "scan_km", "frp_mw", "is_daytime")
 
 
+# The feed's products by satellite, and a box and days to ask for.
+PRODUCT = "CASE satellite WHEN 'viirs_snpp' THEN 'VIIRS_SNPP_NRT' WHEN 'viirs_noaa20' THEN 'VIIRS_NOAA20_NRT' WHEN 'viirs_noaa21' THEN 'VIIRS_NOAA21_NRT' ELSE 'MODIS_NRT' END"
+BOX = "latitude BETWEEN 36e0 AND 40e0 AND longitude BETWEEN 21e0 AND 26e0"
+DAYS = "day BETWEEN DATE '2024-01-06' AND DATE '2024-01-25'"
+
+
+def event_days(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    first, last = adapters.table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    return (first.date().isoformat(), last.date().isoformat()) if first else ("2024-01-02", "2024-01-01")
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detections as files of a feed, one folder for each product and day, opened through the feed's data source."""
+    root = f"{shared_dir(spark)}/cinderlake-feed-{uuid.uuid4().hex}"
+    lines = adapters.all_detections(spark, sf_dir).select(
+        F.expr(PRODUCT).alias("product"), F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd").alias("day"), "latitude", "longitude", F.lit("310.5").alias("bright_ti4"), F.lit("290.1").alias("bright_ti5"),
+        F.col("scan_km").alias("scan"), F.lit("0.4").alias("track"), F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd").alias("acq_date"), F.date_format(F.timestamp_micros("us"), "HHmm").alias("acq_time"),
+        F.lit("").alias("satellite"), F.lit("n").alias("confidence"), F.col("frp_mw").alias("frp"), F.when(F.col("is_daytime"), "D").otherwise("N").alias("daynight"),
+    )
+    lines.repartition("product", "day").write.partitionBy("product", "day").option("header", True).csv(root)
+    feeds.register(spark)
+    first, last = event_days(spark, sf_dir)
+    return spark.read.format("cinder_detections").options(url=root + "/product={product}/day={day}", first_day=first, last_day=last).load()
+
+
+@query(
+    "feed_pushdown",
+    f"""SELECT product, latitude, longitude, strftime(date_trunc('minute', make_timestamp(us)), '%Y-%m-%d %H:%M') AS observed, frp_mw, is_daytime, scan_km FROM (SELECT *, {PRODUCT} AS product, make_timestamp(us)::DATE AS d FROM alldet)
+  WHERE product IN ('VIIRS_SNPP_NRT', 'VIIRS_NOAA20_NRT', 'VIIRS_NOAA21_NRT') AND {DAYS.replace('day', 'd')} AND {BOX}""",
+)
+def feed_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of the feed's products over some days and a box: only their requests are made."""
+    asked = feed(spark, sf_dir).where(F.col("product").isin("VIIRS_SNPP_NRT", "VIIRS_NOAA20_NRT", "VIIRS_NOAA21_NRT")).where(DAYS).where(BOX)
+    found = readers.parse_feed(asked.drop("day"), "viirs_noaa20")
+    return found.select("product", "latitude", "longitude", F.date_format("observed_at", "yyyy-MM-dd HH:mm").alias("observed"), "frp_mw", "is_daytime", "scan_km")
+
+
+def weather_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly weather as a service's answers, one file of payloads for each square degree, opened through its data source."""
+    root = f"{shared_dir(spark)}/cinderlake-weather-{uuid.uuid4().hex}"
+    hourly = adapters.hourly_weather(spark, sf_dir).withColumn("longitude", F.expr(adapters.LONGITUDE.replace("user_id", "site")) / 1000.0)
+    at = F.date_format(F.timestamp_micros(F.col("hour") * 3_600_000_000 + adapters.EPOCH_US), "yyyy-MM-dd'T'HH:mm")
+    fields = {"time": at, "temperature_2m": F.col("temperature_c"), "relative_humidity_2m": F.col("humidity_pct"), "wind_speed_10m": F.col("wind_kmh"), "wind_direction_10m": F.col("wind_from_deg"), "precipitation": F.col("rain_mm")}
+    packed = hourly.groupBy("site", "latitude", "longitude").agg(F.sort_array(F.collect_list(F.struct("hour", *(c.alias(n) for n, c in fields.items())))).alias("r"))
+    payload = F.to_json(F.struct("site", "latitude", "longitude", F.struct(*(F.col(f"r.{n}").alias(n) for n in fields)).alias("hourly")), {"ignoreNullFields": "false"})
+    tiles = packed.select(F.floor("latitude").alias("south"), F.floor("longitude").alias("west"), payload.alias("value"))
+    tiles.repartition("south", "west").write.partitionBy("south", "west").text(root)
+    feeds.register(spark)
+    first, last = event_days(spark, sf_dir)
+    box = f"{dims.AOI_WEST},{dims.AOI_SOUTH},{dims.AOI_EAST},{dims.AOI_NORTH}"
+    return spark.read.format("cinder_weather").options(url=root + "/south={south}/west={west}", first_day=first, last_day=last, box=box).load()
+
+
+@query(
+    "weather_pushdown",
+    f"""SELECT site, hour, temperature_c, humidity_pct, wind_kmh, wind_from_deg, rain_mm FROM (SELECT *, (CASE WHEN site % 10 = 0 THEN 23300 + site * 53 % 80 * 10 ELSE 20000 + site * 53 % 900 * 10 END) / 1000e0 AS longitude, make_timestamp(hour * 3600000000 + 1704067200000000)::DATE AS d FROM wx)
+  WHERE {DAYS.replace('day', 'd')} AND {BOX}""",
+)
+def weather_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of some days in a box: only the square degrees that the box touches are asked for, and only those days."""
+    asked = weather_service(spark, sf_dir).where(DAYS).where(BOX)
+    hour = F.floor((F.unix_micros(F.col("at").cast("timestamp")) - adapters.EPOCH_US) / 3_600_000_000)
+    return asked.select("site", hour.alias("hour"), "temperature_c", "humidity_pct", "wind_kmh", "wind_from_deg", "rain_mm")
+
+
 CONFIDENCES = ("l", "LOW", "h", " high ", "n", "nominal", "0", "29.9", "30", "79", "80", "100", "", "junk")
 
 
