@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cinderlake import dims
 from cinderlake.functions import formulas as f
-from cinderlake.operators import geo, regions, spread, terrain, weather
+from cinderlake.operators import areas, geo, regions, spread, terrain, weather
 from cinderlake.plans.oracles import AROUND, OUTLINE, values
 from cinderlake.plans.picture import clustered, incidents, land_cover_of
 from cinderlake.plans.registry import Registry
@@ -32,6 +32,13 @@ def boundary_pip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.within_boundary(adapters.detections(spark, sf_dir), dims.boundary_edges(spark)).where("inside").select("id")
 
 
+@query("boundary_index", f"SELECT id FROM ({CROSSINGS.replace('FROM det, side', 'FROM alldet AS det, side')}) WHERE odd OR apart <= 5e0 / 111.32e0")
+def boundary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detections in the outline or near it, by grid cells: only those of border cells are held against edges."""
+    index = areas.AreaIndex(dims.boundary_edges(spark), dims.BOUNDARY_MARGIN_KM)
+    return index.mark(adapters.all_detections(spark, sf_dir)).where("inside").select("id")
+
+
 @query("boundary_margin", f"SELECT count(*) AS total, count(*) FILTER (odd OR apart <= 5e0 / 111.32e0) AS kept, count(*) FILTER (NOT (odd OR apart <= 5e0 / 111.32e0)) AS dropped FROM ({CROSSINGS})")
 def boundary_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = geo.within_boundary(adapters.detections(spark, sf_dir), dims.boundary_edges(spark), dims.BOUNDARY_MARGIN_KM)

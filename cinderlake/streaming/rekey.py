@@ -40,10 +40,9 @@ def absorb(known: DataFrame, fresh: DataFrame, oldest_us: int) -> DataFrame:
     at = Stored(placed(both), "absorbed").df
     cell = {"cx": F.floor(F.col("x") / dims.EPS_KM), "cy": F.floor(F.col("y") / dims.EPS_KM), "ch": F.floor(F.col("h") / dims.EPS_HOURS)}
     celled = at.withColumns(cell)
-    steps = F.sequence(F.lit(-1), F.lit(1))
     near = celled.where("fresh").select("cx", "cy", "ch").distinct()
     for c in cell:
-        near = near.withColumn(c, F.explode(F.transform(steps, lambda s, c=c: F.col(c) + s)))
+        near = near.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
     touched = celled.join(near.distinct(), [*cell], "left_semi")
     # What is linked among the touched detections ties their known clusters; a lone detection is a node of its own.
     local = cluster.placed_clusters(touched.select("id", "x", "y", "h")).withColumnRenamed("cluster", "group")

@@ -121,3 +121,36 @@ def test_http_source_reads_lines(spark, tmp_path):
     spark.dataSource.register(readers.RetryingHttp)
     got = spark.read.format("cinder_http").option("urls", f"file://{tmp_path}/x.txt").load().collect()
     assert [r["line"] for r in got] == ["one", "two"]
+
+
+def test_area_index_equals_the_plain_fold(spark, tmp_path):
+    """Points by the index of cells and by all edges of a file with several parts and a hole; no file or a broken one keeps all points."""
+    import json
+    import math
+    import random
+
+    from cinderlake.operators import areas, geo
+
+    r = random.Random(8)
+    star = [[23 + math.cos(k / 9 * math.pi) * (1 + k % 2 * 0.6), 38 + math.sin(k / 9 * math.pi) * (1 + k % 2 * 0.6)] for k in range(18)]
+    hole = [[22.8, 37.8], [23.2, 37.8], [23.2, 38.2], [22.8, 38.2], [22.8, 37.8]]
+    island = [[25.01, 37.0], [25.02, 37.0], [25.02, 37.01], [25.01, 37.0]]
+    feature = {"type": "Feature", "properties": {"name": "x"}, "geometry": {"type": "MultiPolygon", "coordinates": [[star + star[:1], hole], [island]]}}
+    path = tmp_path / "area.geojson"
+    path.write_text(json.dumps(feature, indent=1))
+    edges = areas.load_edges(spark, str(path))
+    assert edges.count() == 18 + 4 + 3
+    rows = [(i, r.uniform(36.2, 39.8), r.uniform(21, 25.2)) for i in range(3000)] + [(5000, 37.003, 25.018), (5001, 38.0, 23.0), (5002, None, 23.0)]
+    points = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    for margin in (0.0, 5.0):
+        plain = {x["id"] for x in geo.within_boundary(points.where("latitude IS NOT NULL"), edges, margin).where("inside").collect()}
+        for cell in (0.1, 0.37):
+            assert {x["id"] for x in areas.AreaIndex(edges, margin, cell).mark(points).where("inside").collect()} == plain
+        assert 0 < len(plain) < 2000 and 5000 in plain and 5001 not in plain
+    (tmp_path / "broken.geojson").write_text('{"type": "Feature", "geometry": {"type": "Poly')
+    for missing in ("broken.geojson", "none.geojson"):
+        none = areas.load_edges(spark, str(tmp_path / missing))
+        assert none.count() == 0 and areas.AreaIndex(none).mark(points).where("inside").count() == len(rows)
+    one = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [island]}}]}
+    (tmp_path / "one.geojson").write_text(json.dumps(one))
+    assert areas.load_edges(spark, str(tmp_path / "one.geojson")).count() == 3
