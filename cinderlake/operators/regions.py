@@ -12,7 +12,6 @@ the plane of (col, row), holes clockwise.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import count
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -65,7 +64,7 @@ def label(cells: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
     """``keys, row, col, region``: cells, each once, with the number (``code``) of the first cell of their 4-connected region."""
     ship(cells.sparkSession)
     schema = schema_of(cells, keys, "row long, col long, piece long, low long")
-    pieces = count()  # starts anew in each task, which unpickles it
+    pieces = [0]  # counts within a task, which unpickles it anew
 
     def run(group: pa.Table) -> pa.Table:
         low = label_cells(zip(group.column("row").to_pylist(), group.column("col").to_pylist(), strict=True))
@@ -73,7 +72,8 @@ def label(cells: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
         number: dict[Point, int] = {}
         for first in low.values():
             if first not in number:
-                number[first] = task + next(pieces)
+                number[first] = task + pieces[0]
+                pieces[0] += 1
         names = [group.column(k).take(pa.array([0] * len(low))) for k in keys]
         rest = [[p[0] for p in low], [p[1] for p in low], [number[f] for f in low.values()], [f[0] * ROW_STEP + f[1] for f in low.values()]]
         return pa.table(names + [pa.array(x, pa.int64()) for x in rest], names=[*keys, "row", "col", "piece", "low"])
@@ -81,10 +81,11 @@ def label(cells: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
     plain = cells.select(*keys, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
     local = Stored(tiles(plain, tile).groupBy(*keys, "tile_row", "tile_col").applyInArrow(run, schema), "regions").df
     # Only cells on both sides of a tile's border can tie pieces of different tiles.
-    down = local.where(F.pmod("row", F.lit(tile)) == tile - 1).select(*keys, F.col("piece").alias("a"), (F.col("row") + 1).alias("row"), "col")
-    right = local.where(F.pmod("col", F.lit(tile)) == tile - 1).select(*keys, F.col("piece").alias("a"), "row", (F.col("col") + 1).alias("col"))
-    edge = local.where((F.pmod("row", F.lit(tile)) == 0) | (F.pmod("col", F.lit(tile)) == 0)).select(*keys, "row", "col", F.col("piece").alias("b"))
-    ties = Stored(down.unionByName(right).join(edge, [*keys, "row", "col"]).select("a", "b").distinct(), "ties")
+    raster = F.struct(*keys).alias("raster")  # in a struct null keys are equal
+    down = local.where(F.pmod("row", F.lit(tile)) == tile - 1).select(raster, F.col("piece").alias("a"), (F.col("row") + 1).alias("row"), "col")
+    right = local.where(F.pmod("col", F.lit(tile)) == tile - 1).select(raster, F.col("piece").alias("a"), "row", (F.col("col") + 1).alias("col"))
+    edge = local.where((F.pmod("row", F.lit(tile)) == 0) | (F.pmod("col", F.lit(tile)) == 0)).select(raster, "row", "col", F.col("piece").alias("b"))
+    ties = Stored(down.unionByName(right).join(edge, ["raster", "row", "col"]).select("a", "b").distinct(), "ties")
     if ties.df.isEmpty():
         ties.drop()
         return local.select(*keys, "row", "col", F.col("low").alias("region"))
@@ -190,7 +191,7 @@ def rings(labelled: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    numbers = count()
+    numbers = [0]
 
     def run(group: pa.Table) -> pa.Table:
         own, beside = {}, set()
@@ -203,7 +204,8 @@ def rings(labelled: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
         task = TaskContext.get().partitionId() << 33
         for region, closed, corners in trace_cells(own, beside):
             for ring in simple_rings(corners) if closed else [corners]:
-                out.append((task + next(numbers), region, closed, signed_area(ring) if closed else None, [p[0] for p in ring], [p[1] for p in ring]))
+                numbers[0] += 1
+                out.append((task + numbers[0], region, closed, signed_area(ring) if closed else None, [p[0] for p in ring], [p[1] for p in ring]))
         names = [group.column(k).take(pa.array([0] * len(out), pa.int64())) for k in keys]
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         return pa.table(names + [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=[*keys, "chain", "region", "closed", "area", "xs", "ys"])
@@ -213,9 +215,10 @@ def rings(labelled: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
     if open_.isEmpty():
         return whole
     # A way leaves a tile where just one chain of another tile goes on.
-    ends = open_.select(*keys, F.col("chain").alias("a"), F.element_at("xs", -1).alias("x"), F.element_at("ys", -1).alias("y"))
-    starts = open_.select(*keys, F.col("chain").alias("b"), F.col("xs")[0].alias("x"), F.col("ys")[0].alias("y"))
-    way = components(ends.join(starts, [*keys, "x", "y"]).select("a", "b"), at_once=FEW_LINKS).withColumnRenamed("node", "chain")
+    raster = F.struct(*keys).alias("raster")
+    ends = open_.select(raster, F.col("chain").alias("a"), F.element_at("xs", -1).alias("x"), F.element_at("ys", -1).alias("y"))
+    starts = open_.select(raster, F.col("chain").alias("b"), F.col("xs")[0].alias("x"), F.col("ys")[0].alias("y"))
+    way = components(ends.join(starts, ["raster", "x", "y"]).select("a", "b"), at_once=FEW_LINKS).withColumnRenamed("node", "chain")
 
     def close(group: pa.Table) -> pa.Table:
         chained = [[*zip(xs, ys, strict=True)] for xs, ys in zip(group.column("xs").to_pylist(), group.column("ys").to_pylist(), strict=True)]
