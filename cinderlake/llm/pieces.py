@@ -35,8 +35,11 @@ from cinderlake.shipping import ship
 MARK = "▁"
 #: What one byte of a byte piece, and a control piece, is while a text is put together: no text from Spark holds such code points.
 BYTE_POINT, CONTROL = 0xDC00, "\udd00"
-#: Encoded parts that a Python worker keeps, and their longest length; as many may be set aside. Some 50 MB.
-CACHE_ENTRIES, CACHE_LENGTH = 150_000, 48
+#: Encoded parts that a Python worker keeps, and their longest length; as many may be set aside. Some 100 MB.
+CACHE_ENTRIES, CACHE_LENGTH = 300_000, 48
+#: Bits of a pair's length in an entry of the agenda.
+SIZE_BITS = 8
+SIZE_MASK = (1 << SIZE_BITS) - 1
 
 codecs.register_error("each byte", lambda error: ("�", error.start + 1))
 
@@ -83,6 +86,8 @@ class PieceCodec:
         #: By piece: its place in the order of scores, 0 for the best; equal scores share a place.
         self.place = {p.piece: places[p.score] for p in pieces if p.type == normal_piece}
         self.longest = max(map(len, self.place), default=0)
+        if self.longest > SIZE_MASK:
+            raise ValueError(f"pieces of more than {SIZE_MASK} characters: {path}")
         self.byte_ids = [0] * 256
         self.surface: dict[str, str] = {}
         for i, p in enumerate(pieces):
@@ -103,26 +108,26 @@ class PieceCodec:
         """The symbols that are left of a part's characters once no adjacent pair is a piece."""
         symbols, n = [*part], len(part)
         place, longest = self.place.get, self.longest
-        agenda = []
-        for i in range(n - 1):
-            if (p := place(symbols[i] + symbols[i + 1])) is not None:
-                agenda.append((p, i, i + 1, 2))
+        # An entry is a pair's place, then where it begins, then its length, in one number.
+        agenda = [((p * n + i) << SIZE_BITS) + 2 for i in range(n - 1) if (p := place(symbols[i] + symbols[i + 1])) is not None]
         heapify(agenda)
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while agenda:
-            _, i, j, size = heappop(agenda)
-            a, b = symbols[i], symbols[j]
-            if not a or not b or len(a) + len(b) != size:
+            entry = heappop(agenda)
+            i = (entry >> SIZE_BITS) % n
+            a, j = symbols[i], after[i]
+            # A pair of which one side has grown or gone since is longer now, or empty.
+            if not a or j == n or len(a) + len(symbols[j]) != entry & SIZE_MASK:
                 continue
-            whole = symbols[i] = a + b
+            whole = symbols[i] = a + symbols[j]
             symbols[j] = ""
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 if (size := len(whole) + len(symbols[k])) <= longest and (p := place(whole + symbols[k])) is not None:
-                    heappush(agenda, (p, i, k, size))
+                    heappush(agenda, ((p * n + i) << SIZE_BITS) + size)
             if (h := before[i]) >= 0 and (size := len(symbols[h]) + len(whole)) <= longest and (p := place(symbols[h] + whole)) is not None:
-                heappush(agenda, (p, h, i, size))
+                heappush(agenda, ((p * n + h) << SIZE_BITS) + size)
         return [s for s in symbols if s]
 
     def part_ids(self, part: str) -> list[int]:
