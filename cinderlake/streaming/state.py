@@ -1,43 +1,24 @@
 """Streams that keep typed state for each key: fire-weather codes carried from day to day, and fires that fall quiet.
 
-State is held by ``transformWithState`` in the RocksDB provider: values with a time to live, and event-time timers. A query's
-checkpoint holds it, so a stream that stops goes on where it was.
+A query's checkpoint holds the state, so a stream that stops goes on where it was. State that is no longer asked for goes by timeouts.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cinderlake import dims
 from cinderlake.functions import formulas as f
 from cinderlake.shipping import ship
 
-#: The store that typed state needs. Checksums of checkpoint files are left out: with few cores the threads that write them wait for each other for good.
-SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
-}
-#: A site that sends nothing for this long is forgotten and starts anew, as its drought is then no longer known.
-CODES_TTL_MS = 90 * 86_400_000
-
-
-@contextmanager
-def typed_state(spark: SparkSession):
-    """The settings that typed state needs, for streams started inside."""
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
-    for k, v in SETTINGS.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+#: A site that has sent nothing for so many days, as all sites' days go on, is forgotten and starts anew, as its drought is then no longer known.
+CODES_TTL_DAYS = 90
+DAY_MS = 86_400_000
 
 
 def rounded(x: float, digits: int = 2) -> float:
@@ -112,76 +93,63 @@ def day_length(high: tuple[float, ...], low: tuple[float, ...], month: int, lati
 CODES = "site long, day long, n_days long, ffmc double, dmc double, dc double, isi double, bui double, fwi double"
 
 
-class CarriedCodes(StatefulProcessor):
-    """Codes of a site after each new day, carried rounded. Days at or before the last one carried come too late and are left out, repeats too."""
+CODES_STATE = "day long, n_days long, ffmc double, dmc double, dc double"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.codes = handle.getValueState("codes", "day long, n_days long, ffmc double, dmc double, dc double", CODES_TTL_MS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, n, *codes = self.codes.get() if self.codes.exists() else (None, 0, *f.FWI_START)
-        days = pd.concat(list(rows)).sort_values("day")
-        out = []
-        for d in days.itertuples():
-            if last is not None and d.day <= last:
-                continue
-            ffmc = fine_fuel(codes[0], d.temperature_c, d.humidity_pct, d.wind_kmh, d.day_rain)
-            dmc = duff(codes[1], d.temperature_c, d.humidity_pct, d.day_rain, day_length(f.DMC_DAY_46, f.DMC_DAY_20, d.month, d.latitude))
-            dc = drought(codes[2], d.temperature_c, d.day_rain, day_length(f.DC_DAY_46, f.DC_DAY_20, d.month, d.latitude))
-            codes, last, n = [rounded(ffmc), rounded(dmc), rounded(dc)], int(d.day), n + 1
-            out.append((key[0], last, n, *codes, *map(rounded, indices(ffmc, dmc, dc, d.wind_kmh))))
-        if out:
-            self.codes.update((last, n, *codes))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CODES.split(", ")])
-
-    def close(self) -> None:
-        pass
+
+def carry(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Codes of a site after each new day, carried rounded. Days at or before the last one carried come too late and are left out, repeats too."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    last, n, *codes = state.get if state.exists else (None, 0, *f.FWI_START)
+    out = []
+    for d in pd.concat(list(batches)).sort_values("day").itertuples():
+        if last is not None and d.day <= last:
+            continue
+        ffmc = fine_fuel(codes[0], d.temperature_c, d.humidity_pct, d.wind_kmh, d.day_rain)
+        dmc = duff(codes[1], d.temperature_c, d.humidity_pct, d.day_rain, day_length(f.DMC_DAY_46, f.DMC_DAY_20, d.month, d.latitude))
+        dc = drought(codes[2], d.temperature_c, d.day_rain, day_length(f.DC_DAY_46, f.DC_DAY_20, d.month, d.latitude))
+        codes, last, n = [rounded(ffmc), rounded(dmc), rounded(dc)], int(d.day), n + 1
+        out.append((key[0], last, n, *codes, *map(rounded, indices(ffmc, dmc, dc, d.wind_kmh))))
+    if out:
+        state.update((last, n, *codes))
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, ((last or 0) + 1 + CODES_TTL_DAYS) * DAY_MS))
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in CODES.split(", ")])
 
 
 def carried_codes(daily: DataFrame) -> DataFrame:
     """From a stream of days (site, day, temperature_c, humidity_pct, wind_kmh, day_rain, month, latitude): each day's codes and indices."""
     ship(daily.sparkSession)
-    fields = daily.select("site", "day", "temperature_c", "humidity_pct", "wind_kmh", "day_rain", "month", "latitude")
-    return fields.groupBy("site").transformWithStateInPandas(CarriedCodes(), CODES, "Append", "ProcessingTime")
+    timed = daily.selectExpr("site", "day", "temperature_c", "humidity_pct", "wind_kmh", "day_rain", "month", "latitude", "timestamp_seconds((day + 1) * 86400) AS at").withWatermark("at", "30 days")
+    return timed.groupBy("site").applyInPandasWithState(carry, CODES, CODES_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 QUIET = "user_id long, last_us long, n long, status string"
 CONTAINED_MS, OUT_MS = int(dims.QUIET_CONTAINED_H * 3_600_000), int(dims.QUIET_OUT_H * 3_600_000)
 
 
-class QuietFires(StatefulProcessor):
+def fall_quiet(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A fire that falls quiet: contained after the shorter silence, out after the longer one, when it is forgotten. What comes later is a new fire."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "last_us long, n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before, n = self.seen.get() if self.seen.exists() else (None, 0)
-        times = pd.concat([r["us"] for r in rows])
-        last = max(int(times.max()), before or 0)
-        if before is not None:
-            for quiet in (CONTAINED_MS, OUT_MS):
-                self.handle.deleteTimer(before // 1000 + quiet)
-        for quiet in (CONTAINED_MS, OUT_MS):
-            self.handle.registerTimer(last // 1000 + quiet)
-        self.seen.update((last, n + len(times)))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            last, n = self.seen.get()
-            out = expiredTimerInfo.getExpiryTimeInMs() == last // 1000 + OUT_MS
-            if out:
-                self.seen.clear()
-            yield pd.DataFrame({"user_id": [key[0]], "last_us": [last], "n": [n], "status": ["out" if out else "contained"]})
-
-    def close(self) -> None:
-        pass
+    now = state.getCurrentWatermarkMs()
+    if not state.hasTimedOut:
+        times = pd.concat([b["us"] for b in batches])
+        before, n, _ = state.get if state.exists else (0, 0, 0)
+        last = max(int(times.max()), before)
+        state.update((last, n + len(times), 0))
+        state.setTimeoutTimestamp(max(now + 1, last // 1000 + CONTAINED_MS))
+        return
+    last, n, told = state.get
+    found = ["contained"] * (not told) + ["out"] * (now >= last // 1000 + OUT_MS)
+    if "out" in found:
+        state.remove()
+    else:
+        state.update((last, n, 1))
+        state.setTimeoutTimestamp(max(now + 1, last // 1000 + OUT_MS))
+    yield pd.DataFrame({"user_id": [key[0]] * len(found), "last_us": [last] * len(found), "n": [n] * len(found), "status": found})
 
 
 def quiet_fires(events: DataFrame) -> DataFrame:
     """From a stream of events (user_id, at with a watermark): a row whenever a user's fire is found contained or out."""
     ship(events.sparkSession)
     timed = events.selectExpr("user_id", "at", "unix_micros(at) AS us")
-    return timed.groupBy("user_id").transformWithStateInPandas(QuietFires(), QUIET, "Append", "EventTime")
+    return timed.groupBy("user_id").applyInPandasWithState(fall_quiet, QUIET, "last_us long, n long, told int", "append", GroupStateTimeout.EventTimeTimeout)
