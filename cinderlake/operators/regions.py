@@ -160,6 +160,16 @@ def signed_area(ring: list[Point]) -> int:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) // 2
 
 
+def trace_raster(cells: list[Point]) -> list[tuple[int, int, list[int], list[int]]]:
+    """(region, area, xs, ys) of the rings of a whole raster that fits a tile, as ``label`` and ``rings`` give them."""
+    low = label_cells(cells)
+    ringed = {(r, c) for r, c in low if (r - 1, c) in low and (r + 1, c) in low and (r, c - 1) in low and (r, c + 1) in low}  # have no side of their own
+    found = []
+    for region, _, corners in trace_cells({p: f[0] * ROW_STEP + f[1] for p, f in low.items() if p not in ringed}, ringed):
+        found += [(region, signed_area(ring), [p[0] for p in ring], [p[1] for p in ring]) for ring in simple_rings(corners)]
+    return found
+
+
 def in_order(chains: list[tuple[Point, Point, list[Point]]]) -> list[list[Point]]:
     """Closed ways made of chains (start, end, corners), each going on where another begins."""
     by_start = {c[0]: c for c in chains}

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlake import dims
 from cinderlake.functions import formulas as f
 from cinderlake.operators import regions
+from cinderlake.shipping import ship
 
 #: Rows and columns of the grid on which footprints are united and intersected.
 GRID_STEPS = 40
+#: What an ellipse on it is given by.
+SHAPE = ("sin", "cos", "shift", "long", "wide")
+#: Grids whose rings are held at a time.
+ROWS_AT_ONCE = 256
 
 
 def estimate(df: DataFrame) -> DataFrame:
@@ -77,12 +86,12 @@ def footprints(spread: DataFrame, minutes: tuple[int, ...] = dims.HORIZONS_MIN)
     return each.withColumn("area_ha", F.expr(f.footprint_area_ha("head_ros", "back_ros", "lb", "direction", "minutes", "latitude")))
 
 
-def agreement_cells(prints: DataFrame, steps: int = GRID_STEPS) -> DataFrame:
-    """``(cluster, minutes, cell, row, col, any, every)``: cells of a grid around each fire that some or all scenarios of a horizon cover.
+def agreement_rows(prints: DataFrame, steps: int = GRID_STEPS) -> DataFrame:
+    """``(cluster, minutes, cell, shapes)``: the ellipses of all scenarios of a horizon in one row, with the side of a grid cell in km.
 
-    The grid of ``steps`` x ``steps`` cells of ``cell`` km spans twice the longest run of the horizon, rows running north and
-    columns east, so its size is fixed and its resolution follows the fire. Ellipses are folded within a row per incident and
-    horizon: they travel, not the cells.
+    The grid of ``steps`` x ``steps`` cells around each fire spans twice the longest run of the horizon, rows running north and columns
+    east, so its size is fixed and its resolution follows the fire. A row is small and its work is not: rows are dealt out to a number of
+    tasks of its own, as the bytes of a shuffle would have all of them in a few.
     """
     length = (F.col("head_ros") + F.col("back_ros")) * F.col("minutes") / 1000.0
     turn = F.radians("direction")
@@ -91,31 +100,78 @@ def agreement_cells(prints: DataFrame, steps: int = GRID_STEPS) -> DataFrame:
         F.nullif(length / 2, F.lit(0.0)).alias("long"), F.nullif(length / F.greatest("lb", F.lit(1.0)) / 2, F.lit(0.0)).alias("wide"),
     )
     grouped = prints.groupBy("cluster", "minutes").agg(F.collect_list(shape).alias("shapes"), F.max(F.col("head_ros") * F.col("minutes") / 1000.0).alias("reach"))
-    at = grouped.withColumn("cell", F.greatest(F.col("reach"), F.lit(0.01)) * 2.0 / steps)
-    cells = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps * steps - 1)))).withColumn("row", F.floor(F.col("i") / steps)).withColumn("col", (F.col("i") % steps).cast("long"))
-    middle = lambda c: (F.col(c) + 0.5) * F.col("cell") - F.col("cell") * steps / 2
+    spark = prints.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return grouped.select("cluster", "minutes", (F.greatest(F.col("reach"), F.lit(0.01)) * 2.0 / steps).alias("cell"), "shapes").repartition(tasks, F.xxhash64("cluster", "minutes"))
+
+
+def hits(cell: float, shapes: dict[str, np.ndarray], steps: int) -> np.ndarray:
+    """How many of the ellipses cover the middle of each cell (row, column); one without length covers nothing."""
+    middle = (np.arange(steps) + 0.5) * cell - cell * steps / 2
+    sin, cos, shift, long, wide = (shapes[k][:, None, None] for k in SHAPE)
+    e, n = middle[None, None, :], middle[None, :, None]
+    u = (e * sin + n * cos - shift) / long
+    v = (e * cos - n * sin) / wide
+    return (u * u + v * v <= 1).sum(axis=0)
 
-    def covers(s):
-        u = (F.col("e") * s["sin"] + F.col("n") * s["cos"] - s["shift"]) / s["long"]
-        v = (F.col("e") * s["cos"] - F.col("n") * s["sin"]) / s["wide"]
-        return u * u + v * v <= 1
 
-    hits = F.aggregate("shapes", F.lit(0), lambda k, s: k + F.when(covers(s), 1).otherwise(0))
-    hit = cells.withColumn("e", middle("col")).withColumn("n", middle("row")).withColumn("hits", hits)
-    return hit.select("cluster", "minutes", "cell", "row", "col", (F.col("hits") > 0).alias("any"), (F.col("hits") == F.size("shapes")).alias("every"))
+def grids(batch: pa.RecordBatch, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row of ``agreement_rows`` the cells that some scenario covers, and those that all cover."""
+    at = np.concatenate([[0], np.cumsum(batch.column("shapes").value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
+    flat = batch.column("shapes").flatten()
+    fields = {k: flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in SHAPE}  # null: NaN, which is within nothing
+    for i, cell in enumerate(batch.column("cell").to_numpy(zero_copy_only=False)):
+        n = hits(cell, {k: x[at[i] : at[i + 1]] for k, x in fields.items()}, steps)
+        yield n > 0, n == at[i + 1] - at[i]
 
 
 def agreement(prints: DataFrame, steps: int = GRID_STEPS) -> DataFrame:
     """Per incident and horizon the area that any scenario covers (envelope) and that all do (core), on a grid."""
-    counted = agreement_cells(prints, steps).groupBy("cluster", "minutes", "cell").agg(F.count_if("any").alias("n_any"), F.count_if("every").alias("n_all"))
+    ship(prints.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                cells = np.array([(some.sum(), every.sum()) for some, every in grids(batch, steps)], np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "minutes", "cell")), pa.array(cells[:, 0]), pa.array(cells[:, 1])], names=["cluster", "minutes", "cell", "n_any", "n_all"])
+
+    rows = agreement_rows(prints, steps)
+    counted = rows.mapInArrow(count, regions.schema_of(rows, ["cluster", "minutes", "cell"], "n_any long, n_all long"))
     return counted.select("cluster", "minutes", F.col("n_any").alias("envelope_cells"), F.col("n_all").alias("core_cells"), (F.col("n_any") * F.col("cell") * F.col("cell") * 100).alias("envelope_ha"), (F.col("n_all") * F.col("cell") * F.col("cell") * 100).alias("core_ha"))
 
 
+def agreement_rings(prints: DataFrame, kinds: tuple[str, ...] = ("envelope", "core"), steps: int = GRID_STEPS) -> DataFrame:
+    """``(cluster, minutes, cell, kind, region, area, xs, ys)``: the rings around what some scenario covers and around what all do.
+
+    A grid is no larger than a tile of ``regions``, so a row's rings are traced where its cells are found: no cell travels.
+    """
+    if steps > regions.TILE:
+        raise ValueError(f"a grid of {steps} steps is larger than a tile of {regions.TILE}")
+    ship(prints.sparkSession)
+    rows = agreement_rows(prints, steps)
+    schema = regions.schema_of(rows, ["cluster", "minutes", "cell"], f"kind string, {regions.RING}")
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(all="ignore"):
+            for whole in batches:
+                for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                    batch = whole.slice(start, ROWS_AT_ONCE)
+                    found = []
+                    for i, grid in enumerate(grids(batch, steps)):
+                        for kind, cells in zip(("envelope", "core"), grid, strict=True):
+                            if kind in kinds:
+                                found += [(i, kind, *ring) for ring in regions.trace_raster([*zip(*(x.tolist() for x in np.nonzero(cells)), strict=True)])]
+                    kept = pa.array([x[0] for x in found], pa.int64())
+                    types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                    columns = [*(batch.column(c).take(kept) for c in ("cluster", "minutes", "cell")), *(pa.array([x[k + 1] for x in found], t) for k, t in enumerate(types))]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(trace, schema)
+
+
 def agreement_outlines(prints: DataFrame, kinds: tuple[str, ...] = ("envelope", "core"), steps: int = GRID_STEPS) -> DataFrame:
     """``(cluster, minutes, kind, cell, region, cells, holes, corners, rings)``: the union of all scenarios (envelope) and what they agree on (core), a polygon for each connected part."""
-    hit = agreement_cells(prints, steps).where("any").withColumn("kind", F.explode(F.when(F.col("every"), F.array(F.lit("envelope"), F.lit("core"))).otherwise(F.array(F.lit("envelope")))))
-    keys = ["cluster", "minutes", "kind", "cell"]
-    return regions.polygons(regions.rings(regions.label(hit.where(F.col("kind").isin(*kinds)), keys), keys), keys)
+    return regions.polygons(agreement_rings(prints, kinds, steps), ["cluster", "minutes", "kind", "cell"])
 
 
 def grid_to_map(rings: str, steps: int = GRID_STEPS):

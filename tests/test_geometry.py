@@ -4,11 +4,12 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cinderlake import catalog
-from cinderlake.operators import cluster, hulls, regions
+from cinderlake.operators import cluster, hulls, regions, spread
 from cinderlake.plans import layer_queries
 
 
@@ -64,6 +65,28 @@ def test_regions_and_their_polygons(spark, tile):
             assert polygon["sides"] == sum((r + i, c + j) not in mine for r, c in mine for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0)))
 
 
+def test_small_grids_are_traced_where_their_cells_are_found(spark):
+    """Rings of bounded grids are those of the general way by tiles, found row by row in as many tasks as there are, and not a group of Python for each grid."""
+    r = random.Random(5)
+    rows = [(k // 9, k % 9, r.choice([0.0, r.uniform(1, 30)]), r.uniform(0, 5), r.uniform(1, 4), r.choice([None, r.uniform(0, 360)]), 60) for k in range(9 * 40)]
+    prints = spark.createDataFrame(rows, "cluster long, scenario_no int, head_ros double, back_ros double, lb double, direction double, minutes int")
+    keys = ["cluster", "minutes", "cell", "kind"]
+    traced = spread.agreement_rings(prints)
+    assert traced.select(F.spark_partition_id()).distinct().count() == 4 and "FlatMapGroupsInArrow" not in traced._jdf.queryExecution().toString()
+    cells = []
+    for row in spread.agreement_rows(prints).collect():
+        shapes = {c: np.array([math.nan if x[c] is None else x[c] for x in row["shapes"]]) for c in spread.SHAPE}
+        n = spread.hits(row["cell"], shapes, spread.GRID_STEPS)
+        for kind, some in (("envelope", n > 0), ("core", n == len(row["shapes"]))):
+            cells += [(row["cluster"], row["minutes"], row["cell"], kind, int(i), int(j)) for i, j in zip(*some.nonzero(), strict=True)]
+    general = regions.rings(regions.label(spark.createDataFrame(cells, "cluster long, minutes int, cell double, kind string, row long, col long"), keys), keys)
+    sides = [*keys, "region", "cells", "holes", "corners", "rings"]
+    want = sorted(map(str, regions.polygons(general, keys).select(*sides).collect()))
+    assert sorted(map(str, regions.polygons(traced, keys).select(*sides).collect())) == want and len(want) > 40
+    counted = {x["cluster"]: (x["envelope_cells"], x["core_cells"]) for x in spread.agreement(prints).collect()}
+    assert counted == {k: tuple(sum(c[0] == k and c[3] == kind for c in cells) for kind in ("envelope", "core")) for k in range(40)}
+
+
 def test_no_cells_have_no_regions(spark):
     none = regions.label(spark.createDataFrame([], "site long, row int, col int"), ["site"])
     assert none.count() == 0 and regions.polygons(regions.rings(none, ["site"]), ["site"]).count() == 0
