@@ -66,6 +66,8 @@ def st_dbscan(points: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float =
     """
     if min_samples <= 2 and eps_km > 0 and eps_hours > 0:
         return st_dbscan_pairs(points, eps_km, eps_hours, min_samples)
+    if eps_km > 0 and eps_hours > 0:
+        return st_dbscan_dense(points, eps_km, eps_hours, min_samples)
     pairs = neighbours(project(points), eps_km, eps_hours)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg((F.count("*") + 1).alias("reach"))
@@ -163,11 +165,51 @@ def placed_clusters(at: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float
     grid = ["fx", "fy", "fh"]
     placed = Stored(at.select("id", "x", "y", "h").withColumns({f"f{c}": F.floor(F.col(c) / side[c]) for c in "xyh"}), "placed").df
     cells = Stored(boxes(placed, grid).withColumnRenamed("least", "rep"), "cells").df
-    named = placed.join(broadcast_if_small(cells.select(*grid, "rep")), grid)
+    named = placed.join(cells.select(*grid, "rep"), grid)
     reached = components(cell_links(named, cells, eps_km, eps_hours), at_once=FEW_LINKS).withColumnRenamed("node", "rep")
     label = F.coalesce("component", F.when((F.col("n") > 1) | F.lit(min_samples <= 1), F.col("rep")), F.lit(-1).cast("long"))
     labelled = Stored(cells.join(reached, "rep", "left").select(*grid, label.alias("cluster")), "labels").df
-    return placed.join(broadcast_if_small(labelled), grid).select("id", "cluster")
+    return placed.join(labelled, grid).select("id", "cluster")
+
+
+def st_dbscan_dense(points: DataFrame, eps_km: float, eps_hours: float, min_samples: int) -> DataFrame:
+    """``st_dbscan`` where more than one neighbour makes a core, without a list of all pairs.
+
+    All points of a small cell are within the bounds of one another: a cell of ``min_samples`` points holds cores only. Only points of thinner
+    cells, of which a place has few, are counted; a cell that lies in reach as a whole counts by its number. Clusters are those of the cores
+    by small cells; what is no core asks the cells around it for their cluster, point by point where only some of a cell's points may be in reach.
+    """
+    side = cell_sides(eps_km, eps_hours)
+    grid = ["fx", "fy", "fh"]
+    at = project(points).select("id", "x", "y", "h").where("x IS NOT NULL AND y IS NOT NULL AND h IS NOT NULL")
+    placed = Stored(at.withColumns({f"f{c}": F.floor(F.col(c) / side[c]) for c in "xyh"}), "placed").df
+    cells = Stored(boxes(placed, grid).withColumnRenamed("least", "rep"), "cells").df
+    named = Stored(placed.join(cells.select(*grid, "rep", "n"), grid), "named").df
+    thin = named.where(F.col("n") < min_samples)
+    pairs = cells.withColumns({f"c{c}": F.floor(F.col(f"f{c}") / 2) for c in "xyh"})
+    met = beside(pairs, ["cx", "cy", "ch"], [*PART, "n", *SIDES]).where(~F.col("own") | (F.col("rep") < F.col("rep2")))
+    one = judged(met, eps_km, eps_hours).select("rep", "n", "rep2", "n2", "linked")
+    two = one.select(F.col("rep2").alias("rep"), F.col("n2").alias("n"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), "linked")
+    around = Stored(one.unionByName(two).where(F.col("n") < min_samples), "around").df
+    some = around.where("NOT linked").select("rep", "rep2")
+    dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
+    close = (dx * dx + dy * dy <= eps_km * eps_km) & (F.abs(F.col("h") - F.col("h2")) <= eps_hours)
+    sure = around.where("linked").groupBy("rep").agg(F.sum("n2").alias("sure"))
+    here = named.select(F.col("rep").alias("rep2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("h").alias("h2"))
+    counted = some.join(thin.select("rep", "id", "x", "y", "h"), "rep").join(here, "rep2").where(close).groupBy("id").agg(F.count("*").alias("found"))
+    total = F.col("n") + F.coalesce("sure", F.lit(0)) + F.coalesce("found", F.lit(0))
+    judged_thin = Stored(thin.join(sure, "rep", "left").join(counted, "id", "left").select("id", "rep", "x", "y", "h", (total >= min_samples).alias("core")), "thin").df
+    cores = named.where(F.col("n") >= min_samples).select("id", "rep", "x", "y", "h").unionByName(judged_thin.where("core").drop("core"))
+    labels = Stored(placed_clusters(cores.select("id", "x", "y", "h"), eps_km, eps_hours, 1), "cores").df
+    told = Stored(cores.join(labels, "id").select(F.col("rep").alias("rep2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("h").alias("h2"), "cluster"), "told").df
+    # The cores of one cell are in one cluster.
+    of_cell = told.groupBy("rep2").agg(F.min("cluster").alias("cluster"))
+    others = judged_thin.where("NOT core").drop("core")
+    whole = around.where("linked").select("rep", "rep2").unionByName(cells.select("rep", F.col("rep").alias("rep2")))
+    by_cell = whole.join(of_cell, "rep2").groupBy("rep").agg(F.min("cluster").alias("cluster"))
+    by_point = some.join(others, "rep").join(told, "rep2").where(close).select("id", "cluster")
+    border = others.join(by_cell, "rep").select("id", "cluster").unionByName(by_point).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    return points.select("id").join(labels.unionByName(border), "id", "left").select("id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 def members(points: DataFrame, **bounds) -> DataFrame:

@@ -41,6 +41,33 @@ def test_empty_and_single(spark):
     assert labels(spark, []) == [] and labels(spark, [(38.2, 23.9, 0)]) == [-1]
 
 
+@pytest.mark.parametrize("least", [3, 4, 9])
+def test_denser_clusters_equal_the_plain_definition(spark, least, monkeypatch):
+    """Cores, clusters and border points of thin and of dense cells as all pairs have them, without a list of all pairs."""
+    import random
+
+    monkeypatch.setattr(cluster, "neighbours", lambda *a: pytest.fail("all pairs are listed"))
+    r = random.Random(least)
+    rows = [(38 + r.random() * 0.5, 23 + r.random() * 0.5, r.random() * 90) for _ in range(170)] + [(38.2 + r.gauss(0, 0.01), 23.2 + r.gauss(0, 0.01), r.uniform(0, 60)) for _ in range(150)]
+    rows += [(37.0, 22.0 + k * 0.02, 10.0) for k in range(12)] + [(37.0, 22.1, 40.0)] * 2
+    placed = {p["id"]: p for p in cluster.project(points(spark, rows)).collect()}
+    near = {i: [j for j, q in placed.items() if (p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2 <= 9 and abs(p["h"] - q["h"]) <= 30] for i, p in placed.items()}
+    cores = {i for i, of in near.items() if len(of) >= least}
+    want = {}
+    for i in sorted(cores):
+        todo = [i] if i not in want else []
+        while todo:
+            j = todo.pop()
+            if j not in want:
+                want[j] = i
+                todo += [k for k in near[j] if k in cores]
+    for i in placed:
+        if i not in cores:
+            want[i] = min((want[k] for k in near[i] if k in cores), default=-1)
+    assert labels(spark, rows, min_samples=least) == [want[i] for i in range(len(rows))]
+    assert -1 in want.values() and any(i not in cores and c >= 0 for i, c in want.items())
+
+
 def test_grid_join_finds_all_pairs(spark):
     import random
 
