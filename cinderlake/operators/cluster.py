@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cinderlake import dims
 from cinderlake.functions import formulas as f
 from cinderlake.operators.graph import FEW_LINKS, components
-from cinderlake.storage import Stored, broadcast_if_small
+from cinderlake.storage import Stored
 
 KM_PER_RADIAN_DEGREE = math.pi * dims.EARTH_RADIUS_KM / 180.0
 
@@ -55,7 +55,7 @@ def beside(rows: DataFrame, cell: list[str], fields: list[str]) -> DataFrame:
     moved = [(F.col(c) + F.col(f"s.{d}")).alias(c) for c, d in zip(cell, "ijk", strict=True)]
     own = ((F.col("s.i") == 0) & (F.col("s.j") == 0) & (F.col("s.k") == 0)).alias("own")
     looks = rows.select("*", steps).select(*moved, own, *(F.col(c).alias(f"{c}2") for c in fields))
-    return rows.select(*cell, *fields).join(looks, cell)
+    return rows.select(*cell, *fields).join(looks.hint("merge"), cell)
 
 
 def st_dbscan(points: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float = dims.EPS_HOURS, min_samples: int = dims.MIN_SAMPLES) -> DataFrame:
@@ -165,11 +165,11 @@ def placed_clusters(at: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float
     grid = ["fx", "fy", "fh"]
     placed = Stored(at.select("id", "x", "y", "h").withColumns({f"f{c}": F.floor(F.col(c) / side[c]) for c in "xyh"}), "placed").df
     cells = Stored(boxes(placed, grid).withColumnRenamed("least", "rep"), "cells").df
-    named = placed.join(cells.select(*grid, "rep"), grid)
+    named = placed.join(cells.select(*grid, "rep").hint("merge"), grid)  # what grows with the input goes by shuffles, not over the driver
     reached = components(cell_links(named, cells, eps_km, eps_hours), at_once=FEW_LINKS).withColumnRenamed("node", "rep")
     label = F.coalesce("component", F.when((F.col("n") > 1) | F.lit(min_samples <= 1), F.col("rep")), F.lit(-1).cast("long"))
-    labelled = Stored(cells.join(reached, "rep", "left").select(*grid, label.alias("cluster")), "labels").df
-    return placed.join(labelled, grid).select("id", "cluster")
+    labelled = Stored(cells.join(reached.hint("merge"), "rep", "left").select(*grid, label.alias("cluster")), "labels").df
+    return placed.join(labelled.hint("merge"), grid).select("id", "cluster")
 
 
 def st_dbscan_dense(points: DataFrame, eps_km: float, eps_hours: float, min_samples: int) -> DataFrame:
@@ -184,7 +184,7 @@ def st_dbscan_dense(points: DataFrame, eps_km: float, eps_hours: float, min_samp
     at = project(points).select("id", "x", "y", "h").where("x IS NOT NULL AND y IS NOT NULL AND h IS NOT NULL")
     placed = Stored(at.withColumns({f"f{c}": F.floor(F.col(c) / side[c]) for c in "xyh"}), "placed").df
     cells = Stored(boxes(placed, grid).withColumnRenamed("least", "rep"), "cells").df
-    named = Stored(placed.join(cells.select(*grid, "rep", "n"), grid), "named").df
+    named = Stored(placed.join(cells.select(*grid, "rep", "n").hint("merge"), grid), "named").df
     thin = named.where(F.col("n") < min_samples)
     pairs = cells.withColumns({f"c{c}": F.floor(F.col(f"f{c}") / 2) for c in "xyh"})
     met = beside(pairs, ["cx", "cy", "ch"], [*PART, "n", *SIDES]).where(~F.col("own") | (F.col("rep") < F.col("rep2")))
@@ -214,7 +214,7 @@ def st_dbscan_dense(points: DataFrame, eps_km: float, eps_hours: float, min_samp
 
 def members(points: DataFrame, **bounds) -> DataFrame:
     """``points`` with their ``cluster``."""
-    return points.join(st_dbscan(points, **bounds), "id")
+    return points.join(st_dbscan(points, **bounds).hint("merge"), "id")
 
 
 def cell_area(clustered: DataFrame) -> DataFrame:

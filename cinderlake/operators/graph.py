@@ -56,7 +56,7 @@ def components(edges: DataFrame, most_rounds: int = 60, at_once: int = 0) -> Dat
         large = large.where("u <> v").distinct()
         # small star: each node's smaller neighbours, and the node, are tied to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = Stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         was, now = now, after
         was.drop()
@@ -74,7 +74,7 @@ def told_least(links: DataFrame, low: DataFrame, n_links: int) -> DataFrame:
     """``links(u, v)`` with ``m`` of ``low(u, m, n)``. Nodes with very many links, of which there can be few, are dealt out by their neighbour."""
     hot = low.where(F.col("n") > HOT_LINKS).select("u", F.ceil(F.col("n") / HOT_LINKS).alias("shares")) if n_links > HOT_LINKS else None
     if hot is None or hot.isEmpty():
-        return links.join(low.drop("n"), "u")
+        return links.join(low.drop("n").hint("merge"), "u")  # a round's nodes grow with the graph: they go by shuffles, not over the driver
     hot = broadcast_if_small(hot)
     salt = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.col("shares")), F.lit(0).cast("long"))
     dealt = links.join(hot, "u", "left").select("u", "v", salt("v").alias("salt"))

@@ -68,6 +68,12 @@ def test_denser_clusters_equal_the_plain_definition(spark, least, monkeypatch):
     assert -1 in want.values() and any(i not in cores and c >= 0 for i, c in want.items())
 
 
+def test_clusters_do_not_travel_over_the_driver(spark):
+    """What grows with the detections is joined by shuffles, so that the driver gets none of it."""
+    plan = cluster.members(points(spark, [(38.2, 23.9, 0), (38.21, 23.9, 1), (36.0, 28.0, 0)]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan.replace("BroadcastNestedLoopJoin", "")
+
+
 def test_grid_join_finds_all_pairs(spark):
     import random
 
