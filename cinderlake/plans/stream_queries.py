@@ -49,11 +49,11 @@ def stream_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fire-weather codes carried from day to day by a stream that gets the days in three batches: the last row of each site."""
     path = f"{shared_dir(spark)}/cinderlake-days-{uuid.uuid4().hex}"
     daily = weather.daily_inputs(adapters.hourly_weather(spark, sf_dir))
-    files = 4
+    files = spark.sparkContext.defaultParallelism
     for low, high in ((None, 10), (10, 20), (20, None)):
         part = daily.where(F.lit(low is None) | (F.col("day") >= (low or 0))).where(F.lit(high is None) | (F.col("day") < (high or 0)))
-        part.repartition(files, "site").write.mode("append").parquet(path)
-    days = spark.readStream.schema(daily.schema).option("maxFilesPerTrigger", files).parquet(path)
+        live.deal(part, path, files)
+    days = live.dealt(spark, daily.schema, path, files)
     rows = live.drain(state.carried_codes(days))
     last = rows.groupBy("site").agg(F.max_by(F.struct("n_days", "ffmc", "dmc", "dc", "isi", "bui", "fwi"), "day").alias("r"))
     return last.select("site", "r.*")
@@ -74,9 +74,10 @@ def stream_quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = adapters.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
     dated = events.withColumn("d", F.floor(F.unix_micros("at") / 432_000_000_000))
     days = [r["d"] for r in dated.select("d").distinct().orderBy("d").collect()]  # one for five days
+    files = spark.sparkContext.defaultParallelism
     for day in days:
-        dated.where(F.col("d") == day).drop("d").coalesce(1).write.mode("append").parquet(path)
-    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("at", "0 seconds")
+        live.deal(dated.where(F.col("d") == day).drop("d"), path, files)
+    arriving = live.dealt(spark, events.schema, path, files).withWatermark("at", "0 seconds")
     return live.drain(state.quiet_fires(arriving))
 
 

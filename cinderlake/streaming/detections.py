@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from cinderlake import dims
 from cinderlake.shipping import ship
@@ -25,6 +26,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", WATERMARK)
 
 
+def deal(rows: DataFrame, path: str, files: int) -> None:
+    """Adds ``rows`` to the folder as exactly ``files`` files, written and later read side by side: a file always has a row of its own, marked as none of ``rows``."""
+    number = F.pmod(F.xxhash64(*rows.columns), F.lit(files)).cast("int").alias("file")
+    marks = rows.sparkSession.range(files).select(*(F.lit(None).cast(c.dataType).alias(c.name) for c in rows.schema), F.lit(False).alias("real"), F.col("id").cast("int").alias("file"))
+    rows.select("*", F.lit(True).alias("real"), number).unionByName(marks).repartitionById(files, "file").drop("file").write.mode("append").parquet(path)
+
+
+def dealt(spark: SparkSession, schema: StructType, path: str, files: int) -> DataFrame:
+    """The stream of what was dealt to the folder, each deal a batch of its own."""
+    marked = StructType([*schema.fields, StructField("real", BooleanType())])
+    return spark.readStream.schema(marked).option("maxFilesPerTrigger", files).parquet(path).where("real").drop("real")
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now and returns what it wrote; sink and checkpoint lie in the shared folder."""
     spark = stream.sparkSession

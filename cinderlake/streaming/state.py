@@ -92,64 +92,101 @@ def day_length(high: tuple[float, ...], low: tuple[float, ...], month: int, lati
 
 CODES = "site long, day long, n_days long, ffmc double, dmc double, dc double, isi double, bui double, fwi double"
 
+#: Neighbouring keys whose state one group holds: what a call of Python costs is shared, and a group stays some kilobytes.
+KEYS_AT_ONCE = 256
+CODES_STATE = "site array<long>, due array<long>, day array<long>, n_days array<long>, ffmc array<double>, dmc array<double>, dc array<double>"
 
-CODES_STATE = "day long, n_days long, ffmc double, dmc double, dc double"
 
+def group_of(key: str) -> str:
+    return f"{key} div {KEYS_AT_ONCE} AS keys"
 
-def carry(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Codes of a site after each new day, carried rounded. Days at or before the last one carried come too late and are left out, repeats too."""
-    if state.hasTimedOut:
+
+def held(state: GroupState) -> dict:
+    """What the group holds for each of its keys: when it is due, and its values."""
+    return {k: v for k, *v in zip(*state.get, strict=True)} if state.exists else {}
+
+
+def hold(state: GroupState, keys: dict) -> None:
+    """Keeps the keys; the group's timer is that of the key due first. Without keys its state goes."""
+    if not keys:
         state.remove()
         return
-    last, n, *codes = state.get if state.exists else (None, 0, *f.FWI_START)
-    out = []
-    for d in pd.concat(list(batches)).sort_values("day").itertuples():
-        if last is not None and d.day <= last:
-            continue
-        ffmc = fine_fuel(codes[0], d.temperature_c, d.humidity_pct, d.wind_kmh, d.day_rain)
-        dmc = duff(codes[1], d.temperature_c, d.humidity_pct, d.day_rain, day_length(f.DMC_DAY_46, f.DMC_DAY_20, d.month, d.latitude))
-        dc = drought(codes[2], d.temperature_c, d.day_rain, day_length(f.DC_DAY_46, f.DC_DAY_20, d.month, d.latitude))
-        codes, last, n = [rounded(ffmc), rounded(dmc), rounded(dc)], int(d.day), n + 1
-        out.append((key[0], last, n, *codes, *map(rounded, indices(ffmc, dmc, dc, d.wind_kmh))))
+    state.update(tuple(map(list, zip(*((k, *v) for k, v in keys.items()), strict=True))))
+    state.setTimeoutTimestamp(min(v[0] for v in keys.values()))
+
+
+def overdue(keys: dict, came: set, now: int) -> list:
+    """Keys whose own timer has run out and for which nothing came, as Spark has it for a key in a group of its own."""
+    return [k for k, v in keys.items() if v[0] < now and k not in came]
+
+
+def carry(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Codes of the sites of a group after each new day, carried rounded. Days at or before the last one carried come too late and are left out, repeats too."""
+    now = state.getCurrentWatermarkMs()
+    sites, came, out = held(state), set(), []
+    if not state.hasTimedOut:
+        for d in pd.concat(list(batches)).sort_values(["site", "day"], kind="stable").itertuples():
+            site = None if pd.isna(key[0]) else int(d.site)
+            came.add(site)
+            _, last, n, *codes = sites.get(site, (0, None, 0, *f.FWI_START))
+            if last is not None and d.day <= last:
+                continue
+            ffmc = fine_fuel(codes[0], d.temperature_c, d.humidity_pct, d.wind_kmh, d.day_rain)
+            dmc = duff(codes[1], d.temperature_c, d.humidity_pct, d.day_rain, day_length(f.DMC_DAY_46, f.DMC_DAY_20, d.month, d.latitude))
+            dc = drought(codes[2], d.temperature_c, d.day_rain, day_length(f.DC_DAY_46, f.DC_DAY_20, d.month, d.latitude))
+            codes, last, n = [rounded(ffmc), rounded(dmc), rounded(dc)], int(d.day), n + 1
+            out.append((site, last, n, *codes, *map(rounded, indices(ffmc, dmc, dc, d.wind_kmh))))
+            sites[site] = [0, last, n, *codes]
+        for site in came:
+            sites[site] = [max(now + 1, (sites[site][1] + 1 + CODES_TTL_DAYS) * DAY_MS), *sites[site][1:]]
+    for site in overdue(sites, came, now):
+        del sites[site]
+    hold(state, sites)
     if out:
-        state.update((last, n, *codes))
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, ((last or 0) + 1 + CODES_TTL_DAYS) * DAY_MS))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in CODES.split(", ")])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CODES.split(", ")])
 
 
 def carried_codes(daily: DataFrame) -> DataFrame:
     """From a stream of days (site, day, temperature_c, humidity_pct, wind_kmh, day_rain, month, latitude): each day's codes and indices."""
     ship(daily.sparkSession)
-    timed = daily.selectExpr("site", "day", "temperature_c", "humidity_pct", "wind_kmh", "day_rain", "month", "latitude", "timestamp_seconds((day + 1) * 86400) AS at").withWatermark("at", "30 days")
-    return timed.groupBy("site").applyInPandasWithState(carry, CODES, CODES_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    timed = daily.selectExpr(group_of("site"), "site", "day", "temperature_c", "humidity_pct", "wind_kmh", "day_rain", "month", "latitude", "timestamp_seconds((day + 1) * 86400) AS at").withWatermark("at", "30 days")
+    return timed.groupBy("keys").applyInPandasWithState(carry, CODES, CODES_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 QUIET = "user_id long, last_us long, n long, status string"
 CONTAINED_MS, OUT_MS = int(dims.QUIET_CONTAINED_H * 3_600_000), int(dims.QUIET_OUT_H * 3_600_000)
 
 
+QUIET_STATE = "user_id array<long>, due array<long>, last_us array<long>, n array<long>, told array<int>"
+
+
 def fall_quiet(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A fire that falls quiet: contained after the shorter silence, out after the longer one, when it is forgotten. What comes later is a new fire."""
+    """Fires of a group's users that fall quiet: contained after the shorter silence, out after the longer one, when they are forgotten. What comes later is a new fire."""
     now = state.getCurrentWatermarkMs()
+    fires, came, out = held(state), set(), []
     if not state.hasTimedOut:
-        times = pd.concat([b["us"] for b in batches])
-        before, n, _ = state.get if state.exists else (0, 0, 0)
-        last = max(int(times.max()), before)
-        state.update((last, n + len(times), 0))
-        state.setTimeoutTimestamp(max(now + 1, last // 1000 + CONTAINED_MS))
-        return
-    last, n, told = state.get
-    found = ["contained"] * (not told) + ["out"] * (now >= last // 1000 + OUT_MS)
-    if "out" in found:
-        state.remove()
-    else:
-        state.update((last, n, 1))
-        state.setTimeoutTimestamp(max(now + 1, last // 1000 + OUT_MS))
-    yield pd.DataFrame({"user_id": [key[0]] * len(found), "last_us": [last] * len(found), "n": [n] * len(found), "status": found})
+        times = pd.concat(list(batches)).groupby("user_id", dropna=False)["us"].agg(["max", "size"])
+        for newest in times.itertuples():
+            user = None if pd.isna(key[0]) else int(newest.Index)
+            came.add(user)
+            _, before, n, _ = fires.get(user, (0, 0, 0, 0))
+            last = max(int(newest.max), before)
+            fires[user] = [max(now + 1, last // 1000 + CONTAINED_MS), last, n + int(newest.size), 0]
+    for user in overdue(fires, came, now):
+        _, last, n, told = fires[user]
+        found = ["contained"] * (not told) + ["out"] * (now >= last // 1000 + OUT_MS)
+        out += [(user, last, n, status) for status in found]
+        if "out" in found:
+            del fires[user]
+        else:
+            fires[user] = [max(now + 1, last // 1000 + OUT_MS), last, n, 1]
+    hold(state, fires)
+    if out:
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in QUIET.split(", ")])
 
 
 def quiet_fires(events: DataFrame) -> DataFrame:
     """From a stream of events (user_id, at with a watermark): a row whenever a user's fire is found contained or out."""
     ship(events.sparkSession)
-    timed = events.selectExpr("user_id", "at", "unix_micros(at) AS us")
-    return timed.groupBy("user_id").applyInPandasWithState(fall_quiet, QUIET, "last_us long, n long, told int", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = events.selectExpr(group_of("user_id"), "user_id", "at", "unix_micros(at) AS us")
+    return timed.groupBy("keys").applyInPandasWithState(fall_quiet, QUIET, QUIET_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from cinderlake.operators import cluster, weather
@@ -72,3 +73,80 @@ def test_any_cut_into_batches_gives_the_clusters_of_all(spark):
     whole = spark.createDataFrame([p for p in points if p[1] >= oldest], schema)
     want = {x["id"]: x["cluster"] for x in cluster.placed_clusters(rekey.placed(whole).select("id", "x", "y", "h")).collect()}
     assert {x["id"]: x["cluster"] for x in known.collect()} == want
+
+
+class Held:
+    """A group's state as the functions see it."""
+
+    def __init__(self):
+        self.get, self.timer, self.now, self.hasTimedOut = None, None, 0, False
+
+    @property
+    def exists(self):
+        return self.get is not None
+
+    def getCurrentWatermarkMs(self):  # noqa: N802
+        return self.now
+
+    def setTimeoutTimestamp(self, at):  # noqa: N802
+        assert at >= self.now
+        self.timer = at
+
+    def update(self, value):
+        self.get = value
+
+    def remove(self):
+        self.get = self.timer = None
+
+
+def test_one_group_keeps_a_timer_for_each_of_its_users():
+    hour = 3_600_000
+    held, rows = Held(), []
+
+    def call(now, *came):
+        held.now, held.hasTimedOut = now * hour, not came
+        for out in state.fall_quiet((0,), iter([pd.DataFrame({"user_id": [u for u, _ in came], "us": [h * hour * 1000 for _, h in came]})]), held):
+            rows.extend(out.itertuples(index=False, name=None))
+
+    call(0, (1, 10), (2, 30), (1, 8))
+    assert held.timer == 22 * hour
+    call(30, (2, 31))  # the group has data, and user 1 is due beside it
+    assert rows == [(1, 10 * hour * 1000, 2, "contained")] and held.timer == 43 * hour
+    call(60)
+    assert sorted(rows[1:]) == [(1, 10 * hour * 1000, 2, "out"), (2, 31 * hour * 1000, 2, "contained")]
+    call(90)
+    assert rows[3:] == [(2, 31 * hour * 1000, 2, "out")] and held.get is None
+
+
+def test_one_group_carries_the_codes_of_many_sites_and_forgets_each_by_itself():
+    held = Held()
+    columns = [c.split()[0] for c in DAY.split(", ")]
+    together = {r[:2]: r for out in state.carry((0,), iter([pd.DataFrame(days(6), columns=columns)]), held) for r in out.itertuples(index=False, name=None)}
+    for site in (1, 2, 3):
+        alone = next(state.carry((0,), iter([pd.DataFrame([r for r in days(6) if r[0] == site], columns=columns)]), Held()))
+        assert [together[site, d] for d in range(6)] == [*alone.itertuples(index=False, name=None)]
+    held.now = (6 + state.CODES_TTL_DAYS) * state.DAY_MS + 1
+    assert [len(out) for out in state.carry((0,), iter([pd.DataFrame([(2, 97, 20.0, 40.0, 10.0, 0.0, 7, 38.0)], columns=columns)]), held)] == [1]
+    assert held.get[0] == [2] and held.get[3] == [7]
+
+
+def test_users_far_apart_and_without_a_number_fall_quiet(spark, tmp_path):
+    path = str(tmp_path / "in")
+    users = [None, -1, 0, 255, 256, 10**15]
+    for days_in in (0, 5, 10):
+        rows = [(u, 1_704_067_200 + days_in * 86_400 + i) for i, u in enumerate([7] if days_in else users)]
+        live.deal(spark.createDataFrame(rows, "user_id long, s long").selectExpr("user_id", "timestamp_seconds(s) AS at"), path, 3)
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 9  # each deal has all its files, few rows or none
+    schema = spark.sql("SELECT 0L AS user_id, current_timestamp() AS at").schema
+    got = live.drain(state.quiet_fires(live.dealt(spark, schema, path, 3).withWatermark("at", "0 seconds"))).collect()
+    assert sorted(map(str, ((r["user_id"], r["status"], r["n"]) for r in got))) == sorted(str((u, s, 1)) for u in users for s in ("contained", "out"))
+
+
+def test_a_deal_is_one_batch_in_many_files(spark, tmp_path):
+    path, sizes = str(tmp_path / "in"), []
+    rows = [spark.range(a, b).selectExpr("id", "if(id % 3 = 0, NULL, id) AS x") for a, b in ((0, 1000), (1000, 1002), (1002, 1300))]
+    for part in rows:
+        live.deal(part, path, 4)
+    arriving = live.dealt(spark, rows[0].schema, path, 4)
+    arriving.writeStream.foreachBatch(lambda b, _: sizes.append(b.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sizes == [1000, 2, 298]
