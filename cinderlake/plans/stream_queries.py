@@ -91,9 +91,10 @@ def stream_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/cinderlake-rekey-{uuid.uuid4().hex}"
     events = adapters.table(spark, sf_dir, "events")
     late = F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10) + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0))
+    files = spark.sparkContext.defaultParallelism
     for batch in range(3):
-        events.where(late == batch).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        live.deal(events.where(late == batch), f"{path}/in", files)
+    arriving = live.dealt(spark, events.schema, f"{path}/in", files)
     rekey.keep_clusters(arriving, adapters.detections_of, path, once=True).awaitTermination()
     last = rekey.members(spark, path, 2)
     return last.select("id", "cluster").join(rekey.incident_ids(last), "cluster", "left").select("id", "cluster", "incident_id")
