@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,13 +137,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     templates = TEMPLATES if templates is None else templates
     known = {name: b for name, text in templates.items() if (b := plain_bigrams(text))}
     body = F.col("body")
-    low = F.lower(body)
-    tell = None
-    for w in sorted(telling_words({k: templates[k] for k in known}, least), key=lambda w: (-len(w), w)):
-        # Short words are parts of many others: they are looked for as whole words, and last.
-        has = low.contains(w) if len(w) > 3 else low.rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])")
-        tell = has if tell is None else tell | has
-    rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("body")).where(tell if tell is not None else F.lit(False))
+    # Short words are parts of many others: they are looked for as whole words, and last.
+    words = sorted(telling_words({k: templates[k] for k in known}, least), key=lambda w: (-len(w), w))
+
+    def tells(low: Column) -> Column:
+        return reduce(Column.__or__, [low.contains(w) if len(w) > 3 else low.rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])") for w in words])
+
+    # The text is lower-cased as an element of an array, so once: written out for each word it would be as often as there are words.
+    tell = F.exists(F.array(F.lower(body)), tells) if words else F.lit(False)
+    rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("body")).where(tell)
     each = rows.select("id", F.explode(units(body)).alias("unit"))
     likely = None
     for w in telling_words({k: templates[k] for k in known}, least):

@@ -232,6 +232,12 @@ def test_licences(spark, sf, same):
     assert {(r["id"], r["licence"]) for r in licenses.scan(docs(spark, rows)).where("score = 1").collect()} == {(1, "CC-BY-NC-4.0"), (3, "All-rights-reserved"), (4, "MIT-grant")}
 
 
+def test_licence_scan_lower_cases_a_text_once(spark):
+    plan = licenses.scan(docs(spark, [(1, "Licensed under CC BY-NC 4.0.")]))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line and "merchantability" in line and "lower" in line]
+    assert filters and all(line.count("lower(") == 1 for line in filters)
+
+
 GRANT = licenses.TEMPLATES["MIT-grant"].split()
 NOTICES = [
     ("This project is licensed under the MIT License.", {"MIT-notice"}), ("This software is released under the MIT License.", {"MIT"}), ("This work is licensed under CC BY 4.0.", {"CC-BY-4.0"}),
