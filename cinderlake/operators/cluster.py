@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cinderlake import dims
 from cinderlake.functions import formulas as f
-from cinderlake.operators.graph import FEW_LINKS, components
+from cinderlake.operators.graph import FEW_LINKS, components, tiled_components
 from cinderlake.storage import Stored
 
 KM_PER_RADIAN_DEGREE = math.pi * dims.EARTH_RADIUS_KM / 180.0
@@ -89,6 +89,8 @@ def st_dbscan(points: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float =
 #: Comparisons of points that settle two cells at once; with more points the cells are cut finer first. Cuts of a side, and how often.
 FEW_PAIRS, CUTS, MOST_CUTS = 4096, 4, 8
 PART = ["rep", "fx", "fy", "fh"]
+#: Small cells on a side of a tile, whose links are settled in one group: at most 8,192 cells, each with its neighbours two cells around.
+TILE = {"x": 32, "y": 32, "h": 8}
 SIDES = [f"{end}_{c}" for c in "xyh" for end in ("low", "high")]
 
 
@@ -115,31 +117,27 @@ def second(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"{c}2" for c in df.columns))
 
 
-def cell_links(placed: DataFrame, cells: DataFrame, eps_km: float, eps_hours: float) -> DataFrame:
-    """Links ``(a, b)`` between the smallest ids of small cells that have points within the bounds of each other.
+def cell_links(placed: DataFrame, open_: DataFrame, eps_km: float, eps_hours: float) -> DataFrame:
+    """Links ``(a, b)`` between the groups ``rep`` and ``rep2`` of cells that have points within the bounds of each other, for pairs of cells that boxes leave open.
 
-    Boxes settle most pairs of cells: too far, or linked whatever the points. What is left is compared point by point where that is
-    little work; elsewhere both cells are cut finer and their parts settled the same way, down to a last cut of some centimetres and seconds.
+    Points are compared where that is little work; elsewhere both cells are cut finer and their parts settled by boxes again, down to a last cut of
+    some centimetres and seconds. One link of two groups is enough: their other pairs are asked no more in the next cut.
     """
     side = cell_sides(eps_km, eps_hours)
-    # Cells within reach of each other are at most two apart, so pairs of them are neighbours.
-    pairs = cells.withColumns({f"c{c}": F.floor(F.col(f"f{c}") / 2) for c in "xyh"})
-    met = beside(pairs, ["cx", "cy", "ch"], [*PART, "n", *SIDES]).where(~F.col("own") | (F.col("rep") < F.col("rep2")))
-    open_ = Stored(judged(met, eps_km, eps_hours), "pairs").df
+    asked = open_.select(*PART).unionByName(open_.select(*(F.col(f"{c}2").alias(c) for c in PART))).distinct()
+    points = Stored(placed.join(asked.hint("merge"), ["fx", "fy", "fh"]).select(*PART, "id", "x", "y", "h"), "points").df
     found = open_.where("linked").select("rep", "rep2")
-    points = placed.select(*PART, "id", "x", "y", "h")
     for cut in range(1, MOST_CUTS + 2):
         left = open_.where("NOT linked").join(found, ["rep", "rep2"], "left_anti")
         few = (F.col("n") * F.col("n2") <= FEW_PAIRS) | F.lit(cut > MOST_CUTS)
-        here = points.select(*PART, "x", "y", "h")
+        here = points.select(*PART, "x", "y", "h").hint("merge")
         both = left.where(few).select(*PART, *(f"{c}2" for c in PART)).join(here, PART).join(second(here), [f"{c}2" for c in PART])
         dx, dy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
         close = both.where((dx * dx + dy * dy <= eps_km * eps_km) & (F.abs(F.col("h") - F.col("h2")) <= eps_hours))
-        found = found.unionByName(close.select("rep", "rep2").distinct())
-        many = Stored(left.where(~few), "many").df
+        found = Stored(found.unionByName(close.select("rep", "rep2")).distinct(), "found").df
+        many = Stored(left.where(~few).join(found, ["rep", "rep2"], "left_anti"), "many").df
         if many.isEmpty():
             break
-        found = Stored(found, "found").df
         # Only the points of parts that are still asked for go on; the finer grid lies within the coarser one.
         asked = many.select(*PART).unionByName(many.select(*(F.col(f"{c}2").alias(c) for c in PART))).distinct()
         above = {f"p{c}": F.col(f"f{c}") for c in "xyh"}
@@ -148,7 +146,7 @@ def cell_links(placed: DataFrame, cells: DataFrame, eps_km: float, eps_hours: fl
         parts = boxes(points, [*PART, "px", "py", "ph"]).drop("least")
         whole = [F.col("rep"), *(F.col(f"f{c}").alias(f"p{c}") for c in "xyh")]
         over = many.select(*whole, F.col("rep2"), *(F.col(f"f{c}2").alias(f"p{c}2") for c in "xyh"))
-        cut_up = over.join(parts, ["rep", "px", "py", "ph"]).join(second(parts), ["rep2", "px2", "py2", "ph2"])
+        cut_up = over.join(parts.hint("merge"), ["rep", "px", "py", "ph"]).join(second(parts).hint("merge"), ["rep2", "px2", "py2", "ph2"])
         open_ = Stored(judged(cut_up, eps_km, eps_hours), "pairs").df
         found = found.unionByName(open_.where("linked").select("rep", "rep2").distinct())
     return found.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
@@ -165,10 +163,22 @@ def placed_clusters(at: DataFrame, eps_km: float = dims.EPS_KM, eps_hours: float
     grid = ["fx", "fy", "fh"]
     placed = Stored(at.select("id", "x", "y", "h").withColumns({f"f{c}": F.floor(F.col(c) / side[c]) for c in "xyh"}), "placed").df
     cells = Stored(boxes(placed, grid).withColumnRenamed("least", "rep"), "cells").df
-    named = placed.join(cells.select(*grid, "rep").hint("merge"), grid)  # what grows with the input goes by shuffles, not over the driver
-    reached = components(cell_links(named, cells, eps_km, eps_hours), at_once=FEW_LINKS).withColumnRenamed("node", "rep")
-    label = F.coalesce("component", F.when((F.col("n") > 1) | F.lit(min_samples <= 1), F.col("rep")), F.lit(-1).cast("long"))
-    labelled = Stored(cells.join(reached.hint("merge"), "rep", "left").select(*grid, label.alias("cluster")), "labels").df
+    # Cells within reach of each other are at most two apart, so pairs of them are neighbours. Boxes settle most pairs: too far, or linked whatever the points.
+    pairs = cells.withColumns({f"c{c}": F.floor(F.col(f"f{c}") / 2) for c in "xyh"})
+    met = beside(pairs, ["cx", "cy", "ch"], [*PART, "n", *SIDES]).where(~F.col("own") | (F.col("rep") < F.col("rep2")))
+    near = Stored(judged(met, eps_km, eps_hours), "pairs").df
+    tile = {f"t{c}": F.floor(F.col(f"f{c}") / TILE[c]) for c in "xyh"}
+    linked = near.where("linked").select(F.col("rep").alias("a"), F.col("rep2").alias("b"), *(c.alias(k) for k, c in tile.items()))
+    grouped = tiled_components(linked, list(tile), at_once=FEW_LINKS).withColumnRenamed("node", "rep")
+    core = F.col("component").isNotNull() | (F.col("n") > 1) | F.lit(min_samples <= 1)
+    named = Stored(cells.join(grouped.hint("merge"), "rep", "left").select("rep", *grid, F.coalesce("component", "rep").alias("label"), core.alias("core")), "named").df
+    # What the sure links have joined is asked no more: points are compared only where that can tie two groups of cells.
+    told = named.select("rep", "label").hint("merge")  # what grows with the input goes by shuffles, not over the driver
+    apart = near.where("NOT linked").join(told, "rep").join(second(told), "rep2").where("label <> label2")
+    asked = Stored(apart.drop("rep", "rep2").withColumnsRenamed({"label": "rep", "label2": "rep2"}), "apart").df
+    joined = components(cell_links(placed, asked, eps_km, eps_hours), at_once=FEW_LINKS).withColumnRenamed("node", "label")
+    label = F.coalesce("component", F.when(F.col("core"), F.col("label")), F.lit(-1).cast("long"))
+    labelled = Stored(named.join(joined.hint("merge"), "label", "left").select(*grid, label.alias("cluster")), "labels").df
     return placed.join(labelled.hint("merge"), grid).select("id", "cluster")
 
 

@@ -70,6 +70,21 @@ def components(edges: DataFrame, most_rounds: int = 60, at_once: int = 0) -> Dat
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
+def tiled_components(links: DataFrame, tile: list[str], at_once: int = 0) -> DataFrame:
+    """``components`` of links ``(a, b)`` whose columns ``tile`` deal them out so that a tile has a bounded number of them.
+
+    A tile is settled in one group, where each of its nodes gets the smallest one of its component for a label. A node of several tiles ties its
+    labels together, and only these ties, a few for each border, are settled across tiles. The smallest node of all is its own label in each tile.
+    """
+    ship(links.sparkSession)
+    ends = links.where("a <> b").select(*tile, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    pieces = Stored(ends.groupBy(*tile).applyInArrow(settled, "node long, component long"), "pieces").df
+    named = pieces.groupBy("node").agg(F.min("component").alias("label"), F.collect_set("component").alias("labels"))
+    ties = named.where(F.size("labels") > 1).select(F.explode("labels").alias("a"), F.col("label").alias("b"))
+    across = components(ties, at_once=at_once).withColumnRenamed("node", "label")
+    return named.select("node", "label").join(across.hint("merge"), "label", "left").select("node", F.coalesce("component", "label").alias("component"))
+
+
 def told_least(links: DataFrame, low: DataFrame, n_links: int) -> DataFrame:
     """``links(u, v)`` with ``m`` of ``low(u, m, n)``. Nodes with very many links, of which there can be few, are dealt out by their neighbour."""
     hot = low.where(F.col("n") > HOT_LINKS).select("u", F.ceil(F.col("n") / HOT_LINKS).alias("shares")) if n_links > HOT_LINKS else None

@@ -68,6 +68,17 @@ def test_denser_clusters_equal_the_plain_definition(spark, least, monkeypatch):
     assert -1 in want.values() and any(i not in cores and c >= 0 for i, c in want.items())
 
 
+def test_points_are_compared_only_between_groups_that_boxes_leave_apart(spark, monkeypatch):
+    """Two cells whose boxes leave open whether they are linked are not compared point by point where sure links by a third cell have joined them."""
+    asked, plain = [], cluster.cell_links
+    monkeypatch.setattr(cluster, "cell_links", lambda placed, open_, *a: asked.append(open_.select("rep", "rep2").collect()) or plain(placed, open_, *a))
+    north = lambda km: 38.0 + km / 111.195
+    ends = [(north(km + d), 23.0, 0.0) for km in (0.0, 2.9) for d in (-0.2, 0.0, 0.2)]
+    assert labels(spark, [*ends, (north(1.45), 23.0251, 1.0)]) == [0] * 7
+    assert labels(spark, ends) == [0] * 6  # without the third cell only points tell
+    assert asked[0] == [] and [{r["rep"], r["rep2"]} for r in asked[1]] == [{0, 3}]
+
+
 def test_clusters_do_not_travel_over_the_driver(spark):
     """What grows with the detections is joined by shuffles, so that the driver gets none of it."""
     plan = cluster.members(points(spark, [(38.2, 23.9, 0), (38.21, 23.9, 1), (36.0, 28.0, 0)]))._jdf.queryExecution().executedPlan().toString()

@@ -25,3 +25,17 @@ def test_a_cluster_must_name_its_shared_folder(master):
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master))
     with pytest.raises(RuntimeError):
         storage.shared_dir(unset)
+
+
+def test_links_of_tiles_give_the_components_of_all_links(spark):
+    """Paths over tile borders and back, a node of many tiles, a tile of its own: as settled at once, with ties at borders only."""
+    import random
+
+    r = random.Random(4)
+    edges = [(i, i + 1, i // 10) for i in range(0, 95)] + [(200, 200 + i, 50 + i) for i in range(1, 9)] + [(900, 901, 7)]
+    edges += [(r.randrange(300, 800), r.randrange(300, 800), r.randrange(12)) for _ in range(260)]
+    df = spark.createDataFrame(edges, "a long, b long, tile int")
+    want = {x["node"]: x["component"] for x in graph.components(df.select("a", "b")).collect()}
+    got = [(x["node"], x["component"]) for x in graph.tiled_components(df, ["tile"]).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert graph.tiled_components(df.limit(0), ["tile"]).count() == 0
