@@ -173,8 +173,8 @@ def fuel_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def local_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents with the wind of now and the day's codes at the site of their first detection."""
-    hourly = adapters.hourly_weather(spark, sf_dir)
     site = clustered(spark, sf_dir).where("id = cluster").select("cluster", F.col("user_id").alias("site"))
+    hourly = adapters.hourly_weather(spark, sf_dir, site)  # sites without an incident are read but neither grouped nor folded
     wind = weather.reading_now(hourly, adapters.now_hours(spark, sf_dir))
     codes = weather.fire_weather(weather.daily_inputs(hourly)).select("site", F.col("isi").alias("day_isi"), F.col("ffmc").alias("day_ffmc"))
     return incidents(spark, sf_dir).join(site, "cluster").join(wind, "site").join(codes, "site")

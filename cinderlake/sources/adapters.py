@@ -74,9 +74,12 @@ def now_hours(spark: SparkSession, sf_dir: str) -> float:
     return newest_hours(table(spark, sf_dir, "events"))
 
 
-def hourly_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reading for each site (``user_id``) and hour that has events: the one of the smallest event id."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", micros("ts").alias("us")).withColumn("hour", F.floor((F.col("us") - EPOCH_US) / 3_600_000_000))
+def hourly_weather(spark: SparkSession, sf_dir: str, sites: DataFrame | None = None) -> DataFrame:
+    """One reading for each site (``user_id``) and hour that has events: the one of the smallest event id. With ``sites(site)``, of these only."""
+    events = table(spark, sf_dir, "events")
+    if sites is not None:  # before anything is grouped
+        events = events.join(sites.select(F.col("site").alias("user_id")), "user_id", "left_semi")
+    e = events.select("event_id", "user_id", micros("ts").alias("us")).withColumn("hour", F.floor((F.col("us") - EPOCH_US) / 3_600_000_000))
     one = e.groupBy("user_id", "hour").agg(F.min("event_id").alias("n"))
     n = F.col("n")
     return one.select(

@@ -29,3 +29,21 @@ def test_days_without_noon_reading_are_left_out(spark):
     rows = [(1, h, 0, h % 24, 20.0, None if h == 10 else 30.0, 5.0, 0.0, 1.0, 7, 38.0) for h in (8, 10)]
     hourly = spark.createDataFrame(rows, "site long, hour long, day long, hour_of_day long, temperature_c double, humidity_pct double, wind_kmh double, wind_from_deg double, rain_mm double, month int, latitude double")
     assert weather.daily_inputs(hourly).count() == 0
+
+
+def test_incidents_ask_for_the_weather_of_their_sites_only(spark, sf, monkeypatch, tmp_path):
+    """Exposure and scenarios group and fold the weather of sites that have an incident, and get of it what all sites' weather holds."""
+    from cinderlake.plans import fire_queries, picture
+    from cinderlake.sources import adapters
+
+    events = adapters.table(spark, sf, "events")
+    lone = events.orderBy("ts", ascending=False).limit(1).selectExpr("event_id + 1000000 AS event_id", "ts", "1001L AS user_id", *events.columns[3:])
+    events.unionByName(lone).write.parquet(f"{tmp_path}/events.parquet")
+    asked, plain = [], weather.daily_inputs
+    monkeypatch.setattr(weather, "daily_inputs", lambda hourly: asked.append(hourly) or plain(hourly))
+    found = fire_queries.local_weather(spark, str(tmp_path)).select("cluster", "site").collect()
+    sites = {r["user_id"] for r in picture.clustered(spark, str(tmp_path)).where("id = cluster").collect()}
+    every = [tuple(r) for r in adapters.hourly_weather(spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in asked[0].collect()]
+    assert found and {r["site"] for r in found} <= sites and 1001 in {r[0] for r in every} - sites
+    assert sorted(map(repr, got)) == sorted(repr(r) for r in every if r[0] in sites)
